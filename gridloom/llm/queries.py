@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.mixing import mixed
+from gridloom.llm.packing import pack
 from gridloom.llm.quality_rules import quality_rules
+from gridloom.llm.token_shards import locate, read_tokens, write_token_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +26,41 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES: dict[str, str] = {}
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document the one that stays of its group, the group's size and the digest."""
+    return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP3_SQL = r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[ \t-\r]+', '', 'g') AS k FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY k ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM n
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM g
+"""
+
+
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, found through the index and read back from the shards."""
+    docs = _table(spark, sf_dir, "documents")
+    shards = write_token_shards(docs, public_tokenizers.path("word_bpe_49k.json"))
+    read = read_tokens(spark, shards, locate(spark, shards, docs), with_ids=False)
+    start = (F.col("base") + F.col("at")).alias("start")
+    return read.join(shards.starts(), "shard").select(F.col("key").alias("doc_id"), start, F.col("n").alias("n_tokens"), "ids_crc32", "shard")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequences and offsets."""
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).select(
+        F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mix, with its source's block and that block's slot."""
+    return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "source", "position", "slot", "block")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_exact_dedup, op5_token_shards, op6_packing, op8_mixing)}
+ORACLES = {"op3_exact_dedup": OP3_SQL}
