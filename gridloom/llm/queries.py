@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.lm_trie import lm_scores
 from gridloom.llm.mixing import mixed
 from gridloom.llm.packing import pack
 from gridloom.llm.quality_rules import quality_rules
@@ -41,6 +42,18 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_
 """
 
 
+def _fold(key: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo the folds."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under the trie model, and under the add-one unigram base."""
+    held = F.coalesce(_fold("doc_id", 7) == 2, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    return lm_scores(docs, ~F.col("held_out")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, found through the index and read back from the shards."""
     docs = _table(spark, sf_dir, "documents")
@@ -62,5 +75,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "source", "position", "slot", "block")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_exact_dedup, op5_token_shards, op6_packing, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_exact_dedup, op4_lm_scores, op5_token_shards, op6_packing, op8_mixing)}
 ORACLES = {"op3_exact_dedup": OP3_SQL}
