@@ -93,7 +93,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     spark = docs.sparkSession
     path = path or fresh_dir(spark, "exact")
     own = docs.drop(*[c for c in ADDED if c not in (key, text)])
-    own.withColumns({"_digest": digest(F.col(text)), "_points": F.length(F.coalesce(F.col(text), F.lit("")))}).write.mode("append").parquet(f"{path}/store")
+    own.withColumns({"_digest": digest(F.col(text)), "_points": F.length(F.coalesce(F.col(text), F.lit("")))}).write.mode("append").option("compression", "zstd").parquet(f"{path}/store")
     store = spark.read.schema(own.withColumns({"_digest": F.lit(""), "_points": F.lit(0)}).schema).parquet(f"{path}/store")
     located = store.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
     state = _keyed_state(store, path, key)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.lm_trie import lm_scores
 from gridloom.llm.mixing import mixed
+from gridloom.llm.near_dedup import near_dedup
 from gridloom.llm.packing import pack
 from gridloom.llm.quality_rules import quality_rules
 from gridloom.llm.token_shards import locate, read_tokens, write_token_shards
@@ -27,6 +28,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document its class of near duplicates and the document that stays."""
+    return near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept", "links")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document the one that stays of its group, the group's size and the digest."""
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -75,5 +81,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "source", "position", "slot", "block")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_exact_dedup, op4_lm_scores, op5_token_shards, op6_packing, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_exact_dedup, op4_lm_scores, op5_token_shards, op6_packing, op8_mixing)}
 ORACLES = {"op3_exact_dedup": OP3_SQL}

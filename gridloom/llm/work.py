@@ -31,7 +31,7 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: it cuts lineage and survives lost executors."""
     path = path or fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
