@@ -44,7 +44,7 @@ def _best(key: str) -> Column:
 def _keyed_state(store: DataFrame, path: str, key: str) -> DataFrame:
     """digest, best, n: the stream's state after all rows of the store."""
     spark = store.sparkSession
-    settings = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    settings = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -66,7 +66,7 @@ def _keyed_state(store: DataFrame, path: str, key: str) -> DataFrame:
     return updates.groupBy("_digest").agg(F.max_by(F.struct("best", "n"), "_batch").alias("s")).select("_digest", "s.best", "s.n")
 
 
-def _fetch(rows: DataFrame, text: str) -> DataFrame:
+def _fetch(rows: DataFrame, text: str, tasks: int) -> DataFrame:
     """_digest, _file, _row and the full normalised text of rows, read by their locators."""
 
     def read(batches):
@@ -84,7 +84,7 @@ def _fetch(rows: DataFrame, text: str) -> DataFrame:
                             yield hits.assign(text=texts)[["_digest", "_file", "_row", "text"]]
                         at += len(batch)
 
-    got = rows.select("_digest", "_file", "_row").repartition("_file").sortWithinPartitions("_file", "_row").mapInPandas(read, "_digest string, _file string, _row long, text string")
+    got = rows.select("_digest", "_file", "_row").repartition(tasks, "_file").sortWithinPartitions("_file", "_row").mapInPandas(read, "_digest string, _file string, _row long, text string")
     return got.select("_digest", "_file", "_row", normalised(F.col("text")).alias("_norm"))
 
 
@@ -98,9 +98,8 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     located = store.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
     state = _keyed_state(store, path, key)
 
-    # Batches of locators are small rows; more of them in a batch means fewer passes over a file.
     hits = located.select("_digest", "_file", "_row").join(state.where("n > 1").select("_digest"), "_digest")
-    norms = _fetch(hits, text).groupBy("_digest").agg(F.min("_norm").alias("a"), F.max("_norm").alias("b"))
+    norms = _fetch(hits, text, store.rdd.getNumPartitions()).groupBy("_digest").agg(F.min("_norm").alias("a"), F.max("_norm").alias("b"))
     mixed = [r[0] for r in norms.where("a <> b").select("_digest").limit(10_001).collect()]
     if len(mixed) > 10_000:
         raise ValueError("the digest is too weak: over 10,000 of its values cover different texts")
