@@ -20,41 +20,99 @@ _BARE = re.compile(rf"[^{_WHITE}]+")
 _OPEN: dict[str, Encoder] = {}
 
 
+def _gaps(values: list) -> list[int]:
+    """Places of None."""
+    out, j = [], -1
+    try:
+        while True:
+            out.append(j := values.index(None, j + 1))
+    except ValueError:
+        return out
+
+
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; keeps at most `limit` stretches in memory."""
+    """Encodes texts to little-endian unsigned 32-bit ids; keeps two generations of at most `limit` stretches in memory."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.cut = None
+        self.cut, self.between = None, ""
         pre = spec.get("pre_tokenizer") or {}
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
-            self.cut = _LED
+            self.cut, self.between = _LED, "\n"
         elif pre.get("type") == "Sequence" and any(p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert") and r"[^\s\p{L}\p{N}]+" in str(p.get("pattern")) for p in pre["pretokenizers"]):
-            self.cut = _BARE
+            self.cut, self.between = _BARE, " \u2603 "
+        self.between_ids = self._ids([self.between])[0] if self.cut else b""
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _joined(self, stretches: list[str]) -> list[bytes]:
+        """The ids of stretches that are not white space: encoded in a row, with a known separator between them."""
+        ids = self._ids([self.between.join(stretches)])[0]
+        marks, flat = np.frombuffer(self.between_ids, "<u4"), np.frombuffer(ids, "<u4")
+        hit = flat[: len(flat) - len(marks) + 1] == marks[0]
+        for k in range(1, len(marks)):
+            hit &= flat[k : len(flat) - len(marks) + 1 + k] == marks[k]
+        at = np.flatnonzero(hit)
+        if len(at) != len(stretches) - 1:
+            return self._ids(stretches)
+        starts, ends = [0, *(4 * (at + len(marks))).tolist()], [*(4 * at).tolist(), len(ids)]
+        return [ids[a:b] for a, b in zip(starts, ends, strict=True)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of stretches that are not in memory; a stretch that ends in a letter and punctuation is put together from both."""
+        memo, older = self.memo, self.older
+        if len(memo) > self.limit:
+            self.older, self.memo = older, memo = memo, {}
+        parts, todo = {}, set()
+        for c in new:
+            known = older.get(c)
+            if known is not None:
+                memo[c] = known
+                continue
+            core = c.rstrip(".,;:!?*#$%&|)")
+            if core != c and core and core[-1].isascii() and core[-1].isalpha():
+                parts[c] = core
+                for x in (core, c[len(core) :]):
+                    if x not in memo:
+                        if x in older:
+                            memo[x] = older[x]
+                        else:
+                            todo.add(x)
+            else:
+                todo.add(c)
+        solid = [x for x in todo if not x.isspace()]
+        white = [x for x in todo if x.isspace()]
+        memo.update(zip(white, self._ids(white), strict=True))
+        for k in range(0, len(solid), 500):
+            memo.update(zip(solid[k : k + 500], self._joined(solid[k : k + 500]), strict=True))
+        for c, core in parts.items():
+            memo[c] = memo[core] + memo[c[len(core) :]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         texts = [t or "" for t in texts]
         plain = [self.cut is not None and not any(a in t for a in self.added) for t in texts]
         parts = [self.cut.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        new = list({c for p in parts if p for c in p if c not in memo})
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            memo[c] = np.array(e.ids, dtype="<u4").tobytes()
-        look = memo.__getitem__
-        return [b"".join(map(look, p)) if p is not None else self._whole(t) for t, p in zip(texts, parts, strict=True)]
+        look = self.memo.get
+        found = [list(map(look, p)) if p is not None else None for p in parts]
+        gaps = [_gaps(v) if v is not None else [] for v in found]
+        new = {p[j] for p, g in zip(parts, gaps, strict=True) for j in g}
+        if new:
+            self._learn(new)
+            look = self.memo.__getitem__
+            for p, v, g in zip(parts, found, gaps, strict=True):
+                for j in g:
+                    v[j] = look(p[j])
+        return [b"".join(v) if v is not None else self._ids([t])[0] for t, v in zip(texts, found, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
