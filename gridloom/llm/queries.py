@@ -7,12 +7,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.language_id import identify
+from gridloom.llm.language_id import train as train_languages
 from gridloom.llm.lm_trie import lm_scores
 from gridloom.llm.mixing import mixed
 from gridloom.llm.near_dedup import near_dedup
 from gridloom.llm.packing import pack
+from gridloom.llm.quality_classifier import quality_scores
 from gridloom.llm.quality_rules import quality_rules
 from gridloom.llm.token_shards import locate, read_tokens, write_token_shards
+from gridloom.llm.url_filter import url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,10 +80,41 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every address."""
+    out = url_filter(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", F.round("ratio", 6).alias("ratio"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mix, with its source's block and that block's slot."""
     return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "source", "position", "slot", "block")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_exact_dedup, op4_lm_scores, op5_token_shards, op6_packing, op8_mixing)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior of good quality for every document; rows of the held-out fold teach nothing."""
+    held = F.coalesce(_fold("doc_id", 5) == 0, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    out = quality_scores(docs, _table(spark, sf_dir, "labels").where(_fold("doc_id", 5) != 0))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; rows of the held-out fold teach nothing."""
+    held = F.coalesce(_fold("doc_id", 5) == 0, F.lit(False))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held.alias("held_out"))
+    model = train_languages(docs, ~F.col("held_out"))
+    return identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_exact_dedup, op4_lm_scores, op5_token_shards, op6_packing, op7_url_filter, op8_mixing, op9_quality_classifier, op10_language_id)}
 ORACLES = {"op3_exact_dedup": OP3_SQL}
