@@ -34,7 +34,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document its class of near duplicates and the document that stays."""
-    return near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept", "links")
+    return near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
