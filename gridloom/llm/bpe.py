@@ -49,6 +49,7 @@ class Encoder:
             self.cut, self.between = _LED, "\n"
         elif pre.get("type") == "Sequence" and any(p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert") and r"[^\s\p{L}\p{N}]+" in str(p.get("pattern")) for p in pre["pretokenizers"]):
             self.cut, self.between = _BARE, " \u2603 "
+        self.folds = "Lowercase" in json.dumps(spec.get("normalizer") or {})
         self.between_ids = self._ids([self.between])[0] if self.cut else b""
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -72,30 +73,33 @@ class Encoder:
         memo, older = self.memo, self.older
         if len(memo) > self.limit:
             self.older, self.memo = older, memo = memo, {}
-        parts, todo = {}, set()
+        parts, todo = {}, set()  # parts: stretches that are put together from others
         for c in new:
             known = older.get(c)
             if known is not None:
                 memo[c] = known
                 continue
             core = c.rstrip(".,;:!?*#$%&|)")
-            if core != c and core and core[-1].isascii() and core[-1].isalpha():
-                parts[c] = core
-                for x in (core, c[len(core) :]):
-                    if x not in memo:
-                        if x in older:
-                            memo[x] = older[x]
-                        else:
-                            todo.add(x)
-            else:
+            if not core or not core[-1].isascii() or not core[-1].isalpha():
+                core = c
+            plain = core.lower() if self.folds and core.isascii() else core
+            if plain == c:
                 todo.add(c)
+                continue
+            parts[c] = bits = [x for x in (plain, c[len(core) :]) if x]
+            for x in bits:
+                if x not in memo:
+                    if x in older:
+                        memo[x] = older[x]
+                    else:
+                        todo.add(x)
         solid = [x for x in todo if not x.isspace()]
         white = [x for x in todo if x.isspace()]
         memo.update(zip(white, self._ids(white), strict=True))
         for k in range(0, len(solid), 500):
             memo.update(zip(solid[k : k + 500], self._joined(solid[k : k + 500]), strict=True))
-        for c, core in parts.items():
-            memo[c] = memo[core] + memo[c[len(core) :]]
+        for c, bits in parts.items():
+            memo[c] = b"".join([memo[x] for x in bits])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""

@@ -119,12 +119,11 @@ def write_token_shards(docs: DataFrame, tokenizer: str, key: str = "doc_id", tex
             out.write(MAGIC + np.array([width, 0], "<u4").tobytes())
             batch = first
             while batch is not None:
-                ids = [np.frombuffer(x + end, "<u4") for x in bpe.encoder(tokenizer).encode(batch["text"].tolist())]
-                if max((int(x.max()) for x in ids), default=0) > most:
+                parts = [x + end for x in bpe.encoder(tokenizer).encode(batch["text"].tolist())]
+                ids, n = np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) // 4 for x in parts], np.int64)
+                if len(ids) and int(ids.max()) > most:
                     raise ValueError(f"an id does not fit {width} bytes")
-                n = np.array([len(x) for x in ids], np.int64)
-                for x in ids:
-                    out.write(x.astype(kind).tobytes())
+                out.write(ids.astype(kind).tobytes())
                 ends = np.cumsum(n)
                 yield pd.DataFrame({"key": batch["key"], "shard": shard, "row": row + np.arange(len(n)), "at": at + ends - n, "n": n})
                 lengths.append(n.astype("<u4"))
