@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -47,7 +48,7 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
             self.cut, self.between = _LED, "\n"
-        elif pre.get("type") == "Sequence" and any(p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert") and r"[^\s\p{L}\p{N}]+" in str(p.get("pattern")) for p in pre["pretokenizers"]):
+        elif pre.get("type") == "Sequence" and any(p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert") and r"[^\s\p{L}\p{N}]+" in (p.get("pattern") or {}).get("Regex", "") for p in pre["pretokenizers"]):
             self.cut, self.between = _BARE, " \u2603 "
         self.folds = "Lowercase" in json.dumps(spec.get("normalizer") or {})
         self.between_ids = self._ids([self.between])[0] if self.cut else b""
@@ -93,8 +94,14 @@ class Encoder:
                         memo[x] = older[x]
                     else:
                         todo.add(x)
-        solid = [x for x in todo if not x.isspace()]
-        white = [x for x in todo if x.isspace()]
+        solid, white, tokenize = [], [], self.tokenizer.model.tokenize
+        for x in todo:
+            word = x[1:] if self.cut is _LED and x[0] == " " else x
+            if word.isascii() and word.isalpha() and (not self.folds or word.islower()):
+                # plain letters are one word to the pre-tokenizer and stand for their own bytes; a leading space is written as one letter
+                memo[x] = array("I", [t.id for t in tokenize(word if word is x else "\u0120" + word)]).tobytes()
+            else:
+                (white if x.isspace() else solid).append(x)
         memo.update(zip(white, self._ids(white), strict=True))
         for k in range(0, len(solid), 500):
             memo.update(zip(solid[k : k + 500], self._joined(solid[k : k + 500]), strict=True))
