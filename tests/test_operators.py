@@ -1,0 +1,184 @@
+import datetime as dt
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.operators import evaluate as ev
+from gridloom.operators import graph as gr
+from gridloom.operators import grounding, lookup, ml, retrieval, trading
+from gridloom.operators import timeseries as ts
+from gridloom.streaming.events import hourly_counts, run_to_table
+
+H = lambda n: dt.datetime(2018, 1, 6) + dt.timedelta(hours=n)  # noqa: E731  a Saturday
+
+
+def test_top_k_with_ties_nulls_and_other_dimensions(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [2.0, 0.1])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = retrieval.top_k(e, e.where("vec_id in (0, 3)"), 3).orderBy("rank").collect()
+    assert [(r.query, r.id) for r in got] == [(0, 0), (0, 1), (0, 6)]
+    assert [r.id for r in retrieval.top_k(e, e.where("vec_id = 0"), 9, "l2").orderBy("rank").collect()] == [0, 1, 4, 6, 2]
+    assert retrieval.top_k(e, e.where("vec_id = 0"), 9, least=0.6).count() == 3
+
+
+def test_budget(spark):
+    df = spark.createDataFrame([("a", 1, "x x"), ("a", 2, "y y y y y"), ("a", 3, "z"), ("b", 1, "w w w w")], "g string, o int, text string")
+    take = lambda **k: [(r.g, r.o) for r in retrieval.within_budget(df, ["g"], ["o"], 3, **k).orderBy("g", "o").collect()]
+    assert take() == [("a", 1)] and take(most=3) == [("a", 1), ("a", 3)]
+
+
+def test_grounding(spark):
+    answers = spark.createDataFrame([(1, "f g f"), (2, "f")], "id int, t string")
+    valid = spark.createDataFrame([("f",)], "name string")
+    rep = {r.id: r for r in grounding.grounding_report(answers, "id", F.split("t", " "), valid).collect()}
+    assert (rep[1].n_used, rep[1].n_unknown, rep[1].unknown, rep[1].grounded) == (2, 1, "g", False) and rep[2].grounded
+    calls = []
+    answer = grounding.answer_until_grounded("q", lambda q, bad: calls.append(bad) or ("bad" if not bad else "good"), lambda a: ["x"] if a == "bad" else [])
+    assert answer == ("good", []) and calls == [[], ["x"]]
+
+
+def test_retry():
+    waits, left = [], [ValueError(), ValueError()]
+
+    def call():
+        if left:
+            raise left.pop()
+        return 7
+
+    assert grounding.with_retry(call, sleep=waits.append)() == 7 and waits == [1, 2]
+    with pytest.raises(KeyError):
+        grounding.with_retry(lambda: {}["x"], retry_on=(ValueError,))()
+
+
+def series(spark, values):
+    return spark.createDataFrame([("s", H(i), v) for i, v in enumerate(values)], "series string, ts timestamp_ntz, value double")
+
+
+def test_interpolation_matches_pandas(spark):
+    values = [None, 1.0, None, None, 4.0, 2.0, None, None]
+    got = [r.filled for r in ts.interpolated(series(spark, values)).orderBy("ts").collect()]
+    want = pd.Series(values, index=[H(i) for i in range(8)], dtype=float).interpolate(method="time")
+    assert got[0] is None and got[1:] == pytest.approx(want.tolist()[1:])
+
+
+def test_grid_calendar_lags_means(spark):
+    df = spark.createDataFrame([("s", H(0), 1.0), ("s", H(3), 4.0), ("s", H(3), 6.0)], "series string, ts timestamp_ntz, value double")
+    grid = ts.hourly_grid(df).orderBy("ts").collect()
+    assert [r.value for r in grid] == [1.0, None, None, 5.0]
+    first = ts.with_calendar(df).orderBy("ts").first()
+    assert (first.hour, first.dayofweek, first.month, first.is_weekend) == (0, 5, 1, 1)
+    rows = ts.with_rolling_means(ts.with_lags(series(spark, [1.0, 2.0, 3.0, 4.0]), (1,)), (2,)).orderBy("ts").collect()
+    assert [r.lag_1 for r in rows] == [None, 1.0, 2.0, 3.0] and [r.rolling_2h_mean for r in rows] == [None, 1.5, 2.5, 3.5]
+    past = ts.with_rolling_means(series(spark, [1.0, 2.0, 3.0, 4.0]), (2,), inclusive=False).orderBy("ts").collect()
+    assert [r.rolling_2h_mean for r in past] == [None, None, 1.5, 2.5]
+    before = ts.value_before(series(spark, [1.0, 2.0, 3.0]).where(F.col("ts") != H(0)).unionByName(series(spark, [9.0])), 1).orderBy("ts").collect()
+    assert [r.before_1h for r in before] == [None, 9.0, 2.0]
+
+
+def test_forecast_feeds_on_itself(spark):
+    class AddOne:
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("lag_1") + F.col("lag_24") * 0 + 1)
+
+    got = ts.forecast(AddOne(), series(spark, [float(i) for i in range(200)]), 3).orderBy("ts").collect()
+    assert [r.prediction for r in got] == [200.0, 201.0, 202.0] and got[0].ts == H(200)
+
+
+def test_backtest_golden_case(spark):
+    close = [10.0, 11.0, 12.0, 11.0, 10.0, 9.0, 12.0, 13.0]
+    df = spark.createDataFrame([("s", H(i), c) for i, c in enumerate(close)], "symbol string, ts timestamp_ntz, close double")
+    got = [r.curve for r in trading.backtest(df, trading.sma_signal(df, 2, 3)).orderBy("ts").collect()]
+    assert got[0] is None and got[1:] == pytest.approx([1.0, 0.9999, 0.916575, 0.8331583425, 0.8331583425, 0.83307502666575, 0.9024979455545624])
+    edges = trading.signal_edges(trading.sma_signal(df, 2, 3), 3).orderBy("ts").collect()
+    assert [r.side for r in edges] == ["buy", "sell", "buy"][: len(edges)] and trading.signal_edges(trading.sma_signal(df, 2, 3), 9).count() == 0
+
+
+def test_sizing(spark):
+    r = spark.range(1).select(trading.position_size(F.lit(1000.0), F.lit(33.0)).alias("q"), trading.position_size(F.lit(1000.0), F.lit(0.0)).alias("z"), trading.stop_loss(F.lit(100.0)).alias("s"), lookup.mva(F.lit(138.0), F.lit(1000.0)).alias("m")).first()
+    assert (r.q, r.z, r.s, r.m) == (3, 0, 97.0, 239.02)
+
+
+def test_lookup(spark):
+    t = spark.createDataFrame([(3, "k", "late"), (1, "k", "early")], "row int, key string, v string")
+    asked = spark.createDataFrame([("k",), ("none",)], "key string")
+    got = {r.key: r.v for r in lookup.first_match(asked, t, ["key"], "row").collect()}
+    assert got == {"k": "early", "none": None}
+    labels = spark.createDataFrame([(1, "795 ACSR Drake"), (2, "795 acsr drake Bundled"), (3, "795 Old ACSR type Hawk"), (4, "1795 ACSR Hawk")], "row int, label string")
+    names = [("a", "795", "ACSR", "Drake Bundled"), ("b", "795", "ACSR", "DRAKE"), ("c", "795", "ACSR", "Hawk"), ("d", "795", "AAC", "Hawk"), ("e", "1795", "acsr", "hawk bundled")]
+    asked = spark.createDataFrame(names, "id string, size string, kind string, name string")
+    got = {r.id: (r.tier, r.row) for r in lookup.tiered_match(asked, labels, "id", "size", "kind", "name", "label", "row").collect()}
+    assert got == {"a": (1, 2), "b": (1, 1), "c": (3, 3), "d": (None, None), "e": (2, 4)}
+    good, bad = lookup.checked(spark.createDataFrame([("1", "a"), (" ", "b"), ("x", "c"), (None, "d")], "n string, k string"), {"n": "int"})
+    assert [r.n for r in good.collect()] == [1] and {r.k for r in bad.collect()} == {"b", "c", "d"}
+    assert [r.value for r in lookup.menu(spark.createDataFrame([(138.0,), (69.0,), (345.5,), (69.0,)], "kv double"), "kv", True).orderBy("place").collect()] == ["69", "138", "345.5"]
+
+
+def test_splits(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(100)], "id long, y int")
+    folds = ev.stratified_folds(df, "id", "y", 5, 2).toPandas()
+    assert len(folds) == 200 and (folds.groupby(["repeat", "id"]).size() == 1).all()
+    assert folds.groupby(["repeat", "y", "fold"]).size().between(6, 7).all()
+    split = ev.stratified_split(df, "id", "y").toPandas()
+    assert split.groupby("y").in_train.sum().tolist() == [23, 23, 23]
+    a, b = ev.group_split(df, "y", 50)
+    assert a.count() + b.count() == 100 and a.join(b, "y", "left_semi").count() == 0
+
+
+def test_measures(spark):
+    pairs = [(1, 1)] * 3 + [(1, 0)] * 2 + [(0, 1)] + [(0, 0)] * 4
+    df = spark.createDataFrame(pairs, "t int, p int")
+    m = df.agg(*ev.binary_measures("t", "p")).first()
+    assert (m.n, m.accuracy, m.precision, m.recall) == (10, 0.7, 0.75, 0.6) and m.f1 == pytest.approx(2 / 3) and m.macro_f1 == pytest.approx((2 / 3 + 8 / 11) / 2)
+    assert {r.t: (r.pred_0, r.pred_1) for r in ev.confusion(df, "t", "p", [0, 1]).collect()} == {0: (4, 1), 1: (2, 3)}
+    rep = {r.label: r for r in ev.class_report(df, "t", "p").collect()}
+    assert rep[1].precision == 0.75 and rep[0].recall == 0.8 and rep[1].support == 5
+    none = spark.createDataFrame([(0, 0)], "t int, p int").agg(*ev.binary_measures("t", "p")).first()
+    assert none.precision == none.recall == none.f1 == 0
+    w = {r.y: r.weight for r in ev.class_weights(spark.createDataFrame([(0,), (0,), (0,), (1,)], "y int"), "y").collect()}
+    assert w[1] == pytest.approx(0.75, abs=1e-5) and sum(w.values()) == pytest.approx(1)
+    curve = ev.pr_curve(spark.createDataFrame([("g", 1, 0.9), ("g", 0, 0.8), ("g", 1, 0.7), ("g", 0, 0.1)], "g string, t int, s double"), "t", "s", "g")
+    best = ev.best_threshold(curve, "g").first()
+    assert best.threshold == 0.7 and best.f1 == pytest.approx(0.8)
+    z = ev.standardised(spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double"), ["a", "b"]).collect()
+    assert [(r.z_a, r.z_b) for r in z] == [(-1.0, 0.0), (1.0, 0.0)]
+    loss = spark.range(1).select(F.lit(0.8).alias("p")).agg(ev.focal_loss(F.col("p"), F.lit(0.5)).alias("x")).first().x
+    ce = -0.5 * np.log(0.8)
+    assert loss == pytest.approx((1 - np.exp(-ce)) ** 2 * ce)
+
+
+def test_graph(spark):
+    nodes = spark.createDataFrame([(s, n, v) for s, off in ((1, 0.0), (2, 10.0)) for n, v in (("a", 1 + off), ("b", 2 + off), ("c", 3 + off))], "scenario int, node string, x double")
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "a"), (2, "b", "c"), (2, "c", "zz")], "scenario int, src string, dst string")
+    at = {(r.scenario, r.src, r.dst): (r.src_x, r.dst_x) for r in gr.indexed_edges(edges, nodes, "x").collect()}
+    assert at[(1, "a", "b")] == (1.0, 2.0) and at[(2, "b", "c")] == (12.0, 13.0) and at[(2, "c", "zz")] == (13.0, None)
+    assert {(r.scenario, r.node): r.degree for r in gr.degrees(edges).collect()} == {(1, "a"): 1, (1, "b"): 1, (2, "b"): 1, (2, "c"): 2, (2, "zz"): 1}
+    got = {r.node: r.x for r in gr.propagated(nodes.where("scenario = 1"), edges.where("scenario = 1"), "x", 1).collect()}
+    assert got == pytest.approx({"a": 1.5, "b": 1.5, "c": 3.0})
+    flags = spark.createDataFrame([(0.9, 120.0), (1.0, 120.0), (1.1, 50.0), (1.0, 50.0)], "v double, l double").withColumn("f", gr.alarm_flags(F.col("v"), F.col("l")))
+    assert [r.f for r in flags.collect()] == [3, 2, 1, 0]
+    assert [(r.voltage_class, r.thermal_class, r.combined) for r in flags.withColumns(gr.classes_of(F.col("f"))).collect()] == [(1, 1, 1), (0, 1, 1), (1, 0, 1), (0, 0, 0)]
+    loads = spark.createDataFrame([(1, "a", 2.0), (1, "a", 3.0)], "scenario int, node string, mw double")
+    assert {(r.scenario, r.node): r.t for r in gr.scatter_add(nodes, loads, "mw", "t").collect()}[(1, "a")] == 5.0
+    assert gr.endpoint_flag(nodes, edges, F.lit(True)).agg(F.sum("touched")).first()[0] == 4
+    n, e = gr.replicated(nodes, edges, 2, {"x": 0.1}, seed=1)
+    assert n.count() == 12 and e.count() == 8 and n.where("node = 'a__1'").count() == 2
+
+
+def test_models(spark):
+    rng = np.random.default_rng(0)
+    rows = [(int(y), float(rng.normal(3 * y)), float(rng.normal(-2 * y)), i) for i, y in enumerate(rng.integers(0, 2, 200))]
+    df = spark.createDataFrame(rows, "label int, a double, b double, id long").withColumn("label", F.col("label").cast("double"))
+    folds = ev.stratified_folds(df, "id", "label", 2).cache()
+    acc = ml.fold_accuracies(folds, ["a", "b"], {"logistic": ml.classifiers(2, 2)["logistic"]}).collect()
+    assert len(acc) == 2 and min(r.accuracy for r in acc) > 0.85
+    assert ml.alarm_model(df, ["a", "b"]).transform(df).where("prediction = label").count() > 170
+
+
+def test_stream(spark, tmp_path):
+    df = spark.createDataFrame([("a", H(0), 1.0), ("a", H(0) + dt.timedelta(minutes=59), 2.0), ("b", H(1), 3.0)], "event_type string, ts timestamp_ntz, value double")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = {(r.event_type, r.ts): (r.n, r.total) for r in run_to_table(spark, hourly_counts(stream), str(tmp_path)).collect()}
+    assert got == {("a", H(0)): (2, 3.0), ("b", H(1)): (1, 3.0)}
