@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 # Fixed value: the characters of Unicode's White_Space property.
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LED = re.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _BARE = re.compile(rf"[^{_WHITE}]+")
 _OPEN: dict[str, Encoder] = {}

@@ -343,7 +343,7 @@ def train(docs: DataFrame, text: str = "text", path: str | None = None) -> tuple
     path = path or fresh_dir(spark, "lm")
     texts = docs.select(F.col(text).alias("text"))
     parts = max(1, texts.rdd.getNumPartitions())
-    bits = max(0, math.ceil(math.log2(parts / 8))) if parts > 8 else 0
+    bits = max(0, math.ceil(math.log2(parts / 4)))
 
     def write_words(batches):
         for shard, keys, counts in _merged(batches):
@@ -354,7 +354,7 @@ def train(docs: DataFrame, text: str = "text", path: str | None = None) -> tuple
     got = _gather(texts, lambda d: (_shard_of(h := np.concatenate(d), bits), h), 1 << bits)
     sizes = {r["shard"]: r for r in staged(got.mapInPandas(write_words, "shard int, types long, tokens long, ends long"), "sizes").collect()}
     tokens, n_docs = sum(r["tokens"] for r in sizes.values()), sum(r["ends"] for r in sizes.values())
-    shards = max(1, math.ceil(parts / 2))
+    shards = parts  # one for each part of the input, so that a shard's size does not grow with it
     sizes = tuple(sizes[s]["types"] if s in sizes else 0 for s in range(1 << bits))
     m = Model(path, bits, shards, tokens, sum(sizes), max(1, tokens // shards // 8), sizes)
 
