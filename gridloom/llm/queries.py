@@ -15,6 +15,7 @@ from gridloom.llm.near_dedup import near_dedup
 from gridloom.llm.packing import pack
 from gridloom.llm.quality_classifier import quality_scores
 from gridloom.llm.quality_rules import quality_rules
+from gridloom.llm.sql import ORACLES  # noqa: F401
 from gridloom.llm.token_shards import locate, read_tokens, write_token_shards
 from gridloom.llm.url_filter import url_filter
 
@@ -42,16 +43,6 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-OP3_SQL = r"""
-WITH n AS (
-  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[ \t-\r]+', '', 'g') AS k FROM documents
-), g AS (
-  SELECT *, first_value(doc_id) OVER (PARTITION BY k ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM n
-)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM g
-"""
-
-
 def _fold(key: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the folds."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
@@ -117,4 +108,3 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_exact_dedup, op4_lm_scores, op5_token_shards, op6_packing, op7_url_filter, op8_mixing, op9_quality_classifier, op10_language_id)}
-ORACLES = {"op3_exact_dedup": OP3_SQL}
