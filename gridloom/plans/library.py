@@ -659,3 +659,48 @@ def stream_hourly_counts(spark, sf_dir):
     out = run_to_table(spark, hourly_counts(stream), shared_folder(spark, "stream"))
     last = out.groupBy("event_type", "ts").agg(F.max_by(F.struct("n", "total"), "batch").alias("s"))
     return last.select("event_type", "ts", "s.n", _r("s.total", 4).alias("total"))
+
+
+@query()
+def embed_search(spark, sf_dir):
+    """The five documents nearest to each benchmark item by hashed TF-IDF vectors."""
+    from gridloom.operators import embedding
+
+    docs = table(spark, sf_dir, "documents").select(F.col(D).alias("vec_id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"), "text")
+    model = embedding.fit_tfidf(docs)
+    hits = retrieval.top_k(embedding.embed_tfidf(docs, model), embedding.embed_tfidf(items, model), 5, digits=6)
+    return hits.select(F.col("query").alias("item_id"), F.col("id").alias(D), _r("score", 4).alias("score"), "rank")
+
+
+@query()
+def token_count_bpe(spark, sf_dir):
+    """Exact token counts of every document under a byte-pair vocabulary."""
+    import public_tokenizers
+
+    docs = splitter.bpe_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return docs.select(D, "tokens")
+
+
+@query("SELECT quality AS label, count(*) AS n FROM labels WHERE quality NOT IN (SELECT toxic FROM labels WHERE toxic IS NOT NULL) GROUP BY quality")
+def unseen_labels(spark, sf_dir):
+    """Truth labels that no prediction has; none means that the labels are a subset."""
+    t = table(spark, sf_dir, "labels")
+    seen = t.select(F.col("toxic").alias("label")).where("label is not null").distinct()
+    return t.select(F.col("quality").alias("label")).join(seen, "label", "left_anti").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE upper(o_orderstatus) = upper('o')")
+def open_orders(spark, sf_dir):
+    """Orders of a status but for case."""
+    return table(spark, sf_dir, "orders").where(F.upper("o_orderstatus") == "O").select("o_orderkey", "o_orderstatus")
+
+
+@query("""WITH m AS (SELECT l_returnflag AS model, avg(l_discount) AS cv FROM lineitem GROUP BY ALL), h AS (SELECT l_returnflag AS model, avg(l_tax) AS held FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)
+SELECT model, round(cv, 6) AS cv, round(coalesce(held, 0), 6) AS held FROM m LEFT JOIN h USING (model)""")
+def paired_metrics(spark, sf_dir):
+    """Two measures side by side by model, 0 where the second is missing."""
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "model")
+    held = li.where("model <> 'N'").groupBy("model").agg(F.avg("l_tax").alias("held"))
+    both = li.groupBy("model").agg(F.avg("l_discount").alias("cv")).join(held, "model", "left")
+    return both.select("model", _r("cv").alias("cv"), _r(F.coalesce("held", F.lit(0.0))).alias("held"))

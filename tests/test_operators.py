@@ -182,3 +182,27 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     got = {(r.event_type, r.ts): (r.n, r.total) for r in run_to_table(spark, hourly_counts(stream), str(tmp_path)).collect()}
     assert got == {("a", H(0)): (2, 3.0), ("b", H(1)): (1, 3.0)}
+
+
+def test_embeddings(spark):
+    from gridloom.operators import embedding
+
+    df = spark.createDataFrame([(1, "red stone river"), (2, "blue paper"), (3, "stone river red red"), (4, None)], "vec_id long, text string")
+    e = embedding.embed_tfidf(df, embedding.fit_tfidf(df))
+    best = retrieval.top_k(e, e.where("vec_id = 1"), 2).orderBy("rank").collect()
+    assert [r.id for r in best] == [1, 3]
+    got = embedding.embed_with(df, lambda ts: [[float(len(t))] if t else None for t in ts], most_chars=5).collect()
+    assert [(r.vec_id, r.embedding) for r in got] == [(1, [5.0]), (2, [5.0]), (3, [5.0])]
+
+
+def test_bpe_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gridloom.functions.splitter import bpe_counts
+
+    texts = ["the river, it's\n 12 stones", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = [r.tokens for r in bpe_counts(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()]
+    assert got == [len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts]
