@@ -132,25 +132,24 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
     return out
 
 
-def _half(p: Column, q: Column) -> Column:
-    """Share of one cell in the Jensen-Shannon divergence in bits."""
-    m = (p + q) / 2
-    return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) / 2 + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0) / 2
-
-
 def _distance(places: Column, counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance of sparse counts to a reference; places start at 1."""
+    """Jensen-Shannon distance of sparse counts to a reference; places start at 1.
+
+    A cell that only the reference has adds half its share to the divergence (in bits): so the sum starts at one half
+    and each cell with counts adds what it differs from that.
+    """
     ref = F.array(*map(F.lit, reference))
 
     def of(total: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q"))
-
         def step(s: Column, k: Column) -> Column:
-            q = F.get(ref, (F.get(places, k) - 1).cast("int"))
-            return F.struct((s["d"] + _half(F.get(counts, k) / total, q)).alias("d"), (s["q"] + q).alias("q"))
-
-        end = F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step)
-        return _let(end, lambda e: F.sqrt(F.greatest(F.lit(0.0), e["d"] + (1 - e["q"]) / 2)))
+            return _let(
+                F.struct((F.get(counts, k) / total).alias("p"), F.get(ref, (F.get(places, k) - 1).cast("int")).alias("q")),
+                lambda x: s + F.when(x["p"] == 0, 0.0).when(x["q"] == 0, x["p"] / 2).otherwise(
+                    (x["p"] * F.log2(2 * x["p"] / (x["p"] + x["q"])) + x["q"] * F.log2(2 * x["q"] / (x["p"] + x["q"])) - x["q"]) / 2
+                ),
+            )
+
+        return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), F.lit(0.5), step)))
 
     total = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
     return F.when(F.size(places) > 0, _let(total, lambda t: F.when(t > 0, of(t)).otherwise(1.0))).otherwise(1.0)
