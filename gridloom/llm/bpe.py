@@ -18,6 +18,10 @@ import numpy as np
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LED = re.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _BARE = re.compile(rf"[^{_WHITE}]+")
+_PLAIN = re.compile(r"( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?*#$%&|)]*)\Z")
+# The byte alphabet of byte-level tokenizers: printable bytes stand for themselves, the others follow from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {x: 256 + i for i, x in enumerate(x for x in range(256) if x not in _SHOWN)}
 _OPEN: dict[str, Encoder] = {}
 
 
@@ -70,43 +74,37 @@ class Encoder:
         return [ids[a:b] for a, b in zip(starts, ends, strict=True)]
 
     def _learn(self, new: set[str]) -> None:
-        """Ids of stretches that are not in memory; a stretch that ends in a letter and punctuation is put together from both."""
+        """Ids of stretches that are not in memory; Latin letters, with or without punctuation after them, go straight to the model."""
         memo, older = self.memo, self.older
         if len(memo) > self.limit:
             self.older, self.memo = older, memo = memo, {}
-        parts, todo = {}, set()  # parts: stretches that are put together from others
+        solid, white, tokenize, folds = [], [], self.tokenizer.model.tokenize, self.folds
         for c in new:
-            known = older.get(c)
-            if known is not None:
+            if older and (known := older.get(c)) is not None:
                 memo[c] = known
                 continue
-            core = c.rstrip(".,;:!?*#$%&|)")
-            if not core or not core[-1].isascii() or not core[-1].isalpha():
-                core = c
-            plain = core.lower() if self.folds and core.isascii() else core
-            if plain == c:
-                todo.add(c)
+            m = _PLAIN.match(c)
+            if m is None:
+                (white if c.isspace() else solid).append(c)
                 continue
-            parts[c] = bits = [x for x in (plain, c[len(core) :]) if x]
-            for x in bits:
-                if x not in memo:
-                    if x in older:
-                        memo[x] = older[x]
-                    else:
-                        todo.add(x)
-        solid, white, tokenize = [], [], self.tokenizer.model.tokenize
-        for x in todo:
-            word = x[1:] if self.cut is _LED and x[0] == " " else x
-            if word.isascii() and word.isalpha() and (not self.folds or word.islower()):
-                # plain letters are one word to the pre-tokenizer and stand for their own bytes; a leading space is written as one letter
-                memo[x] = array("I", [t.id for t in tokenize(word if word is x else "\u0120" + word)]).tobytes()
-            else:
-                (white if x.isspace() else solid).append(x)
+            # letters are one word to the pre-tokenizer, and so is the punctuation after them; a leading space is a byte of the word
+            space, word, tail = m.groups()
+            if folds:
+                word = word.lower()
+            key = space + word
+            ids = memo.get(key)
+            if ids is None:
+                shown = ("\u0120" + word if space else word) if word.isascii() else key.encode().decode("latin-1").translate(_BYTES)
+                ids = memo[key] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+            if tail:
+                end = memo.get(tail)
+                if end is None:
+                    end = memo[tail] = self._ids([tail])[0]
+                ids += end
+            memo[c] = ids
         memo.update(zip(white, self._ids(white), strict=True))
         for k in range(0, len(solid), 500):
             memo.update(zip(solid[k : k + 500], self._joined(solid[k : k + 500]), strict=True))
-        for c, bits in parts.items():
-            memo[c] = b"".join([memo[x] for x in bits])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
