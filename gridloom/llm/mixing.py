@@ -70,8 +70,14 @@ def phases(counts: Mapping[str, int], weights: Mapping[str, int], size: int) ->
 
 
 def _with_row_id(docs: DataFrame) -> DataFrame:
-    """`docs` with _file and _row, which name a row of the files that it is read from."""
+    """`docs` with _file and _row, which name a row of the files that it is read from.
+
+    Rows that do not come one to one from files (a join or a generator may repeat them) are written first.
+    """
     place = {"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+    plan = docs._jdf.queryExecution().analyzed().toString()
+    if any(node in plan for node in ("Generate", "Join", "Expand")):
+        docs = staged(docs, "rows")
     try:
         return docs.withColumns(place)
     except AnalysisException:

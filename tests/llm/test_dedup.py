@@ -133,3 +133,11 @@ def test_components(spark):
     links = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in [(9, 8), (8, 7), (7, 6), (1, 2), (3, 2), (5, 5)]], "a binary, b binary")
     out = {r.d[0]: r.label[0] for r in nd.components(links).collect()}
     assert out[9] == out[8] == out[7] == out[6] == 6 and out[1] == out[2] == out[3] == 1
+
+
+def test_rows_that_a_plan_repeats_count_each_for_itself(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    twice = spark.read.parquet(f"{SF}/documents.parquet").select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("turn"))
+    assert nd.near_dedup(twice).count() == twice.count() == nd.near_dedup(twice).where("class_size >= 2").count()
+    both = docs.union(docs)
+    assert nd.near_dedup(both).count() == 80 and exact_dedup(twice).count() == twice.count()
