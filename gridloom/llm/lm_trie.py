@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import files
@@ -244,16 +244,28 @@ def _merged(batches):
         yield total()
 
 
+def _places(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions a number that Spark's hash deals to it, so that no two shards meet in one task."""
+    rows = spark.range(30 * n + 100).select(F.expr(f"pmod(hash(id), {n})").alias("p"), "id").groupBy("p").agg(F.min("id").alias("id")).collect()
+    out = np.arange(n, dtype=np.int64)
+    for p, i in rows:
+        out[p] = i
+    return out
+
+
 def _gather(texts: DataFrame, keys_of, shards: int) -> DataFrame:
     """The sums of keys over all texts of each task, dealt by shard. keys_of(list of hashes) gives shard and key of each token."""
 
+    places = _places(texts.sparkSession, shards)
+
     def count(batches):
         keys, shard, n = [], [], 0
 
         def flush():
             k, s = np.concatenate(keys), np.concatenate(shard)
             k, first, c = np.unique(k, return_index=True, return_counts=True)
-            return _packed(s[first], k, c)
+            out = _packed(s[first], k, c)
+            return out.assign(place=places[out["shard"]])
 
         for pdf in batches:
             if not len(pdf):
@@ -268,7 +280,8 @@ def _gather(texts: DataFrame, keys_of, shards: int) -> DataFrame:
         if n:
             yield flush()
 
-    return texts.mapInPandas(count, _PACKED).repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = texts.mapInPandas(count, f"{_PACKED}, place long").repartition(shards, "place")
+    return dealt.sortWithinPartitions("shard").select("shard", "keys", "counts")
 
 
 def _shard_of(hashes: np.ndarray, bits: int) -> np.ndarray:
