@@ -2,8 +2,10 @@
 
 A shard `shard-N.ids` is a 16-byte header (magic, bytes an id) and the ids of its documents in key order;
 `shard-N.len` holds their lengths as unsigned 32-bit integers. The index is dealt into parts by key hash; each part
-is a minimal perfect hash of its keys whose slots store a fingerprint, the shard, the row, the first id and the
-number of rows with that key, so that a key is found in constant time.
+is a minimal perfect hash of its keys whose slots store a fingerprint and the place of the key's runs in a list, so
+that a key is found in constant time. A run is the shard, the row, the first id and the number of rows of that key in
+one shard and one block of ROWS_IN_RUN rows: a key whose rows lie in many shards has a run for each of them, and its
+runs are read by as many tasks.
 
 Defined results: a null text is an empty text (its ids are the end id alone); a null key is a key like any other
 and comes first; rows with one key stay side by side and are all found under it; an empty table gives no shards.
@@ -16,6 +18,7 @@ import io
 import math
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,8 @@ from gridloom.llm.work import bounded_batches, fresh_dir, staged
 
 MAGIC = b"GLIDS001"
 KEYS_IN_PART = 200_000
+ROWS_IN_RUN = 4096
+ROWS_AT_ONCE = 256
 _SEEDS = np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,6 +84,9 @@ class PerfectHash:
         return out
 
 
+_RUN = {"shard": np.uint32, "row": np.uint64, "at": np.uint64, "rows": np.uint32}
+
+
 @dataclass(frozen=True)
 class TokenShards:
     """Where the shards are, and their tables."""
@@ -134,8 +142,10 @@ def write_token_shards(docs: DataFrame, tokenizer: str, key: str = "doc_id", tex
 
     kind_of_key = docs.schema[key].dataType.simpleString()
     entries = staged(ordered.select("key", "text").mapInPandas(write, f"key {kind_of_key}, shard int, row long, at long, n long"), "entries")
-    places = entries.groupBy("key").agg(F.min_by(F.struct("shard", "row", "at"), F.struct("shard", "row")).alias("p"), F.count("*").alias("rows"))
-    places = staged(places.select(F.xxhash64("key").alias("h"), "p.shard", "p.row", "p.at", "rows"), "places")
+    # All rows of a key lie side by side: so there are as many runs as keys, shards and blocks at most.
+    runs = entries.groupBy("key", "shard", F.floor(F.col("row") / ROWS_IN_RUN)).agg(F.min("row").alias("row"), F.min("at").alias("at"), F.count("*").alias("rows"))
+    places = runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("shard", "row", "at", "rows"))).alias("runs"))
+    places = staged(places.select(F.xxhash64("key").alias("h"), *[F.col(f"runs.{c}").alias(c) for c in _RUN]), "places")
     parts = max(1, math.ceil(places.count() / KEYS_IN_PART))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -145,8 +155,9 @@ def write_token_shards(docs: DataFrame, tokenizer: str, key: str = "doc_id", tex
             raise ValueError("two keys share a 64-bit hash")
         mph = PerfectHash.build(uniq)
         slots, pdf = mph.slots(uniq), pdf.iloc[first]
-        table = {"fingerprint": _fingerprint(uniq), "shard": pdf["shard"].to_numpy(np.uint32), "row": pdf["row"].to_numpy(np.uint64), "at": pdf["at"].to_numpy(np.uint64), "rows": pdf["rows"].to_numpy(np.uint32)}
-        columns = {}
+        many = pdf["shard"].map(len).to_numpy(np.int64)
+        table = {"fingerprint": _fingerprint(uniq), "first": (np.cumsum(many) - many).astype(np.uint64), "runs": many.astype(np.uint32)}
+        columns = {c: np.concatenate(pdf[c].to_list()).astype(kind) for c, kind in _RUN.items()}
         for name, values in table.items():
             columns[name] = np.zeros(len(uniq), values.dtype)
             columns[name][slots] = values
@@ -171,11 +182,11 @@ def _index(path: str, part: int) -> tuple[PerfectHash, dict[str, np.ndarray]]:
         for n in z["sizes"]:
             levels.append(np.unpackbits(bits[k : k + (n + 7) // 8], count=n).astype(bool))
             k += (n + 7) // 8
-        return PerfectHash(levels, z["rest"]), {c: z[c] for c in ("fingerprint", "shard", "row", "at", "rows")}
+        return PerfectHash(levels, z["rest"]), {c: z[c] for c in ("fingerprint", "first", "runs", *_RUN)}
 
 
 def locate(spark: SparkSession, shards: TokenShards, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, shard, row, at, rows of every distinct key that the index has."""
+    """key, shard, row, at, rows of every distinct key that the index has: a row for each of its runs."""
     path, parts = shards.path, shards.parts
     asked = keys.select(F.col(key).alias("key")).distinct().withColumn("h", F.xxhash64("key"))
     asked = asked.withColumn("part", F.expr(f"cast(pmod(shiftrightunsigned(h, 20), {parts}) as int)"))
@@ -188,7 +199,9 @@ def locate(spark: SparkSession, shards: TokenShards, keys: DataFrame, key: str =
                 slot = mph.slots(h)
                 ok = slot >= 0
                 ok[ok] = table["fingerprint"][slot[ok]] == _fingerprint(h[ok])
-                yield pd.DataFrame({"key": own["key"][ok]} | {c: table[c][slot[ok]].astype(np.int64) for c in ("shard", "row", "at", "rows")})
+                first, many = table["first"][slot[ok]].astype(np.int64), table["runs"][slot[ok]].astype(np.int64)
+                run = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                yield pd.DataFrame({"key": own["key"][ok].repeat(many)} | {c: table[c][run].astype(np.int64) for c in _RUN})
 
     kind = keys.schema[key].dataType.simpleString()
     return asked.repartition("part").mapInPandas(look, f"key {kind}, shard long, row long, at long, rows long")
@@ -201,22 +214,32 @@ def read_tokens(spark: SparkSession, shards: TokenShards, places: DataFrame, wit
     path = shards.path
     kind = places.schema["key"].dataType.simpleString()
 
+    def exactly(file, size: int, at: int) -> bytes:
+        got = file.read_at(size, at)
+        if len(got) != size:
+            raise ValueError(f"a shard ends early: {len(got)} of {size} bytes at {at}")
+        return got
+
+    def documents(own, shard, ids, lens):
+        head = exactly(ids, 16, 0)
+        if head[:8] != MAGIC:
+            raise ValueError(f"not a shard: {shard}")
+        width = int(np.frombuffer(head[8:12], "<u4")[0])
+        for key, row, at, rows in own[["key", "row", "at", "rows"]].itertuples(index=False, name=None):
+            for n in np.frombuffer(exactly(lens, 4 * int(rows), 4 * int(row)), "<u4").tolist():
+                x = np.frombuffer(exactly(ids, width * n, 16 + width * int(at)), f"<u{width}").astype("<u4")
+                yield key, shard, at, n, zlib.crc32(x.tobytes()), x.astype(np.int64) if with_ids else None
+                at += n
+
     def read(batches):
         for pdf in batches:
             for shard, own in pdf.sort_values(["shard", "at"]).groupby("shard"):
                 with files.reading(f"{path}/shard-{shard}.ids") as ids, files.reading(f"{path}/shard-{shard}.len") as lens:
-                    head = ids.read_at(16, 0)
-                    if head[:8] != MAGIC:
-                        raise ValueError(f"not a shard: {shard}")
-                    width, out = int(np.frombuffer(head[8:12], "<u4")[0]), []
-                    for key, row, at, rows in own[["key", "row", "at", "rows"]].itertuples(index=False, name=None):
-                        for n in np.frombuffer(lens.read_at(4 * int(rows), 4 * int(row)), "<u4").tolist():
-                            x = np.frombuffer(ids.read_at(width * n, 16 + width * int(at)), f"<u{width}").astype("<u4")
-                            out.append((key, shard, at, n, zlib.crc32(x.tobytes()), x.astype(np.int64) if with_ids else None))
-                            at += n
-                    frame = pd.DataFrame(out, columns=["key", "shard", "at", "n", "ids_crc32", "ids"])
-                    yield frame if with_ids else frame.drop(columns="ids")
+                    rows = documents(own, shard, ids, lens)
+                    while out := list(islice(rows, ROWS_AT_ONCE)):
+                        frame = pd.DataFrame(out, columns=["key", "shard", "at", "n", "ids_crc32", "ids"])
+                        yield frame if with_ids else frame.drop(columns="ids")
 
     schema = f"key {kind}, shard long, at long, n long, ids_crc32 long" + ", ids array<long>" * with_ids
-    chunk = F.floor(F.col("row") / 4096)
+    chunk = F.floor(F.col("row") / ROWS_IN_RUN)
     return places.repartition("shard", chunk).mapInPandas(read, schema)

@@ -58,6 +58,31 @@ def test_token_shards_round_trip(spark, odd, none):
     assert empty.entries.count() == 0 and token_shards.locate(spark, empty, none).count() == 0
 
 
+def test_token_shards_find_all_rows_of_a_key_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(token_shards, "ROWS_IN_RUN", 100)
+    rows = [(i if i % 3 else 1500, f"text {i} " + "of a line " * (i % 7)) for i in range(3000)] + [(None, f"none {i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = token_shards.write_token_shards(docs, WORD)
+        places = token_shards.locate(spark, shards, docs).collect()
+        got = token_shards.read_tokens(spark, shards, token_shards.locate(spark, shards, docs)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({p.shard for p in places if p.key == 1500}) >= 2 and len({p.shard for p in places}) >= 3
+    assert max(p.rows for p in places) <= 100
+    whole = Tokenizer.from_file(WORD)
+    want = collections.Counter((k, crc([*whole.encode(t, add_special_tokens=False).ids, 2])) for k, t in rows)
+    assert collections.Counter((r.key, r.ids_crc32) for r in got) == want
+    at = {}
+    for r in sorted(got, key=lambda r: (r.shard, r["at"])):
+        assert r["at"] == at.get(r.shard, 0)
+        at[r.shard] = r["at"] + r.n
+    short = spark.createDataFrame([(1, places[0].shard, 0, 0, 10**6)], "key long, shard long, row long, at long, rows long")
+    with pytest.raises(Exception, match="ends early"):
+        token_shards.read_tokens(spark, shards, short).collect()
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=500))
 def test_perfect_hash_is_minimal(keys):
