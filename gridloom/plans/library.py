@@ -614,22 +614,20 @@ def gbt_forecast(spark, sf_dir):
     from gridloom.operators import ml
 
     rows = ts.features(_series(spark, sf_dir)).cache()
-    model = ml.load_model(rows, trees=20, depth=4)
+    model = ml.load_model(rows)
     return ts.forecast(model, rows, 24).select("series", "ts", _r("prediction").alias("prediction"))
 
 
 @query()
 def fault_models_cv(spark, sf_dir):
-    """Mean accuracy of each classifier over three stratified folds; the class of an order line from its numbers."""
+    """Mean accuracy of each classifier over five stratified folds; the class of an order line from its numbers."""
     from gridloom.operators import ml
 
     li = table(spark, sf_dir, "lineitem").withColumns({"key": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "fault": ev.label_of("l_returnflag", "l_linestatus")})
     coded = ev.encoded(li, "fault", "label").withColumn("label", F.col("label").cast("double"))
-    folds = ev.stratified_folds(coded, "key", "label", 3).select("label", "fold", "l_quantity", "l_extendedprice", "l_discount", "l_tax").cache()
+    folds = ev.stratified_folds(coded, "key", "label", 5).select("label", "fold", "l_quantity", "l_extendedprice", "l_discount", "l_tax").cache()
     features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    models = ml.classifiers(len(features), 6, trees=10)
-    chosen = {k: models[k] for k in ("logistic", "forest")}
-    return ml.fold_accuracies(folds, features, chosen).groupBy("model").agg(_r(F.avg("accuracy")).alias("accuracy"), F.count("*").alias("folds"))
+    return ml.fold_accuracies(folds, features, ml.classifiers(len(features), 6)).groupBy("model").agg(_r(F.avg("accuracy")).alias("accuracy"), F.count("*").alias("folds"))
 
 
 @query()

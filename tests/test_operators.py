@@ -9,8 +9,11 @@ from gridloom.operators import evaluate as ev
 from gridloom.operators import graph as gr
 from gridloom.operators import grounding, lookup, ml, retrieval, trading
 from gridloom.operators import timeseries as ts
+from gridloom.plans import library
 from gridloom.streaming.events import hourly_counts, run_to_table
 
+from .conftest import SF
+
 H = lambda n: dt.datetime(2018, 1, 6) + dt.timedelta(hours=n)  # noqa: E731  a Saturday
 
 
@@ -206,3 +209,35 @@ def test_bpe_counts(spark):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = [r.tokens for r in bpe_counts(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()]
     assert got == [len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def test_model_queries_run_the_whole_job(spark, monkeypatch):
+    seen = {}
+
+    def trained(rows, trees=100, depth=6, rate=0.1):
+        seen["load"] = trees, depth, rate
+        raise InterruptedError
+
+    def folded(folds, features, models):
+        seen["folds"], seen["models"] = folds.select("fold").distinct().count(), models
+        raise InterruptedError
+
+    monkeypatch.setattr(ml, "load_model", trained)
+    monkeypatch.setattr(ml, "fold_accuracies", folded)
+    for name in ("gbt_forecast", "fault_models_cv"):
+        with pytest.raises(InterruptedError):
+            getattr(library, name)(spark, SF)
+    assert seen["load"] == (100, 6, 0.1) and seen["folds"] == 5
+    m = seen["models"]
+    assert set(m) == {"logistic", "forest", "perceptron", "boosted"}
+    assert m["forest"].getNumTrees() == 100 and m["perceptron"].getMaxIter() == 300 and m["logistic"].getMaxIter() == 500
+    boosted = m["boosted"].getClassifier()
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (100, 6, 0.3)
+
+
+def test_all_classifiers_fit(spark):
+    rows = [(float(i % 7), float(i % 5), float(i % 7 > 3), i % 2) for i in range(120)]
+    folds = spark.createDataFrame(rows, "a double, b double, label double, fold int")
+    out = ml.fold_accuracies(folds, ["a", "b"], ml.classifiers(2, 2, trees=2)).collect()
+    assert len(out) == 8 and {r.model for r in out} == {"logistic", "forest", "perceptron", "boosted"}
+    assert min(r.accuracy for r in out) > 0.8
