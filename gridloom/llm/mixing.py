@@ -2,20 +2,24 @@
 
 The documents of a source, in a seeded random order, form blocks. Block i of a source of weight w (its share of
 the slots) is released at slot floor(i / w) and due at ceil((i + 1) / w); earliest deadline first gives every slot
-a block, so that after any number of slots each source is less than one block from its share. The schedule repeats
-with the period of the integer weights, so one period of it, as long as that period at most, serves any number of
-blocks. When a source has given its last block, a new phase begins with the weights of the sources that are left.
+a block, so that after any number of slots each source is less than one block from its share. Weights are exact
+fractions. The schedule is written by one task, a slot at a time, which holds one block of each source. When a source
+has given its last block, a new phase begins with the weights of the sources that are left.
 
 Defined results: a null source is a source of its own; texts do not matter; every row gets one position, repeated
-rows too; a source without a weight in `weights` gets the smallest weight; an empty table gives no rows. Columns of
+rows too; a source without a weight in `weights` gets the smallest weight; a source of weight 0 comes after all others; an empty table gives no rows. Columns of
 the input stay; a column of the same name as a new one is replaced.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import count, islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -24,6 +28,7 @@ from gridloom.llm.work import staged
 
 ADDED = ("position", "slot", "block")
 PERIOD = 1000
+SLOTS_AT_ONCE = 10_000
 
 
 def integer_weights(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -32,41 +37,49 @@ def integer_weights(weights: Mapping[str, float], period: int = PERIOD) -> dict[
     return {s: max(1, round(period * w / total)) for s, w in weights.items()}
 
 
-def pfair_period(weights: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period of sum(weights) slots: earliest deadline first among released blocks."""
-    period, slots = sum(weights.values()), {s: [] for s in weights}
+def exact_weights(shares: Mapping[str, float]) -> dict[str, int]:
+    """Integers in exactly the ratio of the shares."""
+    parts = {s: Fraction(x) for s, x in shares.items()}
+    whole = math.lcm(*[x.denominator for x in parts.values()])
+    return {s: int(x * whole) for s, x in parts.items()}
+
+
+def pfair(weights: Mapping[str, int]) -> Iterator[tuple[str, int]]:
+    """The source and block of each slot, without end: earliest deadline first among released blocks."""
+    period = sum(weights.values())
     later = [(0, s, 0) for s in sorted(weights)]  # by release
     ready: list[tuple[int, int, str, int]] = []  # by deadline; of equal ones, the heavier source
     heapq.heapify(later)
-    for t in range(period):
+    for t in count():
         while later and later[0][0] <= t:
             _, s, i = heapq.heappop(later)
             heapq.heappush(ready, (-(-(i + 1) * period // weights[s]), -weights[s], s, i))
         _, _, s, i = heapq.heappop(ready)
+        yield s, i
+        heapq.heappush(later, ((i + 1) * period // weights[s], s, i + 1))
+
+
+def pfair_period(weights: Mapping[str, int]) -> dict[str, list[int]]:
+    """The slots of each source in one period of sum(weights) slots."""
+    slots = {s: [] for s in weights}
+    for t, (s, _) in enumerate(islice(pfair(weights), sum(weights.values()))):
         slots[s].append(t)
-        if i + 1 < weights[s]:
-            heapq.heappush(later, ((i + 1) * period // weights[s], s, i + 1))
     return slots
 
 
-def phases(counts: Mapping[str, int], weights: Mapping[str, int], size: int) -> list[tuple]:
-    """source, first, last (blocks), per (blocks a period), period, slot and position at the start, slots: as many phases as sources at most."""
+def schedule(counts: Mapping[str, int], weights: Mapping[str, int], size: int) -> Iterator[tuple[str, int, int, int]]:
+    """source, block, slot and position of its first row, in the order of slots, for all blocks."""
     left = {s: -(-n // size) for s, n in counts.items() if n}
-    given, slot, position, out = dict.fromkeys(left, 0), 0, 0, []
+    given, slot, position = dict.fromkeys(left, 0), 0, 0
     while left:
-        w = {s: weights[s] for s in left}
-        plan, period = pfair_period(w), sum(w.values())
-        last = {s: (n - 1) // w[s] * period + plan[s][(n - 1) % w[s]] for s, n in left.items()}
-        ends = min(last, key=last.get)
-        stop = last[ends] + 1
-        for s in sorted(left):
-            n = stop // period * w[s] + sum(t < stop % period for t in plan[s])
-            out.append((s, given[s], given[s] + n, w[s], period, slot, position, plan[s]))
-            given[s] += n
-            left[s] -= n
-        slot, position = slot + stop, position + stop * size - (-counts[ends] % size)
-        del left[ends]
-    return out
+        own = {s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, 1)
+        for s, _ in pfair(own):
+            yield s, given[s], slot, position
+            position += min(size, counts[s] - given[s] * size)
+            given[s], slot = given[s] + 1, slot + 1
+            if given[s] == left[s]:
+                del left[s]
+                break
 
 
 def _with_row_id(docs: DataFrame) -> DataFrame:
@@ -102,10 +115,14 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: fl
     shares = {s: float(n) ** alpha for s, n in counts.items()}
     if weights is not None:
         shares = {s: float(weights.get(s[1:] if s else None, min(weights.values()))) for s in counts}
-    plan = phases(counts, integer_weights(shares), block) if counts else []
-    plan = spark.createDataFrame(plan, "_s string, first long, last long, per long, period long, slot0 long, position0 long, slots array<long>")
+    exact = exact_weights(shares) if counts else {}
+
+    def planned(_):
+        slots = schedule(counts, exact, block)
+        while out := list(islice(slots, SLOTS_AT_ONCE)):
+            yield pd.DataFrame(out, columns=["_s", "block", "slot", "first"])
+
+    plan = staged(spark.range(0, 1, 1, 1).mapInPandas(planned, "_s string, block long, slot long, first long"), "slots")
     ranked = table.join(starts, ["_part", "_s"]).withColumn("_k", F.col("base") + F.col("_i") - F.col("lo")).withColumn("block", F.floor(F.col("_k") / block))
-    at = ranked.join(plan, "_s").where("block >= first and block < last").withColumn("_b", F.col("block") - F.col("first"))
-    turn = F.expr("_b div per * period + element_at(slots, cast(_b % per as int) + 1)")
-    at = at.select("_file", "_row", "block", (F.col("slot0") + turn).alias("slot"), (F.col("position0") + turn * block + F.col("_k") % block).alias("position"))
+    at = ranked.join(plan, ["_s", "block"]).select("_file", "_row", "block", "slot", (F.col("first") + F.col("_k") % block).alias("position"))
     return rows.join(at, ["_file", "_row"]).drop("_file", "_row")

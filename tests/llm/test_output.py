@@ -171,6 +171,24 @@ def test_mixing_keeps_each_source_within_a_block(spark, odd, none):
     assert mixing.mixed(none).count() == 0
 
 
+@pytest.mark.parametrize("counts", [[333_333, 200_000, 90_000, 40_000, 9_000, 2_000, 900, 300, 100], [900_000, *[30_000] * 30]])
+def test_mixing_keeps_unrounded_weights(counts):
+    counts = {f"s{k:02}": n for k, n in enumerate(counts)}
+    shares = {s: n**0.5 for s, n in counts.items()}
+    exact, given_ = mixing.exact_weights(shares), collections.Counter()
+    total = sum(exact.values())
+    for t, (s, block, slot, first) in enumerate(mixing.schedule(counts, exact, 1), 1):
+        assert (block, slot, first) == (given_[s], t - 1, t - 1)
+        given_[s] += 1
+        if t % 97 == 0:
+            assert all(abs(given_[x] * total - t * w) < total for x, w in exact.items())
+        if t == 30_000 or given_[s] == counts[s]:
+            break
+    assert t > 2000 and all(math.isclose(exact[s] / total, x / sum(shares.values())) for s, x in shares.items())
+    whole = list(mixing.schedule({"a": 50, "b": 7, "c": 33}, {"a": 3, "b": 0, "c": 1}, 4))
+    assert len(whole) == 13 + 2 + 9 and whole[-1][0] == "b" and whole[-1][3] == 90 - 3
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.sampled_from("abcdefgh"), st.integers(1, 40), min_size=1))
 def test_pfair_period(weights):
