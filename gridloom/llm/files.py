@@ -36,3 +36,10 @@ def reading(uri: str):
 
         return pa.memory_map(path)
     return store.open_input_file(path)
+
+
+def remove(uri: str) -> None:
+    """Removes a folder with all that lies in it."""
+    store, path = at(uri)
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)

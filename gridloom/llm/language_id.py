@@ -22,7 +22,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.work import bounded_batches
 
 ADDED = ("lang_pred", "score", "cross_entropy", "rejected")
 ORDER, DISCOUNT, SPACE = 4, 0.75, 32
@@ -160,7 +159,6 @@ class Models:
 def train(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 1000, most_languages: int = 200) -> Models | None:
     """Models of the rows where `training` holds; a fifth of the sample calibrates them."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     own = docs.where(training & F.col(lang).isNotNull())
     counts = own.groupBy(F.col(lang).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
@@ -216,7 +214,6 @@ def train(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
 
 def identify(docs: DataFrame, m: Models | None, text: str = "text") -> DataFrame:
     """`docs` with lang_pred, score (posterior of the language), cross_entropy and rejected."""
-    bounded_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in ADDED if c != text])
     held = docs.sparkSession.sparkContext.broadcast(m)
 

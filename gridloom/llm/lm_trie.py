@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import files
-from gridloom.llm.work import bounded_batches, fresh_dir, staged
+from gridloom.llm.work import fresh_dir, staged
 
 ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 START, STEPS, FLOOR = 1, 65535, -14.0
@@ -352,7 +352,6 @@ def _bigrams(m: Model, docs: list[np.ndarray], starts: int) -> tuple[np.ndarray,
 def train(docs: DataFrame, text: str = "text", path: str | None = None) -> tuple[Model, int, int]:
     """The model over all texts, the number of them and of the types that start one."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     path = path or fresh_dir(spark, "lm")
     texts = docs.select(F.col(text).alias("text"))
     parts = max(1, texts.rdd.getNumPartitions())
@@ -455,7 +454,6 @@ def lm_scores(docs: DataFrame, training: Column, text: str = "text") -> DataFram
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in ADDED if c != text])
     m, n_docs, starts = train(docs.where(training), text)
-    bounded_batches(spark)
     names = [c for c in docs.columns]
 
     def score(batches):

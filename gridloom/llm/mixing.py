@@ -1,20 +1,23 @@
 """Mixing of sources to target weights by Pfair scheduling.
 
-The documents of a source, in a seeded random order, form blocks. Block i of a source of weight w (its share of
-the slots) is released at slot floor(i / w) and due at ceil((i + 1) / w); earliest deadline first gives every slot
-a block, so that after any number of slots each source is less than one block from its share. Weights are exact
-fractions. The schedule is written by one task, a slot at a time, which holds one block of each source. When a source
-has given its last block, a new phase begins with the weights of the sources that are left.
+The documents of a source, in a seeded random order, form blocks of `block` rows, which are scheduled as two halves. Half i
+of a source of weight w (its share of the slots) is released at slot floor(i / w) and due at ceil((i + 1) / w);
+earliest deadline first gives every slot a half. Weights are exact fractions.
+
+The slots are dealt into segments of SEGMENT slots, each of which is one task's work. At a segment's edge every
+source stands at its exact share, rounded down or up (the largest remainders up); inside, the segment's own counts
+are the weights. So after any number of slots each source is less than one half from the line between two edges, and
+an edge is less than one half from the share: together less than one block. When a source has given its last half, a
+new phase begins with the weights of the sources that are left; tasks work out the phases from the sources' counts.
 
 Defined results: a null source is a source of its own; texts do not matter; every row gets one position, repeated
-rows too; a source without a weight in `weights` gets the smallest weight; a source of weight 0 comes after all others; an empty table gives no rows. Columns of
-the input stay; a column of the same name as a new one is replaced.
+rows too; a source without a weight in `weights` gets the smallest weight; a source of weight 0 comes after all
+others; an empty table gives no rows. Columns of the input stay; a column of the same name as a new one is replaced.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from itertools import count, islice
@@ -22,32 +25,17 @@ from itertools import count, islice
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from gridloom.llm.work import staged
+from gridloom.llm.work import Shelter, numbered, scratch, staged
 
 ADDED = ("position", "slot", "block")
-PERIOD = 1000
-SLOTS_AT_ONCE = 10_000
-
-
-def integer_weights(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Integers of at least 1 in about the ratio of the weights."""
-    total = sum(weights.values())
-    return {s: max(1, round(period * w / total)) for s, w in weights.items()}
-
-
-def exact_weights(shares: Mapping[str, float]) -> dict[str, int]:
-    """Integers in exactly the ratio of the shares."""
-    parts = {s: Fraction(x) for s, x in shares.items()}
-    whole = math.lcm(*[x.denominator for x in parts.values()])
-    return {s: int(x * whole) for s, x in parts.items()}
+SEGMENT = 1 << 14
 
 
 def pfair(weights: Mapping[str, int]) -> Iterator[tuple[str, int]]:
-    """The source and block of each slot, without end: earliest deadline first among released blocks."""
+    """The source and number of each slot, without end: earliest deadline first among those that are released."""
     period = sum(weights.values())
-    later = [(0, s, 0) for s in sorted(weights)]  # by release
+    later = [(0, s, 0) for s in sorted(weights) if weights[s]]  # by release
     ready: list[tuple[int, int, str, int]] = []  # by deadline; of equal ones, the heavier source
     heapq.heapify(later)
     for t in count():
@@ -59,70 +47,87 @@ def pfair(weights: Mapping[str, int]) -> Iterator[tuple[str, int]]:
         heapq.heappush(later, ((i + 1) * period // weights[s], s, i + 1))
 
 
-def pfair_period(weights: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period of sum(weights) slots."""
-    slots = {s: [] for s in weights}
-    for t, (s, _) in enumerate(islice(pfair(weights), sum(weights.values()))):
-        slots[s].append(t)
-    return slots
+def shares_at(weights: Mapping[str, Fraction], slots: int) -> dict[str, int]:
+    """How many of the first `slots` slots each source has: its share rounded down, or up for the largest remainders."""
+    exact = {s: w * slots for s, w in weights.items()}
+    out = {s: int(x) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: slots - sum(out.values())]:
+        out[s] += 1
+    return out
 
 
-def schedule(counts: Mapping[str, int], weights: Mapping[str, int], size: int) -> Iterator[tuple[str, int, int, int]]:
-    """source, block, slot and position of its first row, in the order of slots, for all blocks."""
-    left = {s: -(-n // size) for s, n in counts.items() if n}
-    given, slot, position = dict.fromkeys(left, 0), 0, 0
+def phases(halves: Mapping[str, int], weights: Mapping[str, Fraction]) -> Iterator[tuple[int, int, dict[str, Fraction], dict[str, int]]]:
+    """first slot, number of slots, weights (they sum to 1) and halves given before, of each phase."""
+    left, slot = {s: n for s, n in halves.items() if n}, 0
     while left:
-        own = {s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, 1)
-        for s, _ in pfair(own):
-            yield s, given[s], slot, position
-            position += min(size, counts[s] - given[s] * size)
-            given[s], slot = given[s] + 1, slot + 1
-            if given[s] == left[s]:
-                del left[s]
-                break
-
-
-def _with_row_id(docs: DataFrame) -> DataFrame:
-    """`docs` with _file and _row, which name a row of the files that it is read from.
-
-    Rows that do not come one to one from files (a join or a generator may repeat them) are written first.
-    """
-    place = {"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
-    plan = docs._jdf.queryExecution().analyzed().toString()
-    if any(node in plan for node in ("Generate", "Join", "Expand")):
-        docs = staged(docs, "rows")
-    try:
-        return docs.withColumns(place)
-    except AnalysisException:
-        return staged(docs, "rows").withColumns(place)
+        own = {s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, Fraction(1))
+        total = sum(own.values())
+        own = {s: w / total for s, w in own.items()}
+        n = int(min(left[s] / w for s, w in own.items()))  # no share is beyond what its source has
+        yield slot, n, own, {s: halves[s] - left.get(s, 0) for s in own}
+        for s, k in shares_at(own, n).items():
+            left[s] -= k
+        left, slot = {s: k for s, k in left.items() if k}, slot + n
+
+
+def segment(own: Mapping[str, Fraction], before: Mapping[str, int], at: int, size: int) -> Iterator[tuple[str, int]]:
+    """source and half of the slots from `at` to `at + size` of a phase."""
+    a, b = shares_at(own, at), shares_at(own, at + size)
+    for s, i in islice(pfair({s: b[s] - a[s] for s in own}), size):
+        yield s, before[s] + a[s] + i
+
+
+def schedule(halves: Mapping[str, int], weights: Mapping[str, Fraction], size: int = SEGMENT) -> Iterator[tuple[str, int]]:
+    """source and half of every slot."""
+    for _, n, own, before in phases(halves, weights):
+        for at in range(0, n, size):
+            yield from segment(own, before, at, min(size, n - at))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = 0.5, block: int = 16, seed: int = 7, key: str = "doc_id", source: str = "source") -> DataFrame:
     """`docs` with position (from 0), slot and block. Without weights: shares in the ratio of count to the power alpha."""
-    spark = docs.sparkSession
-    rows = _with_row_id(docs.drop(*[c for c in ADDED if c not in (key, source)]))
-    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    narrow = rows.select(name.alias("_s"), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("_u"), "_file", "_row")
-    order = ["_s", "_u", "_file", "_row"]
-    table = staged(narrow.repartitionByRange(*order).sortWithinPartitions(*order), "ranked")
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
-    table = table.select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_i"))
-    sizes = table.groupBy("_part", "_s").agg(F.count("*").alias("n"), F.min("_i").alias("lo"))
-    # As many rows as files and sources in them: the place of a source's first row of a file within the source.
-    before = F.sum("n").over(Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_part", "_s", "lo", F.coalesce(before, F.lit(0)).alias("base"))
-    counts = {r["_s"]: r["n"] for r in sizes.groupBy("_s").agg(F.sum("n").alias("n")).collect()}
-    shares = {s: float(n) ** alpha for s, n in counts.items()}
-    if weights is not None:
-        shares = {s: float(weights.get(s[1:] if s else None, min(weights.values()))) for s in counts}
-    exact = exact_weights(shares) if counts else {}
-
-    def planned(_):
-        slots = schedule(counts, exact, block)
-        while out := list(islice(slots, SLOTS_AT_ONCE)):
-            yield pd.DataFrame(out, columns=["_s", "block", "slot", "first"])
-
-    plan = staged(spark.range(0, 1, 1, 1).mapInPandas(planned, "_s string, block long, slot long, first long"), "slots")
-    ranked = table.join(starts, ["_part", "_s"]).withColumn("_k", F.col("base") + F.col("_i") - F.col("lo")).withColumn("block", F.floor(F.col("_k") / block))
-    at = ranked.join(plan, ["_s", "block"]).select("_file", "_row", "block", "slot", (F.col("first") + F.col("_k") % block).alias("position"))
-    return rows.join(at, ["_file", "_row"]).drop("_file", "_row")
+    if block < 2 or block % 2:
+        raise ValueError("a block is two halves: its rows must be an even number")
+    spark, own, half = docs.sparkSession, Shelter(docs), block // 2
+    rows = numbered(own.df, "mixed-rows")
+    name = F.coalesce(F.concat(F.lit("="), F.col(own.name(source)).cast("string")), F.lit(""))
+    narrow = rows.select(name.alias("s"), F.xxhash64(F.lit(seed), F.col(own.name(key)).cast("string")).alias("u"), "row")
+    with scratch(spark, "mixing") as tmp:
+        order = ["s", "u", "row"]
+        ranked = narrow.repartitionByRange(*order).sortWithinPartitions(*order).select("s", "row", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("i"))
+        ranked = tmp.staged(ranked, "ranked")
+        # As many rows as parts and sources in them: the place of a source's first row of a part within the source.
+        sizes = tmp.staged(ranked.groupBy("part", "s").agg(F.count("*").alias("n"), F.min("i").alias("lo")), "sizes")
+        before = F.sum("n").over(Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        starts = sizes.select("part", "s", (F.col("lo") - F.coalesce(before, F.lit(0))).alias("off"))
+        counts = {r["s"]: r["n"] for r in sizes.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+        halves = {s: -(-n // half) for s, n in counts.items()}
+        shares = {s: Fraction(float(n) ** alpha) for s, n in counts.items()}
+        if weights is not None:
+            shares = {s: Fraction(weights.get(s[1:] if s else None, min(weights.values()))) for s in counts}
+        slots = sum(halves.values())
+
+        def planned(batches):
+            """The slots of each segment; a segment may hold the end of a phase and the start of the next."""
+            known = list(phases(halves, shares))
+            for pdf in batches:
+                for g in pdf["id"].tolist():
+                    lo, hi, out = g * SEGMENT, min(slots, (g + 1) * SEGMENT), []
+                    for first, n, own_, given in known:
+                        for at in range(max(0, lo - first) // SEGMENT * SEGMENT, min(n, max(0, hi - first)), SEGMENT):
+                            part = enumerate(segment(own_, given, at, min(SEGMENT, n - at)), first + at)
+                            out += [(s, k, t) for t, (s, k) in part if lo <= t < hi]
+                    yield pd.DataFrame(out, columns=["s", "k", "slot"]).assign(size=[min(half, counts[s] - k * half) for s, k, _ in out])
+
+        # Segment g of the table holds the slots from g * SEGMENT on; phases begin anywhere, so it asks for the phase's segments that meet it.
+        number = -(-slots // SEGMENT)
+        plan = spark.range(0, number, 1, max(1, number)).mapInPandas(planned, "s string, k long, slot long, size long")
+        plan = tmp.staged(plan.withColumn("g", F.floor(F.col("slot") / SEGMENT)), "slots")
+        ends = plan.groupBy("g").agg(F.sum("size").alias("size"))
+        ends = ends.select("g", F.coalesce(F.sum("size").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # as many rows as segments
+        inside = Window.partitionBy("g").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        first = plan.withColumn("first", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ends, "g").select("s", "k", "slot", (F.col("first") + F.col("base")).alias("first"))
+        placed = ranked.join(starts, ["part", "s"]).withColumn("j", F.col("i") - F.col("off")).withColumn("k", F.floor(F.col("j") / half))
+        at = placed.join(first, ["s", "k"]).select("row", F.floor(F.col("j") / block).alias("block"), "slot", (F.col("first") + F.col("j") % half).alias("position"))
+        at = staged(at, "positions")
+    return own.restored(rows.join(at, "row"), ADDED, ADDED)

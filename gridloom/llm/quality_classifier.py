@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.work import bounded_batches
 
 FEATURES = ("chars", "upper", "digits", "points", "marks", "bars", "symbols", "lines", "odd", "word_length", "new_words", "new_lines", "new_triples", "long_words")
 _GROUPS = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": "0123456789", "points": ".,;:", "marks": "!?", "bars": "|", "symbols": "#*$%&<>@=_/\\{}[]^~+", "lines": "\n"}
@@ -100,7 +99,6 @@ def train(rows: DataFrame, statistic: str = "x", label: str = "label") -> Discri
 
 def with_statistics(docs: DataFrame, text: str = "text", into: str = "_x") -> DataFrame:
     """`docs` with the array of statistics."""
-    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("array<double>")
     def measured(texts: pd.Series) -> pd.Series:
@@ -111,7 +109,6 @@ def with_statistics(docs: DataFrame, text: str = "text", into: str = "_x") -> Da
 
 def scored(docs: DataFrame, model: Discriminant, text: str = "text") -> DataFrame:
     """`docs` with score."""
-    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

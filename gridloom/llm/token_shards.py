@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, files
-from gridloom.llm.work import bounded_batches, fresh_dir, staged
+from gridloom.llm.work import fresh_dir, staged
 
 MAGIC = b"GLIDS001"
 KEYS_IN_PART = 200_000
@@ -111,7 +111,6 @@ def _fingerprint(h: np.ndarray) -> np.ndarray:
 def write_token_shards(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, width: int = 2, path: str | None = None) -> TokenShards:
     """Encodes all documents, writes shards in ascending key order and the index. `width`: bytes an id."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     path = path or fresh_dir(spark, "shards")
     kind, most = f"<u{width}", 256**width - 1
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("i"))

@@ -1,13 +1,20 @@
-"""Where operators keep intermediate tables: a folder that every executor sees."""
+"""Where operators keep intermediate tables, and how they keep clear of their inputs' column names."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager, suppress
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import files
 
 _LOCAL: dict[str, str] = {}
+_KEPT: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,12 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-gridloom-")
+        _KEPT.append(_LOCAL[app])
     return _LOCAL[app]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is written yet."""
-    return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder; nothing is written yet. `release` removes it."""
+    path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex[:12]}"
+    _KEPT.append(path)
+    return path
+
+
+def release() -> None:
+    """Removes the folders that operators of this process made; their results can no longer be read. Runs at exit, too."""
+    while _KEPT:
+        with suppress(OSError):  # gone already, or kept by the store
+            files.remove(_KEPT.pop())
+
+
+atexit.register(release)
 
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -35,7 +55,79 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, so that very long texts do not add up in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+class Scratch:
+    """A folder for the tables that only one call needs."""
+
+    def __init__(self, path: str):
+        self.path, self.number = path, 0
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        self.number += 1
+        return staged(df, name, f"{self.path}/{self.number}-{name}")
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Scratch]:
+    """A Scratch whose tables are removed at the end: what is returned must not read them."""
+    path = fresh_dir(spark, name)
+    try:
+        yield Scratch(path)
+    finally:
+        with suppress(OSError):
+            files.remove(path)
+            _KEPT.remove(path)
+
+
+class Shelter:
+    """The input under generated names (in0, in1, ...), so that no name of an operator can clash with its columns."""
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.df = docs.toDF(*[f"in{i}" for i in range(len(self.names))])
+
+    def name(self, column: str) -> str:
+        """The generated name of a column."""
+        low = [n.lower() for n in self.names]
+        if column.lower() not in low:
+            raise ValueError(f"no column {column}; there are {', '.join(self.names)}")
+        return f"in{low.index(column.lower())}"
+
+    def only(self, columns: Sequence[str]) -> DataFrame:
+        """The input, of these columns alone, under the generated names."""
+        low = {c.lower() for c in columns}
+        return self.df.select(*[f"in{i}" for i, n in enumerate(self.names) if n.lower() in low])
+
+    def restored(self, df: DataFrame, added: Sequence[str | Column], names: Sequence[str]) -> DataFrame:
+        """The input's columns that `df` has, under their own names but for those in `names`; then `added`, which have these names."""
+        low, have = {n.lower() for n in names}, set(df.columns)
+        own = [F.col(f"in{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in low and f"in{i}" in have]
+        return df.select(*own, *added)
+
+
+def numbered(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """`df` written once, with the column `row`: a number for each row that later reads repeat."""
+    return staged(df.withColumn("row", F.monotonically_increasing_id()), name, path)
+
+
+HOT = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, spread: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with `groups` (one row for each value of `on`; `size`: its number of rows).
+
+    Groups with more than a thousandth of all rows, at most HOT of them, are broadcast and their rows are dealt by
+    `spread`, so that no task gets a whole hot group; the others are joined by a shuffle.
+    """
+    value = [c for c in groups.columns if c != on]
+    packed = groups.select(F.col(on).alias("_on"), F.struct(*value).alias("_v"))
+    large = F.col("_v")[size] > max(1, total // HOT)
+    hot = F.broadcast(packed.where(large).select(F.col("_on").alias("_hot"), F.col("_v").alias("_hv")))
+    out = rows.join(hot, F.col(on) == F.col("_hot"), "left")
+    none = F.lit(None).cast(rows.schema[on].dataType)
+    out = out.withColumn("_cold", F.when(F.col("_hot").isNull(), F.col(on)).otherwise(none))
+    out = out.withColumn("_deal", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")))
+    cold = packed.where(~large).withColumnsRenamed({"_on": "_cold", "_v": "_cv"}).withColumn("_deal", F.lit(0))
+    out = out.join(cold, ["_cold", "_deal"], "left").withColumn("_v", F.coalesce("_hv", "_cv"))
+    if how == "inner":
+        out = out.where(F.col("_v").isNotNull())
+    return out.select(*[F.col(c) for c in rows.columns], *[F.col("_v")[c].alias(c) for c in value])
