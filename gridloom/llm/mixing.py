@@ -4,11 +4,11 @@ The documents of a source, in a seeded random order, form blocks of `block` rows
 of a source of weight w (its share of the slots) is released at slot floor(i / w) and due at ceil((i + 1) / w);
 earliest deadline first gives every slot a half. Weights are exact fractions.
 
-The slots are dealt into segments of SEGMENT slots, each of which is one task's work. At a segment's edge every
-source stands at its exact share, rounded down or up (the largest remainders up); inside, the segment's own counts
-are the weights. So after any number of slots each source is less than one half from the line between two edges, and
+The slots are dealt into segments, each of which is one task's work: SEGMENT slots, or as many as give the lightest
+source a whole half. At a segment's edge every source stands at its exact share, rounded down or up (the largest
+remainders up); inside, the segment's own counts are the weights. So after any number of slots each source is less than one half from the line between two edges, and
 an edge is less than one half from the share: together less than one block. When a source has given its last half, a
-new phase begins with the weights of the sources that are left; tasks work out the phases from the sources' counts.
+new phase begins with the weights of the sources that are left; tasks work out phases and segments from the sources' counts.
 
 Defined results: a null source is a source of its own; texts do not matter; every row gets one position, repeated
 rows too; a source without a weight in `weights` gets the smallest weight; a source of weight 0 comes after all
@@ -18,6 +18,7 @@ others; an empty table gives no rows. Columns of the input stay; a column of the
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from itertools import count, islice
@@ -70,8 +71,19 @@ def phases(halves: Mapping[str, int], weights: Mapping[str, Fraction]) -> Iterat
         left, slot = {s: k for s, k in left.items() if k}, slot + n
 
 
-def segment(own: Mapping[str, Fraction], before: Mapping[str, int], at: int, size: int) -> Iterator[tuple[str, int]]:
-    """source and half of the slots from `at` to `at + size` of a phase."""
+def segments(halves: Mapping[str, int], weights: Mapping[str, Fraction], size: int) -> Iterator[tuple[int, int, int, dict[str, Fraction], dict[str, int]]]:
+    """first slot, place in its phase, number of slots, weights and halves given before the phase, of each segment.
+
+    A segment is long enough that a share grows by one or more: so no share, up or down, is less at its end."""
+    for first, n, own, before in phases(halves, weights):
+        step = max(size, math.ceil(1 / min(own.values())))
+        for k in range(max(1, n // step)):
+            at = k * step
+            yield first + at, at, (n if k + 2 > n // step else at + step) - at, own, before
+
+
+def slots_of(at: int, size: int, own: Mapping[str, Fraction], before: Mapping[str, int]) -> Iterator[tuple[str, int]]:
+    """source and half of the slots of a segment."""
     a, b = shares_at(own, at), shares_at(own, at + size)
     for s, i in islice(pfair({s: b[s] - a[s] for s in own}), size):
         yield s, before[s] + a[s] + i
@@ -79,9 +91,8 @@ def segment(own: Mapping[str, Fraction], before: Mapping[str, int], at: int, siz
 
 def schedule(halves: Mapping[str, int], weights: Mapping[str, Fraction], size: int = SEGMENT) -> Iterator[tuple[str, int]]:
     """source and half of every slot."""
-    for _, n, own, before in phases(halves, weights):
-        for at in range(0, n, size):
-            yield from segment(own, before, at, min(size, n - at))
+    for _, *part in segments(halves, weights, size):
+        yield from slots_of(*part)
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = 0.5, block: int = 16, seed: int = 7, key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -105,24 +116,19 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: fl
         shares = {s: Fraction(float(n) ** alpha) for s, n in counts.items()}
         if weights is not None:
             shares = {s: Fraction(weights.get(s[1:] if s else None, min(weights.values()))) for s in counts}
-        slots = sum(halves.values())
+        number = sum(1 for _ in segments(halves, shares, SEGMENT))
 
         def planned(batches):
-            """The slots of each segment; a segment may hold the end of a phase and the start of the next."""
-            known = list(phases(halves, shares))
             for pdf in batches:
-                for g in pdf["id"].tolist():
-                    lo, hi, out = g * SEGMENT, min(slots, (g + 1) * SEGMENT), []
-                    for first, n, own_, given in known:
-                        for at in range(max(0, lo - first) // SEGMENT * SEGMENT, min(n, max(0, hi - first)), SEGMENT):
-                            part = enumerate(segment(own_, given, at, min(SEGMENT, n - at)), first + at)
-                            out += [(s, k, t) for t, (s, k) in part if lo <= t < hi]
-                    yield pd.DataFrame(out, columns=["s", "k", "slot"]).assign(size=[min(half, counts[s] - k * half) for s, k, _ in out])
-
-        # Segment g of the table holds the slots from g * SEGMENT on; phases begin anywhere, so it asks for the phase's segments that meet it.
-        number = -(-slots // SEGMENT)
-        plan = spark.range(0, number, 1, max(1, number)).mapInPandas(planned, "s string, k long, slot long, size long")
-        plan = tmp.staged(plan.withColumn("g", F.floor(F.col("slot") / SEGMENT)), "slots")
+                mine = set(pdf["id"].tolist())
+                for g, (first, *part) in enumerate(segments(halves, shares, SEGMENT)):
+                    if g in mine:
+                        slots = enumerate(slots_of(*part), first)
+                        while out := [(g, s, k, t, min(half, counts[s] - k * half)) for t, (s, k) in islice(slots, 10_000)]:
+                            yield pd.DataFrame(out, columns=["g", "s", "k", "slot", "size"])
+
+        plan = spark.range(0, number, 1, max(1, number)).mapInPandas(planned, "g long, s string, k long, slot long, size long")
+        plan = tmp.staged(plan, "slots")
         ends = plan.groupBy("g").agg(F.sum("size").alias("size"))
         ends = ends.select("g", F.coalesce(F.sum("size").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # as many rows as segments
         inside = Window.partitionBy("g").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)

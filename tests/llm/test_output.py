@@ -155,17 +155,18 @@ def test_lower_bound_never_exceeds_the_best_packing(lengths):
 
 def deviation(halves, weights, size):
     """The most that a source is from its share, in halves of a block, over all slots of all phases; checks that all halves come, in order."""
-    given_, worst = collections.Counter(), 0.0
-    for _, n, own, before in mixing.phases(halves, weights):
-        now, t, shares = collections.Counter(), 0, {s: float(w) for s, w in own.items()}
-        for at in range(0, n, size):
-            for s, k in mixing.segment(own, before, at, min(size, n - at)):
-                assert k == given_[s]
-                given_[s] += 1
-                now[s] += 1
-                t += 1
-                if len(own) < 6 or t % 31 == 0:
-                    worst = max(worst, max(abs(now[x] - w * t) for x, w in shares.items()))
+    given_, now, worst, t = collections.Counter(), None, 0.0, 0
+    for first, at, n, own, before in mixing.segments(halves, weights, size):
+        assert first == sum(given_.values())
+        if at == 0:
+            now, t, shares = collections.Counter(), 0, {s: float(w) for s, w in own.items()}
+        for s, k in mixing.slots_of(at, n, own, before):
+            assert k == given_[s]
+            given_[s] += 1
+            now[s] += 1
+            t += 1
+            if len(own) < 6 or t % 31 == 0:
+                worst = max(worst, max(abs(now[x] - w * t) for x, w in shares.items()))
     assert given_ == collections.Counter({s: n for s, n in halves.items() if n})
     return worst
 
@@ -186,6 +187,7 @@ def test_mixing_keeps_unrounded_weights(counts):
 def test_mixing_of_any_counts_and_weights(sources, size):
     halves, weights = {s: n for s, (n, _) in sources.items()}, {s: Fraction(w) for s, (_, w) in sources.items()}
     assert deviation(halves, weights, size) < 2
+    assert collections.Counter(s for s, _ in mixing.schedule(halves, weights, size)) == collections.Counter({s: n for s, n in halves.items() if n})
 
 
 def test_mixing_positions_follow_the_schedule(spark, odd, none, monkeypatch):
