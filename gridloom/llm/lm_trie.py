@@ -5,36 +5,42 @@ into shards. In a shard, the contexts (first words) and the pointers to their ru
 Elias-Fano sequences; the successors of a context are stored relative to the end of the run before it, which makes
 the whole level monotone, so that it is an Elias-Fano sequence too. A successor is found by computing its
 context-relative value and searching the few elements that share its high part. Beside each successor stands its
-discounted probability, quantised to 16 bits in log10. All levels are files in the shared folder that scoring
-tasks map into memory; they grow with the training text, nothing is pruned.
+discounted probability, quantised to 16 bits in log10. All levels are files in the shared folder; they grow with the
+text, nothing is pruned.
+
+Texts become chunks of about TOKENS_AT_ONCE tokens. A chunk sends its distinct words to their word shards and its
+distinct bigrams to their trie shards; a shard adds up what the training texts have, writes its level, and answers
+each chunk from it. So a task maps one shard's file, whatever the size of the model, and each is read by one task.
+Shards are as many as the tokens ask for; a frequent context is dealt over several by its second words.
 
 Words are known by 64-bit hashes (two words that share one count as one word; at a billion words that is to be
-expected for a few hundredths of a pair).
+expected for a few hundredths of a pair). Word ids have 40 bits, which is checked.
 
 Defined results: a null text is an empty text, whose only token is the end; with no training token every word is
-unknown; every row gives one row, repeated rows included. Columns of the input stay; a column of the same name as
-a new one is replaced.
+unknown and all scores are 0; every row gives one row, repeated rows included. Columns of the input stay; a column
+of the same name as a new one is replaced.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import files
-from gridloom.llm.work import fresh_dir, staged
+from gridloom.llm.work import Shelter, fresh_dir, numbered, scratch, staged
 
 ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-START, STEPS, FLOOR = 1, 65535, -14.0
+START, STEPS, ABSENT, FLOOR = 1, 65534, 65535, -14.0
 END = xxhash.xxh3_64_intdigest(b"")
-FLUSH = 3_000_000
+TOKENS_AT_ONCE, TOKENS_IN_SHARD = 500_000, 2_000_000
+ID_BITS = 40
 DISCOUNT = 0.75
 
 
@@ -164,20 +170,28 @@ def _load(uri: str) -> dict[str, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the levels are: `words` files by the top bits of the hash, `shards` files of the trie."""
+    """Where the levels are: `words` files by the top bits of the hash, `shards` files of the trie; sizes: the types of each word file."""
 
     path: str
     bits: int
     shards: int
-    tokens: int
-    types: int
     spread: int
-    sizes: tuple[int, ...]
+    tokens: int = 0
+    docs: int = 0
+    sizes: tuple[int, ...] = ()
+
+    @property
+    def types(self) -> int:
+        return sum(self.sizes)
+
+    def bases(self) -> np.ndarray:
+        """The first word id of each word file; ids start at 2."""
+        return np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)]) + 2
 
 
 def hashes_of(text: str | None) -> np.ndarray:
     """Hashes of the tokens: A-Z lower-cased words between x20 and x09 to x0D, then the end."""
-    words = (text or "").encode().lower().split()
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     out = np.empty(len(words) + 1, np.uint64)
     out[:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     out[-1] = END
@@ -194,289 +208,287 @@ def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(counts[order], first)
 
 
-def _packed(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
-    """A row for each shard: its keys, sorted, as differences by byte planes, and its counts."""
+def _packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Unsigned integers by byte planes, compressed; rising ones as differences."""
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    order = np.lexsort((keys, shard))
-    shard, keys, counts = shard[order], keys[order], counts[order]
-    edges = np.concatenate([np.flatnonzero(np.diff(shard, prepend=-1)), [len(shard)]])
-    out = []
-    for a, b in zip(edges, edges[1:]):
-        steps = np.diff(keys[a:b], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
-        out.append((int(shard[a]), squeeze(np.ascontiguousarray(steps.T).tobytes()), squeeze(counts[a:b].astype("<u4").tobytes())))
-    return pd.DataFrame(out, columns=["shard", "keys", "counts"])
+    v = np.ascontiguousarray(values).astype(np.uint64)
+    if rising:
+        v = np.diff(v, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(raw: bytes, rising: bool = False) -> np.ndarray:
     import zstandard
 
-    open_ = zstandard.ZstdDecompressor().decompress
-    n = np.frombuffer(open_(counts), "<u4").astype(np.int64)
-    planes = np.frombuffer(open_(keys), np.uint8).reshape(8, len(n))
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64), n
-
-
-_PACKED = "shard int, keys binary, counts binary"
-
-
-def _merged(batches):
-    """shard, keys, counts for each shard of the partition, its rows side by side."""
-    now, keys, counts = None, [], []
-
-    def total():
-        return now, *_sums(np.concatenate(keys), np.concatenate(counts))
-
-    for pdf in batches:
-        for shard, k, c in pdf.itertuples(index=False, name=None):
-            if now is not None and shard != now:
-                yield total()
-                keys, counts = [], []
-            now = shard
-            k, c = _unpacked(k, c)
-            keys.append(k)
-            counts.append(c)
-            if len(keys) >= 16:  # keeps memory near the distinct keys
-                k, c = _sums(np.concatenate(keys), np.concatenate(counts))
-                keys, counts = [k], [c]
-    if now is not None:
-        yield total()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    v = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    return np.cumsum(v, dtype=np.uint64) if rising else v
 
 
-def _places(spark: SparkSession, n: int) -> np.ndarray:
-    """For each of n partitions a number that Spark's hash deals to it, so that no two shards meet in one task."""
-    rows = spark.range(30 * n + 100).select(F.expr(f"pmod(hash(id), {n})").alias("p"), "id").groupBy("p").agg(F.min("id").alias("id")).collect()
-    out = np.arange(n, dtype=np.int64)
-    for p, i in rows:
-        out[p] = i
-    return out
-
+CHUNK = "chunk long, n long, rows binary, lengths binary, teaches binary, words binary, tokens binary"
 
-def _gather(texts: DataFrame, keys_of, shards: int) -> DataFrame:
-    """The sums of keys over all texts of each task, dealt by shard. keys_of(list of hashes) gives shard and key of each token."""
 
-    places = _places(texts.sparkSession, shards)
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Chunks of the texts of rows with row, text and teaches: their distinct words' hashes, and each token's place among them."""
 
-    def count(batches):
-        keys, shard, n = [], [], 0
+    def cut(batches):
+        base, number = TaskContext.get().partitionId() << 32, 0
+        rows, teaches, tokens, size = [], [], [], 0
 
         def flush():
-            k, s = np.concatenate(keys), np.concatenate(shard)
-            k, first, c = np.unique(k, return_index=True, return_counts=True)
-            out = _packed(s[first], k, c)
-            return out.assign(place=places[out["shard"]])
+            words, at = np.unique(np.concatenate(tokens), return_inverse=True)
+            lengths = np.array([len(t) for t in tokens], np.int64)
+            one = (base + number, len(at), _packed(np.array(rows)), _packed(lengths), np.array(teaches, np.uint8).tobytes(), _packed(words, True), _packed(at))
+            return pd.DataFrame([one], columns=[c.split()[0] for c in CHUNK.split(", ")])
 
         for pdf in batches:
-            if not len(pdf):
-                continue
-            s, k = keys_of([hashes_of(t) for t in pdf["text"]])
-            keys.append(k)
-            shard.append(s)
-            n += len(k)
-            if n >= FLUSH:
-                yield flush()
-                keys, shard, n = [], [], 0
-        if n:
+            for row, text, teach in zip(pdf["row"], pdf["text"], pdf["teaches"], strict=True):
+                rows.append(row)
+                teaches.append(bool(teach))
+                tokens.append(hashes_of(text))
+                size += len(tokens[-1])
+                if size >= TOKENS_AT_ONCE:
+                    yield flush()
+                    rows, teaches, tokens, size, number = [], [], [], 0, number + 1
+        if rows:
             yield flush()
 
-    dealt = texts.mapInPandas(count, f"{_PACKED}, place long").repartition(shards, "place")
-    return dealt.sortWithinPartitions("shard").select("shard", "keys", "counts")
+    return docs.mapInPandas(cut, CHUNK)
 
 
 def _shard_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-@lru_cache(maxsize=4096)
-def _words(path: str, shard: int) -> dict[str, np.ndarray]:
-    return _load(f"{path}/words-{shard}")
-
-
-@lru_cache(maxsize=4096)
-def _weights(path: str, shard: int) -> np.ndarray:
-    return _load(f"{path}/weights-{shard}")["types"]
-
-
-@lru_cache(maxsize=4096)
-def _trie(path: str, shard: int) -> tuple[EliasFano, EliasFano, EliasFano, np.ndarray]:
-    a = _load(f"{path}/trie-{shard}")
-    return EliasFano.of(a, "contexts"), EliasFano.of(a, "pointers"), EliasFano.of(a, "successors"), a["log10"]
-
-
-def _ids(m: Model, hashes: np.ndarray, with_types: bool = False) -> tuple[np.ndarray, ...]:
-    """Word ids from 2 (0: unknown) and counts of hashes; with_types: also the successor types of each word as a context."""
-    ids, counts = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-    types = np.zeros(len(hashes), np.int64)
-    shard = _shard_of(hashes, m.bits)
-    base = np.concatenate([[0], np.cumsum(m.sizes)])
-    for s in np.unique(shard).tolist():
-        own = np.flatnonzero(shard == s)
-        if not m.sizes[s]:
-            continue
-        level = _words(m.path, s)
-        k = np.minimum(np.searchsorted(level["hashes"], hashes[own]), m.sizes[s] - 1)
-        hit = level["hashes"][k] == hashes[own]
-        ids[own[hit]] = base[s] + k[hit] + 2
-        counts[own[hit]] = level["counts"][k[hit]]
-        if with_types:
-            types[own[hit]] = _weights(m.path, s)[k[hit]]
-    return ids, counts, types
-
-
-def _deal(m: Model, context: np.ndarray, counts: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The shard of each bigram: by its context, and for frequent contexts also by its word."""
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        c = (context.astype(np.uint64) * mix) >> np.uint64(33)
-        w = (word.astype(np.uint64) * mix) >> np.uint64(33)
-    ways = np.minimum(1 + counts // m.spread, m.shards).astype(np.uint64)
-    return ((c + w % ways) % np.uint64(m.shards)).astype(np.int64)
-
-
-def _bigrams(m: Model, docs: list[np.ndarray], starts: int) -> tuple[np.ndarray, ...]:
-    """Of all tokens in a row: context id, context's count, id, count, and the types of the context."""
-    flat = np.concatenate(docs)
-    uniq, back = np.unique(flat, return_inverse=True)
-    ids, counts, types = (x[back] for x in _ids(m, uniq, starts >= 0))
-    ends = np.cumsum([len(d) for d in docs])
-    first = np.concatenate([[0], ends[:-1]])
-    before = np.concatenate([[0], ids[:-1]])
-    before_n = np.concatenate([[0], counts[:-1]])
-    before_t = np.concatenate([[0], types[:-1]])
-    before[first], before_n[first] = START, m.tokens  # the start is dealt as the most frequent context
-    before_t[first] = max(starts, 0)
-    return before, before_n, ids, counts, before_t
-
-
-def train(docs: DataFrame, text: str = "text", path: str | None = None) -> tuple[Model, int, int]:
-    """The model over all texts, the number of them and of the types that start one."""
-    spark = docs.sparkSession
-    path = path or fresh_dir(spark, "lm")
-    texts = docs.select(F.col(text).alias("text"))
-    parts = max(1, texts.rdd.getNumPartitions())
-    bits = max(0, math.ceil(math.log2(parts / 4)))
-
-    def write_words(batches):
-        for shard, keys, counts in _merged(batches):
-            _save(f"{path}/words-{shard}", {"hashes": keys, "counts": counts})
-            ends = int(counts[keys == np.uint64(END)].sum())
-            yield pd.DataFrame({"shard": [shard], "types": [len(keys)], "tokens": [int(counts.sum())], "ends": [ends]})
-
-    got = _gather(texts, lambda d: (_shard_of(h := np.concatenate(d), bits), h), 1 << bits)
-    sizes = {r["shard"]: r for r in staged(got.mapInPandas(write_words, "shard int, types long, tokens long, ends long"), "sizes").collect()}
-    tokens, n_docs = sum(r["tokens"] for r in sizes.values()), sum(r["ends"] for r in sizes.values())
-    shards = parts  # one for each part of the input, so that a shard's size does not grow with it
-    sizes = tuple(sizes[s]["types"] if s in sizes else 0 for s in range(1 << bits))
-    m = Model(path, bits, shards, tokens, sum(sizes), max(1, tokens // shards // 8), sizes)
-
-    def pairs(d):
-        context, n, word, _, _ = _bigrams(m, d, -1)
-        return _deal(m, context, n, word), (context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
-
-    def write_trie(batches):
-        for shard, keys, counts in _merged(batches):
-            context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            first = np.flatnonzero(np.diff(context, prepend=-1))
-            own, run = context[first], np.diff(np.append(first, len(context)))
-            last = word[first + run - 1] + 1
-            base = np.concatenate([[0], np.cumsum(last)[:-1]])
-            total = _counts_by_id(m, own, n_docs)
-            p = (counts - DISCOUNT) / np.repeat(total, run)
-            step = np.clip(np.rint(np.log10(p) / FLOOR * STEPS), 0, STEPS).astype(np.uint16)
-            levels = EliasFano.build(own).arrays("contexts") | EliasFano.build(np.append(first, len(context))).arrays("pointers")
-            _save(f"{path}/trie-{shard}", levels | EliasFano.build(np.repeat(base, run) + word + 1).arrays("successors") | {"log10": step})
-            yield pd.DataFrame({"id": own, "types": run})
-
-    found = _gather(texts, pairs, shards).mapInPandas(write_trie, "id long, types long")
-    types = staged(found, "types").groupBy("id").agg(F.sum("types").alias("types"))
-    base = np.concatenate([[0], np.cumsum(sizes)])
-
-    def write_weights(batches):
-        out: dict[int, list] = {}
+def _runs(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """value, start and end of each run of equal neighbours."""
+    if not len(values):
+        return []
+    edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return list(zip(values[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(values)], strict=True))
+
+
+class Chunk:
+    """A chunk's tokens, its words with what their shards answered, and its distinct bigrams."""
+
+    def __init__(self, row: pd.Series, answers: pd.DataFrame, m: Model):
+        self.rows, self.lengths = _unpacked(row["rows"]).astype(np.int64), _unpacked(row["lengths"]).astype(np.int64)
+        self.teaches = np.frombuffer(row["teaches"], np.uint8).astype(bool)
+        words, self.tokens = _unpacked(row["words"], True), _unpacked(row["tokens"]).astype(np.int64)
+        n, base = len(words), m.bases()
+        self.ids, self.counts, self.types = (np.zeros(n + 1, np.int64) for _ in range(3))  # the last place is the start's
+        spots = {s: (a, b) for s, a, b in _runs(_shard_of(words, m.bits))}
+        for r in answers[answers["idx"].notna()].itertuples(index=False):
+            a, b = spots[r.shard]
+            idx = _unpacked(r.idx).astype(np.int64)
+            self.ids[a:b] = np.where(idx > 0, base[r.shard] + idx - 1, 0)
+            self.counts[a:b] = _unpacked(r.counts)
+            if r.types is not None:
+                self.types[a:b] = _unpacked(r.types)
+        self.ids[n], self.counts[n] = START, m.tokens  # the start is dealt as the most frequent context
+        first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        before = np.concatenate([[n], self.tokens[:-1]])
+        before[first] = n
+        key, self.which = np.unique((before << 32) | self.tokens, return_inverse=True)
+        self.context, self.word = key >> 32, key & 0xFFFFFFFF
+        known = np.flatnonzero((self.ids[self.context] > 0) & (self.ids[self.word] > 0))
+        shard = self._deal(m, known)
+        order = np.argsort(shard, kind="stable")
+        self.known, self.dealt = known[order], _runs(shard[order])
+
+    def _deal(self, m: Model, pairs: np.ndarray) -> np.ndarray:
+        """The shard of each bigram: by its context, and for frequent contexts also by its word."""
+        mix, context = np.uint64(0x9E3779B97F4A7C15), self.context[pairs]
+        with np.errstate(over="ignore"):
+            c = (self.ids[context].astype(np.uint64) * mix) >> np.uint64(33)
+            w = (self.ids[self.word[pairs]].astype(np.uint64) * mix) >> np.uint64(33)
+        ways = np.minimum(1 + self.counts[context] // m.spread, m.shards).astype(np.uint64)
+        return ((c + w % ways) % np.uint64(m.shards)).astype(np.int32)
+
+
+def _deal_words(chunks: DataFrame, bits: int) -> DataFrame:
+    """shard, chunk, words and their counts in the training texts."""
+
+    def deal(batches):
         for pdf in batches:
-            for s, own in pdf.groupby("shard"):
-                out.setdefault(int(s), []).append(own[["id", "types"]].to_numpy(np.int64))
-        for s, parts_ in out.items():
-            row, level = np.concatenate(parts_), np.zeros(sizes[s], np.int64)
-            level[row[:, 0] - 2 - base[s]] = row[:, 1]
-            _save(f"{path}/weights-{s}", {"types": level})
-            yield pd.DataFrame({"shard": [s]})
-
-    types = staged(types, "weights")
-    edges = [int(b) + 2 for b in base[1:-1]]
-    shard = F.lit(0)
-    for e in edges:
-        shard = shard + F.when(F.col("id") >= e, 1).otherwise(0)
-    words = types.where(F.col("id") > START).withColumn("shard", shard.cast("int"))
-    words.repartition(1 << bits, "shard").mapInPandas(write_weights, "shard int").agg(F.count("*")).collect()
-    starts = types.where(F.col("id") == START).agg(F.sum("types")).first()[0] or 0
-    return m, n_docs, starts
-
-
-def _counts_by_id(m: Model, ids: np.ndarray, n_docs: int) -> np.ndarray:
-    """How often each word is a context; each token but the end has one successor, the start has the documents."""
-    base = np.concatenate([[0], np.cumsum(m.sizes)]) + 2
-    out = np.full(len(ids), max(1, n_docs), np.int64)
-    shard = np.searchsorted(base, ids, side="right") - 1
-    for s in np.unique(shard[ids > START]).tolist():
-        own = np.flatnonzero((shard == s) & (ids > START))
-        out[own] = _words(m.path, s)["counts"][ids[own] - base[s]]
+            for r in pdf.itertuples(index=False):
+                words, tokens = _unpacked(r.words, True), _unpacked(r.tokens).astype(np.int64)
+                teaches = np.repeat(np.frombuffer(r.teaches, np.uint8).astype(bool), _unpacked(r.lengths).astype(np.int64))
+                n = np.bincount(tokens[teaches], minlength=len(words))
+                out = [(s, r.chunk, _packed(words[a:b], True), _packed(n[a:b])) for s, a, b in _runs(_shard_of(words, bits))]
+                yield pd.DataFrame(out, columns=["shard", "chunk", "words", "n"])
+
+    return chunks.select("chunk", "lengths", "teaches", "words", "tokens").mapInPandas(deal, "shard long, chunk long, words binary, n binary")
+
+
+ANSWER = "shard long, chunk long, idx binary, counts binary, types binary, codes binary"
+_ANSWER = [c.split()[0] for c in ANSWER.split(", ")]
+
+
+def _word_level(path: str):
+    """Writes a word shard's hashes and counts and answers its chunks: places (from 1; 0: unknown) and counts. Its own figures have no chunk."""
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard, asked = int(pdf["shard"].iloc[0]), [_unpacked(w, True) for w in pdf["words"]]
+        keys, n = _sums(np.concatenate(asked), np.concatenate([_unpacked(x).astype(np.int64) for x in pdf["n"]]))
+        hashes, counts = keys[n > 0], n[n > 0]
+        _save(f"{path}/words-{shard}", {"hashes": hashes, "counts": counts})
+        level = _load(f"{path}/words-{shard}")
+        out = [(shard, None, None, _packed(np.array([len(hashes), counts.sum(), counts[hashes == np.uint64(END)].sum()])), None, None)]
+        for chunk, words in zip(pdf["chunk"], asked, strict=True):
+            k = np.minimum(np.searchsorted(level["hashes"], words), max(0, len(hashes) - 1))
+            hit = level["hashes"][k] == words if len(hashes) else np.zeros(len(words), bool)
+            out.append((shard, chunk, _packed(np.where(hit, k + 1, 0)), _packed(np.where(hit, level["counts"][k] if len(hashes) else 0, 0)), None, None))
+        return pd.DataFrame(out, columns=_ANSWER).astype({"chunk": "Int64"})
+
+    return write
+
+
+def _deal_bigrams(m: Model):
+    """The distinct bigrams of a chunk by shard: contexts with run lengths and counts, words, and the bigrams' counts in the training texts."""
+
+    def deal(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(chunk):
+            row = chunk.iloc[0]
+            c = Chunk(row, answers, m)
+            n = np.bincount(c.which[np.repeat(c.teaches, c.lengths)], minlength=len(c.context))
+            for s, a, b in c.dealt:
+                own = c.known[a:b]
+                runs = _runs(c.context[own])
+                context, size = np.array([r[0] for r in runs]), np.array([r[2] - r[1] for r in runs])
+                total = np.where(c.ids[context] == START, m.docs, c.counts[context])
+                out.append((s, row["chunk"], _packed(c.ids[context]), _packed(size), _packed(total), _packed(c.ids[c.word[own]]), _packed(n[own])))
+        return pd.DataFrame(out, columns=["shard", "chunk", "contexts", "runs", "totals", "words", "n"])
+
+    return deal
+
+
+def _level(context: np.ndarray, total: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The trie's levels over bigrams with counts, the contexts and their numbers of successors."""
+    own, at = np.unique(context, return_inverse=True)
+    if len(own) >= 1 << (64 - ID_BITS) or (len(word) and int(word.max()) >= 1 << ID_BITS):
+        raise ValueError(f"a shard of over 2^{64 - ID_BITS} contexts, or a word id of over {ID_BITS} bits")
+    totals = np.zeros(len(own), np.int64)
+    totals[at] = total
+    key, n = _sums((at.astype(np.uint64) << np.uint64(ID_BITS)) | word.astype(np.uint64), n)
+    at, word = (key >> np.uint64(ID_BITS)).astype(np.int64), (key & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    run = np.diff(np.append(first, len(at)))
+    last = word[first + run - 1] + 1
+    base = np.concatenate([[0], np.cumsum(last)[:-1]]).astype(np.int64)
+    p = np.maximum(n - DISCOUNT, 1e-300) / np.maximum(totals[at], 1)
+    step = np.clip(np.rint(np.log10(p) / FLOOR * STEPS), 0, STEPS).astype(np.uint16)
+    levels = EliasFano.build(own).arrays("contexts") | EliasFano.build(np.append(first, len(at))).arrays("pointers")
+    return levels | EliasFano.build(np.repeat(base[: len(run)], run) + word + 1).arrays("successors") | {"log10": step}, own, run
+
+
+def _find(levels: dict[str, np.ndarray], contexts: np.ndarray, runs: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The stored step of each bigram, ABSENT if the trie does not have it."""
+    ctx, pointers, successors = (EliasFano.of(levels, name) for name in ("contexts", "pointers", "successors"))
+    at = ctx.find(contexts.astype(np.uint64))
+    there = at >= 0
+    lo, hi, base = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.uint64)
+    lo[there] = pointers.get(at[there]).astype(np.int64)
+    hi[there] = pointers.get(at[there] + 1).astype(np.int64)
+    led = there & (lo > 0)
+    base[led] = successors.get(lo[led] - 1)
+    i = successors.find(np.repeat(base, runs) + words.astype(np.uint64) + np.uint64(1))
+    hit = np.repeat(there, runs) & (i >= np.repeat(lo, runs)) & (i < np.repeat(hi, runs))
+    out = np.full(len(words), ABSENT, np.int64)
+    out[hit] = levels["log10"][i[hit]]
     return out
 
 
-def _discounted(m: Model, context: np.ndarray, counts: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The stored probability of each bigram, 0 if the trie does not have it."""
-    out = np.zeros(len(context))
-    ok = np.flatnonzero((context > 0) & (word > 0))
-    shard = _deal(m, context[ok], counts[ok], word[ok])
-    order = np.argsort(shard, kind="stable")
-    edges = np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist()
-    for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
-        own = ok[order[a:b]]
-        contexts, pointers, successors, log10 = _trie(m.path, int(shard[order[a]]))
-        uniq, back = np.unique(context[own], return_inverse=True)
-        at = contexts.find(uniq.astype(np.uint64))
-        there = at >= 0
-        lo, hi, base = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.uint64)
-        lo[there] = pointers.get(at[there]).astype(np.int64)
-        hi[there] = pointers.get(at[there] + 1).astype(np.int64)
-        run = there & (lo > 0)
-        base[run] = successors.get(lo[run] - 1)
-        i = successors.find(base[back] + word[own].astype(np.uint64) + np.uint64(1))
-        hit = there[back] & (i >= lo[back]) & (i < hi[back])
-        out[own[hit]] = 10.0 ** (log10[i[hit]].astype(float) / STEPS * FLOOR)
-    return out
-
-
-def lm_scores(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
-    """`docs` with n_tokens, n_known, train_tokens, base_score and score; the model learns where `training` holds."""
-    spark = docs.sparkSession
-    docs = docs.drop(*[c for c in ADDED if c != text])
-    m, n_docs, starts = train(docs.where(training), text)
-    names = [c for c in docs.columns]
-
-    def score(batches):
-        if m.tokens == 0:
-            for pdf in batches:
-                n = pdf["_t"].map(lambda t: len((t or "").encode().split()) + 1).astype("int64")
-                yield pdf.drop(columns="_t").assign(n_tokens=n, n_known=0, train_tokens=0, base_score=0.0, score=0.0)
-            return
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            tokens = [hashes_of(t) for t in pdf["_t"]]
-            context, n, word, c, types = _bigrams(m, tokens, starts)
-            uni = (c + 1) / (m.tokens + m.types + 1)
-            total = np.where(context == START, n_docs, n)
-            share = np.where((context > 0) & (total > 0), DISCOUNT * types / np.maximum(total, 1), 1.0)
-            p = _discounted(m, context, n, word) + share * uni
-            cut = np.concatenate([[0], np.cumsum([len(t) for t in tokens])[:-1]])
-            add = lambda x: np.add.reduceat(x, cut)
-            yield pdf.drop(columns="_t").assign(n_tokens=[len(t) for t in tokens], n_known=add((c > 0).astype(np.int64)), train_tokens=m.tokens, base_score=add(np.log10(uni)), score=add(np.log10(p)))
-
-    out = docs.withColumn("_t", F.col(text))
-    schema = docs.schema
-    for name, kind in zip(ADDED, ("long", "long", "long", "double", "double"), strict=True):
-        schema = schema.add(name, {"long": "long", "double": "double"}[kind])
-    return out.select(*[F.col(f"`{c}`") for c in names], "_t").mapInPandas(score, schema)
+def _trie_level(m: Model):
+    """Writes a shard of the trie and answers its chunks from it; the contexts' numbers of successors go to their word shards, without a chunk."""
+    edges = m.bases()
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iloc[0])
+        asked = [tuple(_unpacked(x).astype(np.int64) for x in r) for r in pdf[["contexts", "runs", "totals", "words", "n"]].itertuples(index=False)]
+        taught = [(np.repeat(c, r)[k], np.repeat(t, r)[k], w[k], n[k]) for c, r, t, w, n in asked for k in [n > 0]]
+        levels, own, run = _level(*[np.concatenate(x) for x in zip(*taught, strict=True)])
+        _save(f"{m.path}/trie-{shard}", levels)
+        levels = _load(f"{m.path}/trie-{shard}")
+        out = []
+        for s, a, b in _runs(np.searchsorted(edges, own, side="right") - 1):  # shard -1: the start
+            out.append((s, None, _packed(own[a:b] - (edges[s] if s >= 0 else START)), None, _packed(run[a:b]), None))
+        for chunk, (c, r, _, w, _) in zip(pdf["chunk"], asked, strict=True):
+            out.append((shard, chunk, None, None, None, _packed(_find(levels, c, r, w))))
+        return pd.DataFrame(out, columns=_ANSWER).astype({"chunk": "Int64"})
+
+    return write
+
+
+def _type_level(m: Model):
+    """Writes the numbers of successors of a word shard's words and adds them to what its chunks were answered."""
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iloc[0])
+        level = np.zeros(m.sizes[shard] + 1, np.int64)  # the place before the first is the unknown word's
+        for r in pdf[pdf["chunk"].isna()].itertuples(index=False):
+            level[_unpacked(r.idx).astype(np.int64) + 1] += _unpacked(r.types).astype(np.int64)
+        _save(f"{m.path}/weights-{shard}", {"types": level[1:]})
+        out = pdf[pdf["chunk"].notna()].copy()
+        out["types"] = [_packed(level[_unpacked(x).astype(np.int64)]) for x in out["idx"]]
+        return out[_ANSWER].astype({"chunk": "Int64"})
+
+    return write
+
+
+def _score(m: Model, starts: int):
+    """row, n_tokens, n_known, base_score and score of the texts of a chunk."""
+
+    def score(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        columns = ["row", "n_tokens", "n_known", "base_score", "score"]
+        if not len(chunk):
+            return pd.DataFrame([], columns=columns)
+        c = Chunk(chunk.iloc[0], answers, m)
+        uni = (c.counts[c.word] + 1) / (m.tokens + m.types + 1)
+        start = c.ids[c.context] == START
+        total, types = np.where(start, m.docs, c.counts[c.context]), np.where(start, starts, c.types[c.context])
+        left = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
+        codes, found = np.full(len(c.context), ABSENT, np.int64), answers[answers["codes"].notna()].set_index("shard")["codes"]
+        for s, a, b in c.dealt:
+            codes[c.known[a:b]] = _unpacked(found[s])
+        p = np.where(codes == ABSENT, 0.0, 10.0 ** (codes / STEPS * FLOOR)) + left * uni
+        first = np.concatenate([[0], np.cumsum(c.lengths)[:-1]])
+        add = lambda x: np.add.reduceat(x[c.which], first)
+        known = add((c.counts[c.word] > 0).astype(np.int64))
+        return pd.DataFrame(dict(zip(columns, (c.rows, c.lengths, known, add(np.log10(uni)), add(np.log10(p))), strict=True)))
+
+    return score
+
+
+def lm_scores(docs: DataFrame, training: Column, text: str = "text", path: str | None = None) -> DataFrame:
+    """`docs` with n_tokens, n_known, train_tokens, base_score and score; the model learns where `training` holds and stays in `path`."""
+    spark, own = docs.sparkSession, Shelter(docs.withColumn(_TEACHES, F.coalesce(training, F.lit(False))))
+    path = path or fresh_dir(spark, "lm")
+    rows = numbered(own.df, "lm-rows")
+    narrow = rows.select("row", F.col(own.name(text)).alias("text"), F.col(f"in{len(own.names) - 1}").alias("teaches"))
+    with scratch(spark, "lm") as tmp:
+        chunks = tmp.staged(_chunks(narrow), "chunks")
+        size = chunks.agg(F.sum("n")).first()[0] or 0
+        shards = max(1, size // TOKENS_IN_SHARD)
+        m = Model(path, math.ceil(math.log2(max(1, size // (4 * TOKENS_IN_SHARD)))), shards, max(1, size // shards // 8))
+        words = tmp.staged(_deal_words(chunks, m.bits).groupBy("shard").applyInPandas(_word_level(path), ANSWER), "words")
+        figures = {r["shard"]: _unpacked(r["counts"]).tolist() for r in words.where("chunk is null").select("shard", "counts").collect()}
+        sizes = tuple(figures.get(s, (0, 0, 0))[0] for s in range(1 << m.bits))
+        m = replace(m, sizes=sizes, tokens=sum(f[1] for f in figures.values()), docs=sum(f[2] for f in figures.values()))
+        words = words.where("chunk is not null")
+        by = chunks.groupBy("chunk")
+        dealt = by.cogroup(words.groupBy("chunk")).applyInPandas(_deal_bigrams(m), "shard long, chunk long, contexts binary, runs binary, totals binary, words binary, n binary")
+        pairs = tmp.staged(dealt.groupBy("shard").applyInPandas(_trie_level(m), ANSWER), "bigrams")
+        types = pairs.where("chunk is null")
+        starts = sum(int(_unpacked(r["types"]).sum()) for r in types.where("shard < 0").select("types").collect())
+        words = words.unionByName(types.where("shard >= 0")).groupBy("shard").applyInPandas(_type_level(m), ANSWER)
+        answers = words.unionByName(pairs.where("chunk is not null"))
+        scored = by.cogroup(answers.groupBy("chunk")).applyInPandas(_score(m, starts), "row long, n_tokens long, n_known long, base_score double, score double")
+        scored = staged(scored, "lm-scores")
+    out = rows.drop(f"in{len(own.names) - 1}").join(scored.withColumn("train_tokens", F.lit(m.tokens).cast("long")), "row")
+    return own.restored(out, ADDED, ADDED)
+
+
+_TEACHES = "teaches-the-model"

@@ -35,7 +35,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document its class of near duplicates and the document that stays."""
-    return near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+    return near_dedup(_table(spark, sf_dir, "documents"), columns=["doc_id"]).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mix, with its source's block and that block's slot."""
-    return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "source", "position", "slot", "block")
+    return mixed(_table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "position", "slot", "block")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

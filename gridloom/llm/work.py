@@ -48,10 +48,23 @@ def release() -> None:
 atexit.register(release)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2048) -> Iterator[None]:
+    """Arrow batches of few rows while a table is written, so that long texts do not add up in a Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: it cuts lineage and survives lost executors."""
     path = path or fresh_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -92,10 +105,10 @@ class Shelter:
             raise ValueError(f"no column {column}; there are {', '.join(self.names)}")
         return f"in{low.index(column.lower())}"
 
-    def only(self, columns: Sequence[str]) -> DataFrame:
-        """The input, of these columns alone, under the generated names."""
-        low = {c.lower() for c in columns}
-        return self.df.select(*[f"in{i}" for i, n in enumerate(self.names) if n.lower() in low])
+    def wanted(self, columns: Sequence[str] | None) -> list[str]:
+        """The generated names of these columns; of all without any."""
+        low = {c.lower() for c in self.names if columns is None} | {c.lower() for c in columns or ()}
+        return [f"in{i}" for i, n in enumerate(self.names) if n.lower() in low]
 
     def restored(self, df: DataFrame, added: Sequence[str | Column], names: Sequence[str]) -> DataFrame:
         """The input's columns that `df` has, under their own names but for those in `names`; then `added`, which have these names."""
