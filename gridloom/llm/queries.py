@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, distances to the language references and the verdict, for each document."""
-    out = quality_rules(_table(spark, sf_dir, "documents"))
+    out = quality_rules(_table(spark, sf_dir, "documents"), columns=["doc_id"])
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_common", F.round("char_distance", 9).alias("char_distance"), F.round("word_distance", 9).alias("word_distance"), "reason",

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.llm.quality_rules import COMMON_WORDS, VOCABULARY, Rules
+from gridloom.llm.quality_rules import COMMON, MIN_REFERENCE, Rules
 
 _RULES = Rules()
-_LANGS = ", ".join(f"'{x}'" for x in COMMON_WORDS)
-_WORDS = ", ".join(f"'{x}'" for x in VOCABULARY)
 _HALF = "(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END) / 2"
 
 OP1 = rf"""
@@ -23,25 +21,34 @@ s3 AS (SELECT *, regexp_replace(a2, '\p{{Lu}}+', '', 'g') AS a3 FROM s2),
 s4 AS (SELECT *, regexp_replace(a3, '\p{{L}}+', '', 'g') AS a4 FROM s3),
 s5 AS (SELECT *, regexp_replace(a4, '\p{{N}}+', '', 'g') AS a5 FROM s4),
 s6 AS (SELECT *, regexp_replace(a5, '[.,;:!?''"()\-]+', '', 'g') AS a6 FROM s5),
-c AS (SELECT k, lang, unnest(range(7)) AS i, unnest([length(a0) - length(a1), length(a1) - length(a2), length(a2) - length(a3), length(a3) - length(a4), length(a4) - length(a5), length(a5) - length(a6), length(a6)]) AS n, length(a0) AS total FROM s6),
-v AS (SELECT k, lang, word, count(*) AS n FROM (SELECT k, lang, unnest(string_split_regex(lower(t), '[^\p{{L}}]+')) AS word FROM d) WHERE word IN ({_WORDS}) GROUP BY ALL),
-rc AS (SELECT lang, i, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM c WHERE lang IN ({_LANGS}) GROUP BY lang, i),
-rw AS (SELECT lang, word, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM v WHERE lang IN ({_LANGS}) GROUP BY lang, word),
-refs AS (SELECT DISTINCT lang FROM rw WHERE lang IN (SELECT lang FROM rc WHERE q > 0)),
-dc AS (SELECT c.k, r.lang, sqrt(greatest(0, sum({_HALF.format(p="(n / total)", q="q")}) + (1 - sum(q)) / 2)) AS x
-  FROM c JOIN rc r ON r.i = c.i AND r.lang IN (SELECT lang FROM refs) WHERE total > 0 GROUP BY c.k, r.lang),
+b AS (SELECT d.k, d.doc_id, d.lang, d.t, len(ws)::BIGINT AS n_words, length(a0)::BIGINT AS word_chars, (length(a0) - length(regexp_replace(a0, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  CASE WHEN len(ws) < {_RULES.min_words} THEN 'few_words' WHEN coalesce(rep.n, 0) * 100 > len(ws) * {_RULES.max_repeat_percent} THEN 'repeats' END AS base,
+  [length(a0) - length(a1), length(a1) - length(a2), length(a2) - length(a3), length(a3) - length(a4), length(a4) - length(a5), length(a5) - length(a6), length(a6)] AS chars
+  FROM d JOIN w ON w.k = d.k JOIN l ON l.k = d.k JOIN s6 ON s6.k = d.k LEFT JOIN rep ON rep.k = d.k),
+v AS (SELECT k, lang, base, word, count(*) AS n FROM (SELECT k, lang, base, unnest(string_split_regex(lower(t), '[^\p{{L}}]+')) AS word FROM b) WHERE word <> '' GROUP BY ALL),
 vt AS (SELECT k, sum(n) AS total FROM v GROUP BY k),
-dw AS (SELECT v.k, f.lang, sqrt(greatest(0, sum({_HALF.format(p="(n / total)", q="coalesce(q, 0)")}) + (1 - sum(coalesce(q, 0))) / 2)) AS x
-  FROM v JOIN vt ON vt.k = v.k CROSS JOIN refs f LEFT JOIN rw r ON r.word = v.word AND r.lang = f.lang GROUP BY v.k, f.lang),
-o AS (SELECT d.k, d.doc_id, len(ws)::BIGINT AS n_words, length(a0)::BIGINT AS word_chars, (length(a0) - length(regexp_replace(a0, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
-  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(vt.total, 0)::BIGINT AS n_common,
-  CASE WHEN (SELECT count(*) FROM refs) = 0 THEN 0.0 ELSE coalesce((SELECT min(x) FROM dc WHERE dc.k = d.k), 1.0) END AS cd,
-  CASE WHEN (SELECT count(*) FROM refs) = 0 THEN 0.0 ELSE coalesce((SELECT min(x) FROM dw WHERE dw.k = d.k), 1.0) END AS wd
-  FROM d JOIN w ON w.k = d.k JOIN l ON l.k = d.k JOIN s6 ON s6.k = d.k LEFT JOIN rep ON rep.k = d.k LEFT JOIN vt ON vt.k = d.k),
-j AS (SELECT *, CASE WHEN n_words < {_RULES.min_words} THEN 'few_words' WHEN n_repeat_words * 100 > n_words * {_RULES.max_repeat_percent} THEN 'repeats'
-  WHEN word_chars >= {_RULES.min_chars} AND cd > {_RULES.char_distance} THEN 'char_divergence' WHEN n_common >= {_RULES.min_common} AND wd > {_RULES.word_distance} THEN 'word_divergence' END AS reason FROM o)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {_RULES.min_words} OR n_repeat_words * 100 > n_words * {_RULES.max_repeat_percent} AS base_failed,
-  reason IS NULL AS kept, n_common, round(cd, 9) AS char_distance, round(wd, 9) AS word_distance, reason FROM j
+lw AS (SELECT lang, word, sum(n) AS n FROM v WHERE base IS NULL AND lang IS NOT NULL GROUP BY lang, word),
+lt AS (SELECT lang, sum(n) AS total FROM lw GROUP BY lang HAVING sum(n) >= {MIN_REFERENCE}),
+rw AS (SELECT lang, word, n / total AS q FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM lw) JOIN lt USING (lang) WHERE r <= {COMMON}),
+ro AS (SELECT lang, 1 - sum(q) AS q FROM rw GROUP BY lang),
+rc AS (SELECT lang, i, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM (SELECT lang, unnest(range(7)) AS i, unnest(chars) AS n FROM b WHERE base IS NULL) WHERE lang IN (SELECT lang FROM lt) GROUP BY lang, i),
+dc AS (SELECT c.k, r.lang, sqrt(greatest(0, sum({_HALF.format(p="(n / word_chars)", q="q")}))) AS x
+  FROM (SELECT k, word_chars, unnest(range(7)) AS i, unnest(chars) AS n FROM b WHERE word_chars > 0) c JOIN rc r ON r.i = c.i GROUP BY c.k, r.lang),
+hit AS (SELECT v.k, r.lang, sum({_HALF.format(p="(n / total)", q="q")} - q / 2) AS x, sum(n / total) AS p FROM v JOIN vt ON vt.k = v.k JOIN rw r ON r.word = v.word GROUP BY v.k, r.lang),
+dw AS (SELECT vt.k, ro.lang, sqrt(greatest(0, coalesce(x, 0) + (1 - ro.q) / 2 + {_HALF.format(p="greatest(0, 1 - coalesce(p, 0))", q="ro.q")})) AS x
+  FROM vt CROSS JOIN ro LEFT JOIN hit ON hit.k = vt.k AND hit.lang = ro.lang),
+nc AS (SELECT k, min(x) AS x FROM dc GROUP BY k),
+nw AS (SELECT k, min(x) AS x FROM dw GROUP BY k),
+vc AS (SELECT k, sum(n)::BIGINT AS n FROM v WHERE word IN (SELECT word FROM rw) GROUP BY k),
+o AS (SELECT b.*, coalesce(vt.total, 0) AS letter_words, coalesce(vc.n, 0)::BIGINT AS n_common, (SELECT count(*) FROM lt) AS refs,
+  CASE WHEN oc.x <= {_RULES.char_distance} THEN oc.x ELSE coalesce(nc.x, 1.0) END AS cd, CASE WHEN ow.x <= {_RULES.word_distance} THEN ow.x ELSE coalesce(nw.x, 1.0) END AS wd
+  FROM b LEFT JOIN vt ON vt.k = b.k LEFT JOIN vc ON vc.k = b.k LEFT JOIN nc ON nc.k = b.k LEFT JOIN nw ON nw.k = b.k
+  LEFT JOIN dc oc ON oc.k = b.k AND oc.lang = b.lang LEFT JOIN dw ow ON ow.k = b.k AND ow.lang = b.lang),
+j AS (SELECT *, coalesce(base, CASE WHEN refs = 0 THEN NULL WHEN word_chars >= {_RULES.min_chars} AND cd > {_RULES.char_distance} THEN 'char_divergence'
+  WHEN letter_words >= {_RULES.min_letter_words} AND wd > {_RULES.word_distance} THEN 'word_divergence' END) AS reason FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base IS NOT NULL AS base_failed, reason IS NULL AS kept, n_common,
+  CASE WHEN refs = 0 THEN 0.0 ELSE round(cd, 9) END AS char_distance, CASE WHEN refs = 0 THEN 0.0 ELSE round(wd, 9) END AS word_distance, reason FROM j
 """
 
 OP3 = r"""

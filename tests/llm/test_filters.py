@@ -1,11 +1,13 @@
 import collections
+import math
 import re
+import unicodedata
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.llm import language_id, quality_classifier, url_filter
-from gridloom.llm.quality_rules import COMMON_WORDS, VOCABULARY, _distance, quality_rules, references
+from gridloom.llm.quality_rules import COMMON, MIN_REFERENCE, Rules, quality_rules
 
 from ..conftest import SF
 from .conftest import prose
@@ -21,39 +23,97 @@ def base(text):
     return len(w), sum(map(len, w)), sum((text or "").count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover)
 
 
+def classes(text):
+    """Counts by character class, by definition."""
+    out = [0] * 7
+    for c in re.sub("[ \t-\r]", "", text or ""):
+        kind = unicodedata.category(c)
+        tests = (c in "aeiou", "a" <= c <= "z", kind == "Lu", kind[0] == "L", kind[0] == "N", c in ".,;:!?'\"()-", True)
+        out[tests.index(True)] += 1
+    return out
+
+
+def letter_words(text):
+    runs, now = [], ""
+    for c in (text or "").lower() + " ":
+        if unicodedata.category(c)[0] == "L":
+            now += c
+        elif now:
+            runs.append(now)
+            now = ""
+    return runs
+
+
+def distance(p, q):
+    m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    return math.sqrt(max(0.0, sum(x * math.log2(x / z) for x, z in zip(p, m, strict=True) if x) + sum(y * math.log2(y / z) for y, z in zip(q, m, strict=True) if y)) / 2)
+
+
+def rules_truth(rows, r=Rules()):
+    """reason and distances of rows of text and lang."""
+    own = [(base(t), classes(t), collections.Counter(letter_words(t)), lang) for t, lang in rows]
+    failed = ["few_words" if b[0] < r.min_words else "repeats" if 100 * b[4] > r.max_repeat_percent * b[0] else None for b, *_ in own]
+    refs = {}
+    for lang in {x[3] for x, f in zip(own, failed, strict=True) if not f and x[3] is not None}:
+        clean = [x for x, f in zip(own, failed, strict=True) if not f and x[3] == lang]
+        words, chars = sum((x[2] for x in clean), collections.Counter()), np.sum([x[1] for x in clean], axis=0)
+        if sum(words.values()) >= MIN_REFERENCE:
+            refs[lang] = chars / chars.sum(), {w: n / sum(words.values()) for w, n in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:COMMON]}
+
+    def words_to(counts, ref):
+        n = sum(counts.values())
+        p = [counts[w] / n for w in ref]
+        return distance([*p, max(0.0, 1 - sum(p))], [*ref.values(), 1 - sum(ref.values())])
+
+    for (b, chars, words, lang), why in zip(own, failed, strict=True):
+        d = [0.0, 0.0]
+        if refs:
+            for i, (limit, some, of) in enumerate(((r.char_distance, sum(chars), lambda ref: distance([x / sum(chars) for x in chars], ref[0])), (r.word_distance, sum(words.values()), lambda ref: words_to(words, ref[1])))):
+                d[i] = 1.0 if not some else of(refs[lang]) if lang in refs and of(refs[lang]) <= limit else min(map(of, refs.values()))
+            odd = "char_divergence" if sum(chars) >= r.min_chars and d[0] > r.char_distance else "word_divergence" if sum(words.values()) >= r.min_letter_words and d[1] > r.word_distance else None
+            why = why or odd
+        yield why, *d
+
+
 def test_quality_rules_match_brute_force(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for df in (docs, odd):
-        for r in quality_rules(df).collect():
+        out = quality_rules(df).collect()
+        for r, (why, chars, words) in zip(out, rules_truth([(r.text, r.lang) for r in out]), strict=True):
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base(r.text)
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
-            assert not (r.base_failed and r.kept)
-
-
-def test_quality_rules_distance(spark):
-    ref = [0.5, 0.3, 0.2, 0.0]
-    p = np.array([2.0, 0, 2, 4]) / 8
-    q = np.array(ref)
-    m = (p + q) / 2
-    part = lambda a: np.where(a > 0, a * np.log2(np.where(a > 0, a, 1) / m), 0).sum() / 2
-    df = spark.sql("select array(1, 3, 4) as w, array(2, 2, 4) as c")
-    assert abs(df.select(_distance(F.col("w"), F.col("c"), ref)).first()[0] - np.sqrt(part(p) + part(q))) < 1e-9
+            assert (r.reason, r.kept) == (why, why is None)
+            if df is docs:
+                assert abs(r.char_distance - chars) < 1e-9 and abs(r.word_distance - words) < 1e-9
+
+
+def test_quality_rules_each_arm_decides(spark):
+    """Shouting and starred words by their characters, rare words in proper sentences by their words; each language by its own reference."""
+    other = "kolo pes dum strom voda ryba hora les pole cesta most reka nebo".split()
+    rows = [(i, prose(150, i), "en") for i in range(40)] + [(100 + i, prose(150, i, other), "cs") for i in range(40)]
+    rows += [(200, " ".join(w.upper() + "!!" for w in prose(200, 9).split()), "en"), (201, " ".join(f"{w}***" for w in prose(150, 8).split()), "en")]
+    rows += [(202, prose(150, 5, [f"ro{a}{b}en" for a in "bcdfgh" for b in "aeiou"]), "en"), (203, prose(150, 6, other), "en"), (204, prose(150, 6, other), None)]
+    rows += [(205, prose(60, 5, [f"ro{a}{b}en" for a in "bcdfgh" for b in "aeiou"]), "en")]
+    out = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i].kept for i in [*range(40), *range(100, 140)] if not out[i].base_failed)
+    assert [out[i].reason for i in (200, 201, 202, 203, 204, 205)] == ["char_divergence", "char_divergence", "word_divergence", None, None, None]
 
 
-def test_quality_rules_reject_junk_and_keep_prose(spark):
-    shout = " ".join(w.upper() + "!!" for w in prose(200, 9).split())
-    rows = [(i, prose(150, i), "en") for i in range(40)] + [(100, shout, "en"), (101, " ".join(f"{w}***" for w in prose(150, 8).split()), "en")]
-    out = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert all(out[i].kept for i in range(40) if not out[i].base_failed)
-    assert out[100].reason == "char_divergence"
+def test_quality_rules_reject_labelled_junk(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = quality_rules(docs).join(labels, "doc_id").where("not base_failed").select("kept", "quality", "reason").collect()
+    good, bad = [r for r in out if r.quality == 1], [r for r in out if r.quality == 0]
+    assert sum(r.kept for r in good) >= 0.99 * len(good) and sum(r.kept for r in bad) <= 0.4 * len(bad)
+    assert {r.reason for r in bad} >= {"char_divergence", "word_divergence"}
 
 
 def test_quality_rules_defined_cases(spark, odd, none):
-    assert quality_rules(none).count() == 0 and references(none) == {}
+    assert quality_rules(none).count() == 0
     out = quality_rules(odd)
     assert out.count() == odd.count() and len(out.columns) == len({c.lower() for c in out.columns})
     assert all(not r.kept for r in out.collect() if not (r.text or "").strip())
-    assert len(VOCABULARY) < 200 and set(COMMON_WORDS) == {"en", "de", "fr", "es"}
+    few = quality_rules(spark.createDataFrame([(1, "!" * 300 + " a" * 60, "en")], "doc_id long, text string, lang string")).first()
+    assert few.char_distance == few.word_distance == 0.0
 
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
