@@ -1,12 +1,13 @@
 """Exact deduplication by a stateful stream.
 
-Rows are added to a content store (Parquet in a shared folder). A streaming aggregation over the store keeps, for
-each digest and without expiry, the row that stays (stable identifier), where its content lies (file and row: the
-locator) and the number of rows; its state lives on disk in RocksDB and is combined before the shuffle, so one
-group may hold any share of the rows. Every hit is then checked: the texts of all rows that share a digest are
-fetched by their locators and compared in full; a digest that covers different texts is split by text.
+Rows are added to a content store (Parquet in a shared folder). A streaming aggregation over the store, fed in
+TRIGGERS triggers, keeps for each digest and without expiry the row that stays (stable identifier), where its content
+lies (file and row: the locator) and the number of rows; its state lives on disk in RocksDB, is looked up by every
+later trigger, and rows are combined before the shuffle, so one group may hold any share of them. Every hit is then
+checked: the texts of all rows that share a digest are fetched by their locators and compared in full; a digest that
+covers different texts is split by text.
 
-With a fixed `path`, later calls add rows to the same store and state.
+With a fixed `path`, later calls add rows (of the same columns, in the same order) to the same store and state.
 
 Defined results: a null text counts as empty and all empty texts are equal; of equal texts the row with the most
 code points stays, then the smallest key (null keys last), then the first in the store; every row gives one row,
@@ -16,14 +17,17 @@ new one is replaced.
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import files
-from gridloom.llm.work import fresh_dir
+from gridloom.llm.work import Scratch, Shelter, fresh_dir, join_groups, scratch, small_batches, staged
 
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
+TRIGGERS = 4
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,7 +42,7 @@ def sha256(text: Column) -> Column:
 
 def _best(key: str) -> Column:
     """Orders the rows of a group: the smallest stays."""
-    return F.struct((-F.col("_points")).alias("points"), F.col(key).isNull().alias("nokey"), F.col(key).alias("key"), F.col("_file").alias("file"), F.col("_row").alias("row"))
+    return F.struct((-F.col("points")).alias("points"), F.col(key).isNull().alias("nokey"), F.col(key).alias("key"), F.col("file").alias("file"), F.col("at").alias("at"))
 
 
 def _keyed_state(store: DataFrame, path: str, key: str) -> DataFrame:
@@ -46,73 +50,76 @@ def _keyed_state(store: DataFrame, path: str, key: str) -> DataFrame:
     spark = store.sparkSession
     settings = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in settings}
+    place = {"file": F.col("_metadata.file_path"), "at": F.col("_metadata.row_index")}
+    many = store.select(F.col("_metadata.file_path").alias("file")).distinct().count()
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        rows = spark.readStream.schema(store.schema).option("maxBytesPerTrigger", str(1 << 40)).parquet(f"{path}/store")
-        rows = rows.select("_digest", "_points", key, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        state = rows.groupBy("_digest").agg(F.min(_best(key)).alias("best"), F.count("*").alias("n"))
+        rows = spark.readStream.schema(store.schema).option("maxFilesPerTrigger", max(1, math.ceil(many / TRIGGERS))).parquet(f"{path}/store")
+        state = rows.select("digest", "points", key, *[c.alias(n) for n, c in place.items()]).groupBy("digest").agg(F.min(_best(key)).alias("best"), F.count("*").alias("n"))
 
         def keep(batch: DataFrame, number: int) -> None:
-            batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/updates/{number}")
+            batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/updates/{number}")
 
         stream = state.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start()
         stream.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    kind = state.schema.add("_batch", "integer")
-    updates = spark.read.schema(kind).parquet(f"{path}/updates/*")
-    return updates.groupBy("_digest").agg(F.max_by(F.struct("best", "n"), "_batch").alias("s")).select("_digest", "s.best", "s.n")
+    updates = spark.read.schema(state.schema.add("batch", "integer")).parquet(f"{path}/updates/*")
+    return updates.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "batch").alias("s")).select("digest", "s.best", "s.n")
 
 
 def _fetch(rows: DataFrame, text: str, tasks: int) -> DataFrame:
-    """_digest, _file, _row and the full normalised text of rows, read by their locators."""
+    """digest, norm: the full normalised texts of rows, read by their locators."""
 
     def read(batches):
         import pyarrow.parquet as pq
 
         for pdf in batches:
-            for file, own in pdf.groupby("_file"):
-                want = own.sort_values("_row", ignore_index=True)
+            for file, own in pdf.groupby("file"):
+                want = own.sort_values("at", ignore_index=True)
                 at = 0
                 with files.reading(file) as f:
                     for batch in pq.ParquetFile(f).iter_batches(batch_size=512, columns=[text]):
-                        hits = want[(want["_row"] >= at) & (want["_row"] < at + len(batch))]
+                        hits = want[(want["at"] >= at) & (want["at"] < at + len(batch))]
                         if len(hits):
-                            texts = batch.column(0).take(hits["_row"].to_numpy() - at).to_pylist()
-                            yield hits.assign(text=texts)[["_digest", "_file", "_row", "text"]]
+                            texts = batch.column(0).take(hits["at"].to_numpy() - at).to_pylist()
+                            yield hits.assign(text=texts)[["digest", "text"]]
                         at += len(batch)
 
-    got = rows.select("_digest", "_file", "_row").repartition(tasks, "_file").sortWithinPartitions("_file", "_row").mapInPandas(read, "_digest string, _file string, _row long, text string")
-    return got.select("_digest", "_file", "_row", normalised(F.col("text")).alias("_norm"))
-
-
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, digest=sha256) -> DataFrame:
-    """All rows of the store with keep_id, group_size, kept and text_sha256 (of the digest function's text)."""
-    spark = docs.sparkSession
+    got = rows.select("digest", "file", "at").repartition(tasks, "file").sortWithinPartitions("file", "at").mapInPandas(read, "digest string, text string")
+    return got.select("digest", normalised(F.col("text")).alias("norm"))
+
+
+def _groups(located: DataFrame, state: DataFrame, key: str, text: str, tmp: Scratch) -> DataFrame:
+    """file, at, best, n of each row, after all hits are checked in full."""
+    total = located.count()
+    state = tmp.staged(state, "state")
+    narrow = located.select("digest", "file", "at")
+    hits = join_groups(narrow, state.where("n > 1").select("digest", "n"), "digest", "n", total, "at")
+    norms = _fetch(hits, text, located.rdd.getNumPartitions()).groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
+    split = tmp.staged(norms.where("a <> b").select("digest"), "split")
+    if split.isEmpty():
+        return join_groups(narrow, state, "digest", "n", total, "at").select("file", "at", "best", "n")
+    own = tmp.staged(located.join(split, "digest", "left_semi").select("digest", normalised(F.col(text)).alias("norm"), "file", "at", "points", key), "texts")  # these by the whole text
+    parts = own.groupBy("digest", "norm").agg(F.min(_best(key)).alias("best"), F.count("*").alias("n"))
+    rest = join_groups(narrow.join(split, "digest", "left_anti"), state, "digest", "n", total, "at")
+    return rest.select("file", "at", "best", "n").unionByName(own.join(parts, ["digest", "norm"]).select("file", "at", "best", "n"))
+
+
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, digest=sha256, columns: Sequence[str] | None = None) -> DataFrame:
+    """All rows of the store (of these columns, or all) with keep_id, group_size, kept and text_sha256 (of the digest function's text)."""
+    spark, inside = docs.sparkSession, Shelter(docs)
     path = path or fresh_dir(spark, "exact")
-    own = docs.drop(*[c for c in ADDED if c not in (key, text)])
-    own.withColumns({"_digest": digest(F.col(text)), "_points": F.length(F.coalesce(F.col(text), F.lit("")))}).write.mode("append").option("compression", "zstd").parquet(f"{path}/store")
-    store = spark.read.schema(own.withColumns({"_digest": F.lit(""), "_points": F.lit(0)}).schema).parquet(f"{path}/store")
-    located = store.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    state = _keyed_state(store, path, key)
-
-    hits = located.select("_digest", "_file", "_row").join(state.where("n > 1").select("_digest"), "_digest")
-    norms = _fetch(hits, text, store.rdd.getNumPartitions()).groupBy("_digest").agg(F.min("_norm").alias("a"), F.max("_norm").alias("b"))
-    mixed = [r[0] for r in norms.where("a <> b").select("_digest").limit(10_001).collect()]
-    if len(mixed) > 10_000:
-        raise ValueError("the digest is too weak: over 10,000 of its values cover different texts")
-
-    groups = state.select("_digest", F.lit(None).cast("string").alias("_norm"), "best", "n")
-    out = located.withColumn("_norm", F.lit(None).cast("string"))
-    if mixed:  # split those digests by the whole text
-        split = F.col("_digest").isin(mixed)
-        out = located.withColumn("_norm", F.when(split, normalised(F.col(text))))
-        parts = out.where(split).groupBy("_digest", "_norm").agg(F.min(_best(key)).alias("best"), F.count("*").alias("n"))
-        groups = groups.where(~split).unionByName(parts)
-        out = out.join(groups.withColumnRenamed("_norm", "_of"), ["_digest"]).where(F.col("_norm").eqNullSafe(F.col("_of")))
-    else:
-        out = out.join(groups.drop("_norm"), "_digest")
-    kept = (F.col("best.file") == F.col("_file")) & (F.col("best.row") == F.col("_row"))
-    return out.select(*[F.col(f"`{c}`") for c in own.columns], F.col("best.key").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.col("_digest").alias("text_sha256"))
+    k, t, wanted = inside.name(key), inside.name(text), inside.wanted(columns)
+    new = inside.df.select(*dict.fromkeys([*wanted, k, t])).withColumns({"digest": digest(F.col(t)), "points": F.length(F.coalesce(F.col(t), F.lit("")))})
+    new.write.mode("append").option("compression", "zstd").parquet(f"{path}/store")
+    store = spark.read.schema(new.schema).parquet(f"{path}/store")
+    located = store.withColumns({"file": F.col("_metadata.file_path"), "at": F.col("_metadata.row_index")})
+    with scratch(spark, "exact") as tmp, small_batches(spark):
+        groups = staged(_groups(located, _keyed_state(store, path, k), k, t, tmp), "exact-groups")
+    out = located.join(groups, ["file", "at"])
+    kept = (F.col("best.file") == F.col("file")) & (F.col("best.at") == F.col("at"))
+    added = [F.col("best.key").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256")]
+    return inside.restored(out.select(*wanted, *added), ADDED, ADDED)

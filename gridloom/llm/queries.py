@@ -40,7 +40,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document the one that stays of its group, the group's size and the digest."""
-    return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(_table(spark, sf_dir, "documents"), columns=["doc_id"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def _fold(key: str, folds: int) -> Column:
