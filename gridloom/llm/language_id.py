@@ -1,11 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Each language has a model of order four over its lower-cased letters (anything else is one space), learned from a
-bounded sample: of each of the `most_languages` most frequent languages about `sample` documents, those with the
-smallest hashes. The models of all languages share sorted hash arrays, one for each order, whose rows hold the
-interpolated log probability under each language; a text takes the language with the lowest cross-entropy a
-character. The sharpness of the score and each language's limit of rejection are calibrated on sampled documents
-that train nothing.
+Each language, whatever their number, has a model of order four over its lower-cased letters (anything else is one
+space), learned from a bounded sample: of each language about `sample` documents, those with the smallest hashes, and
+of all together about `most` at most. The models share sorted hash arrays, one for each order; behind each n-gram lie
+the languages that have it and its share in them, and behind each context the languages' weights of what is shorter. A
+text takes the language with the lowest cross-entropy a character. The sharpness of the score and each language's
+limit of rejection are calibrated on sampled documents that train nothing; each language trains at least one.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and counts as rejected; without any
 language to learn from every text is `und`; ties go to the first language by name; every row gives one row.
@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.work import Shelter
+
 
 ADDED = ("lang_pred", "score", "cross_entropy", "rejected")
 ORDER, DISCOUNT, SPACE = 4, 0.75, 32
@@ -80,15 +82,38 @@ def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, table[i] == keys
 
 
+@dataclass
+class Level:
+    """Sorted hashes; those of row i have the languages and values from ends[i] to ends[i + 1]."""
+
+    hashes: np.ndarray
+    ends: np.ndarray
+    langs: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, langs: np.ndarray, values: np.ndarray) -> Level:
+        h = _mix(keys)
+        order = np.lexsort((langs, h))
+        hashes, first = np.unique(h[order], return_index=True)
+        return cls(hashes, np.append(first, len(h)), langs[order].astype(np.uint32), values[order].astype(np.float32))
+
+    def entries(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every language that has one of the keys: the key's place, the language and the value."""
+        i, hit = _at(self.hashes, _mix(keys))
+        rows = np.flatnonzero(hit)
+        lo, n = self.ends[i[rows]], self.ends[i[rows] + 1] - self.ends[i[rows]]
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(rows, n), self.langs[at], self.values[at]
+
+
 @dataclass
 class Models:
-    """langs; for each order the hash arrays of n-grams with their log probabilities, and of contexts with log weights of what is shorter."""
+    """langs; for each order the n-grams with their discounted shares, and the contexts with the weights of what is shorter."""
 
     langs: list[str]
-    grams: list[np.ndarray] = field(default_factory=list)
-    logs: list[np.ndarray] = field(default_factory=list)
-    contexts: list[np.ndarray] = field(default_factory=list)
-    weights: list[np.ndarray] = field(default_factory=list)
+    grams: list[Level | None] = field(default_factory=list)
+    contexts: list[Level | None] = field(default_factory=list)
     floor: np.ndarray | None = None
     sharpness: float = 20.0
     limits: np.ndarray | None = None
@@ -96,78 +121,70 @@ class Models:
     @classmethod
     def build(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
         """counts: for each language its n-grams of the highest order (packed) and their counts."""
-        m = cls(sorted(counts))
-        level = {lang: counts[lang] for lang in m.langs}
-        tables = {}
+        m = cls(sorted(counts), [None] * (ORDER + 1), [None] * (ORDER + 1))
+        level = [counts[lang] for lang in m.langs]
         for k in range(ORDER, 0, -1):
-            tables[k] = level
-            # below the highest order, an n-gram counts the distinct symbols before it
-            level = {lang: _add(keys & _MASKS[k - 1], np.ones(len(keys))) for lang, (keys, _) in level.items()} if k > 1 else level
-        symbols_ = max(2, len(np.unique(np.concatenate([t[0] for t in tables[1].values()]))) + 1)
-        m.floor = np.full(len(m.langs), -np.log(symbols_), np.float32)
-        m.grams, m.logs, m.contexts, m.weights = ([None] * (ORDER + 1) for _ in range(4))
-        for k in range(1, ORDER + 1):
-            union = np.unique(np.concatenate([t[0] for t in tables[k].values()]))
-            context = np.unique(union >> np.uint64(16))
-            hashes, order = m._sorted(union)
-            m.contexts[k], corder = m._sorted(context)
-            logs, weights = np.zeros((len(union), len(m.langs)), np.float32), np.zeros((len(context), len(m.langs)), np.float32)
-            below = m.log_probs(union & _MASKS[k - 1], k - 1)
-            for j, lang in enumerate(m.langs):
-                keys, n = tables[k][lang]
+            grams, contexts = [], []
+            for j, (keys, n) in enumerate(level):
                 own, total = _add(keys >> np.uint64(16), n)
                 _, types = _add(keys >> np.uint64(16), np.ones(len(keys)))
-                i, there = _at(own, context)
-                weights[:, j] = np.log(np.where(there, DISCOUNT * types[i] / total[i], 1.0))
-                ci = np.searchsorted(context, union >> np.uint64(16))
-                g, hit = _at(keys, union)
-                share = np.where(hit, (n[g] - DISCOUNT) / np.where(there[ci], total[i[ci]], 1.0), 0.0)
-                logs[:, j] = np.log(share + np.exp(weights[ci, j] + below[:, j]))
-            m.grams[k], m.logs[k], m.weights[k] = hashes, logs[order], weights[corder]
+                grams.append((keys, np.full(len(keys), j), (n - DISCOUNT) / total[np.searchsorted(own, keys >> np.uint64(16))]))
+                contexts.append((own, np.full(len(own), j), DISCOUNT * types / total))
+            m.grams[k], m.contexts[k] = (Level.of(*map(np.concatenate, zip(*x, strict=True))) for x in (grams, contexts))
+            if k > 1:  # below the highest order, an n-gram counts the distinct symbols before it
+                level = [_add(keys & _MASKS[k - 1], np.ones(len(keys))) for keys, _ in level]
+        symbols_ = max(2, len(m.grams[1].hashes) + 1)
+        m.floor = np.full(len(m.langs), -np.log(symbols_), np.float32)
         return m
 
-    @staticmethod
-    def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = _mix(keys)
-        order = np.argsort(h)
-        return h[order], order
-
-    def log_probs(self, keys: np.ndarray, k: int = ORDER) -> np.ndarray:
+    def log_probs(self, keys: np.ndarray) -> np.ndarray:
         """Natural log probability of the last symbol of each packed n-gram under each language."""
-        if k == 0:
-            return np.broadcast_to(self.floor, (len(keys), len(self.langs)))
-        i, hit = _at(self.grams[k], _mix(keys))
-        out = self.logs[k][i] if len(self.logs[k]) else np.zeros((len(keys), len(self.langs)), np.float32)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            ci, there = _at(self.contexts[k], _mix(keys[miss] >> np.uint64(16)))
-            weight = np.where(there[:, None], self.weights[k][ci], 0.0) if len(self.weights[k]) else 0.0
-            out[miss] = weight + self.log_probs(keys[miss] & _MASKS[k - 1], k - 1)
-        return out
+        p = np.tile(np.exp(self.floor), (len(keys), 1)).astype(np.float32)
+        for k in range(1, ORDER + 1):
+            own = keys & _MASKS[k]
+            for level, of, change in ((self.contexts[k], own >> np.uint64(16), np.multiply), (self.grams[k], own, np.add)):
+                uniq, back = np.unique(of, return_inverse=True) if k < ORDER else (of, None)
+                row, lang, value = level.entries(uniq)
+                if back is None:
+                    p[row, lang] = change(p[row, lang], value)
+                    continue
+                whole = np.full((len(uniq), len(self.langs)), 1.0 if change is np.multiply else 0.0, np.float32)
+                whole[row, lang] = value
+                change(p, whole[back], out=p)
+        return np.log(p)
 
     def entropies(self, texts: list[str | None]) -> np.ndarray:
         """Cross-entropy a symbol of each text under each language."""
-        out = np.zeros((len(texts), len(self.langs)))
-        for r, t in enumerate(texts):
-            keys = keys_of(symbols(t))
-            for a in range(0, len(keys), 1 << 16):
-                out[r] -= self.log_probs(keys[a : a + (1 << 16)]).sum(0, dtype=float)
-            out[r] /= max(1, len(keys))
-        return out
-
-
-def train(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 1000, most_languages: int = 200) -> Models | None:
+        grams = [keys_of(symbols(t)) for t in texts]
+        sizes = np.array([len(g) for g in grams], np.int64)
+        keys, text = np.concatenate([np.zeros(0, np.uint64), *grams]), np.repeat(np.arange(len(texts)), sizes)
+        out, width = np.zeros((len(texts), len(self.langs))), max(1024, (1 << 22) // max(1, len(self.langs)))
+        for a in range(0, len(keys), width):
+            uniq, back = np.unique(keys[a : a + width], return_inverse=True)
+            own = text[a : a + width]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[first]] -= np.add.reduceat(self.log_probs(uniq)[back], first, axis=0, dtype=float)
+        return out / np.maximum(1, sizes)[:, None]
+
+
+def train(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 1000, most: int = 200_000) -> Models | None:
     """Models of the rows where `training` holds; a fifth of the sample calibrates them."""
     spark = docs.sparkSession
-    own = docs.where(training & F.col(lang).isNotNull())
-    counts = own.groupBy(F.col(lang).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    u = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / (1 << 30)
+    own = docs.where(training & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), u.alias("u"), F.pmod(F.xxhash64(F.lit("held"), F.col(key)), F.lit(5)).alias("fold"))
+    counts = {r["lang"]: (r["n"], r["least"]) for r in own.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("least")).collect()}
     if not counts:
         return None
-    share = F.lit(None).cast("double")
-    for name, n in counts:
-        share = F.when(F.col(lang).cast("string") == name, min(1.0, 1.25 * sample / n)).otherwise(share)
-    u = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / (1 << 30)
-    chosen = own.where(u < share).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(F.lit("held"), F.col(key)), F.lit(5)) == 0).alias("held"))
+    sample = max(1, min(sample, most // len(counts)))
+    known = spark.sparkContext.broadcast({name: (max(least, min(1.0, 1.25 * sample / n)), least) for name, (n, least) in counts.items()})
+
+    @F.pandas_udf("int")
+    def role(names: pd.Series, us: pd.Series, folds: pd.Series) -> pd.Series:
+        """0: not in the sample, 1: trains, 2: calibrates; the first of each language trains."""
+        share, least = (np.array([known.value[x][i] for x in names], float) for i in range(2))
+        return pd.Series(np.where(us > share, 0, np.where((folds == 0) & (us > least), 2, 1)).astype(np.int32))
+
+    chosen = own.withColumn("role", role("lang", "u", "fold"))
 
     def count(batches):
         total: dict[str, list] = {}
@@ -180,7 +197,7 @@ def train(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
             keys, n = _add(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(float))
             yield pd.DataFrame({"lang": name, "gram": keys.view(np.int64), "n": n.astype(np.int64)})
 
-    rows = chosen.where("not held").select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    rows = chosen.where("role = 1").select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(rows):
         return None
     tables = {name: _add(g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy(float)) for name, g in rows.groupby("lang")}
@@ -201,7 +218,7 @@ def train(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
             z = {f"g{i}": own_ * g + np.log(np.exp(-(h - h.min(1, keepdims=True)) * g).sum(1)) - h.min(1) * g for i, g in enumerate(grid)}
             yield pd.DataFrame({"lang": pdf["lang"].to_numpy(), "h": own_} | z)
 
-    scored = chosen.where("held").select("lang", "text").mapInPandas(calibrate, "lang string, h double, " + ", ".join(f"g{i} double" for i in range(len(grid))))
+    scored = chosen.where("role = 2").select("lang", "text").mapInPandas(calibrate, "lang string, h double, " + ", ".join(f"g{i} double" for i in range(len(grid))))
     stats = scored.groupBy("lang").agg(F.count("*").alias("n"), F.avg("h").alias("mean"), F.stddev_pop("h").alias("sd"), *[F.sum(f"g{i}").alias(f"g{i}") for i in range(len(grid))]).collect()
     m.limits = np.full(len(m.langs), -float(m.floor.min()))
     for r in stats:
@@ -214,7 +231,7 @@ def train(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
 
 def identify(docs: DataFrame, m: Models | None, text: str = "text") -> DataFrame:
     """`docs` with lang_pred, score (posterior of the language), cross_entropy and rejected."""
-    docs = docs.drop(*[c for c in ADDED if c != text])
+    inside = Shelter(docs)
     held = docs.sparkSession.sparkContext.broadcast(m)
 
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
@@ -232,4 +249,4 @@ def identify(docs: DataFrame, m: Models | None, text: str = "text") -> DataFrame
             out.loc[known, "rejected"] = low > model.limits[best]
         return out
 
-    return docs.withColumn("_j", judge(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns], "_j.*")
+    return inside.restored(inside.df.withColumn("judged", judge(F.col(inside.name(text)))), ["judged.*"], ADDED)

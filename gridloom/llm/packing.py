@@ -4,7 +4,10 @@ Documents longer than the capacity are cut into full pieces, the first of which
 cut. Full pieces are sequences of their own. The rest is dealt into groups; each group is packed best-fit
 decreasing and its bin count is held against a lower bound from dual feasible functions. Groups that meet the
 bound are certified and stay; the others give up the documents of their bins that are not full, exchange them under
-another dealing and pack them again, as long as that takes fewer bins.
+another dealing and pack them again, until all groups are certified or that saves no bin any more.
+
+Groups are dealt at random. With `order` they are runs of documents in that order (an exchange is one between
+neighbours), and a sequence's number is the place of its first piece: sequences by number follow the order.
 
 Defined results: a null text is empty and gives one piece, the end id alone; repeated rows are packed each for
 itself; an empty table gives no pieces. Other columns are ignored.
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe
-from gridloom.llm.work import staged
+from gridloom.llm.work import Scratch, fresh_dir, scratch, staged
 
 PIECES_IN_GROUP = 20_000
 
@@ -69,74 +73,86 @@ def lower_bound(counts: np.ndarray, capacity: int, most: int = 30) -> int:
     return best
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """key, piece, start, length, ids_crc32, piece_id and, if asked for, ids."""
-    kind = docs.schema[key].dataType.simpleString()
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = False, order: Sequence[str] = ()) -> DataFrame:
+    """key, piece, start, length, ids_crc32, piece_id, the columns of `order` as o0, o1, ... and, if asked for, ids."""
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    places = [f"o{i}" for i in range(len(order))]
 
     def cut(batches):
         base, at = TaskContext.get().partitionId() << 36, 0
         end = np.array([end_id], "<u4").tobytes()
         for pdf in batches:
-            out = []
-            for k, ids in zip(pdf["key"], bpe.encoder(tokenizer).encode(pdf["text"].tolist()), strict=True):
+            out, source = [], []
+            for row, (k, ids) in enumerate(zip(pdf["key"], bpe.encoder(tokenizer).encode(pdf["text"].tolist()), strict=True)):
                 ids += end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 for p, (a, b) in enumerate(zip(edges, edges[1:])):
                     x = ids[4 * a : 4 * b]
-                    out.append((k, p, a, b - a, zlib.crc32(x), base + at, np.frombuffer(x, "<u4").astype(np.int64) if with_ids else None))
+                    out.append((k, p, a, b - a, zlib.crc32(x), base + at, np.frombuffer(x, "<i4") if with_ids else None))
+                    source.append(row)
                     at += 1
             frame = pd.DataFrame(out, columns=["key", "piece", "start", "length", "ids_crc32", "piece_id", "ids"])
-            yield frame if with_ids else frame.drop(columns="ids")
+            frame = frame if with_ids else frame.drop(columns="ids")
+            yield frame.assign(**{c: pdf[c].take(source).to_numpy() for c in places})
 
-    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long, piece_id long" + ", ids array<long>" * with_ids
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(cut, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    schema = f"key {kinds['key']}, piece int, start long, length long, ids_crc32 long, piece_id long" + ", ids array<int>" * with_ids
+    return own.mapInPandas(cut, ", ".join([schema, *[f"{c} {kinds[c]}" for c in places]]))
 
 
-def _pack_groups(items: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame:
-    """piece_id, length, g, bin, offset, bins and bound (of the group), fill (of the bin)."""
+def _pack_groups(items: DataFrame, groups: int, capacity: int) -> DataFrame:
+    """piece_id, length, rank, sequence_id (the smallest rank in it), offset, bins and bound (of the group), fill (of the bin). Groups: ranges of `deal`."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "piece_id"], ascending=[False, True], ignore_index=True)
+    def pack(batches):
+        pdf = pd.concat([x for x in batches if len(x)] or [pd.DataFrame({c: [] for c in ("piece_id", "length", "rank", "deal")}, dtype="int64")])
+        if not len(pdf):
+            return
+        pdf = pdf.drop(columns="deal").sort_values(["length", "rank"], ascending=[False, True], ignore_index=True)
         n = pdf["length"].to_numpy(np.int64)
         bins, offsets, used = best_fit_decreasing(n, capacity)
         fill = np.bincount(bins, weights=n, minlength=used).astype(np.int64)
+        first = pdf["rank"].groupby(bins).min().to_numpy()
         bound = lower_bound(np.bincount(n, minlength=capacity + 1), capacity)
-        return pdf.assign(bin=bins, offset=offsets, bins=used, bound=bound, fill=fill[bins])
-
-    g = F.pmod(F.xxhash64("piece_id", F.lit(turn)), F.lit(groups)) + (turn << 24)
-    dealt = items.select("piece_id", "length").withColumn("g", g)
-    return dealt.groupBy("g").applyInPandas(pack, "piece_id long, length long, g long, bin long, offset long, bins long, bound long, fill long")
-
-
-def pack_lengths(items: DataFrame, capacity: int = 1024, rounds: int = 4) -> DataFrame:
-    """sequence_id and offset for each piece_id; `items` has piece_id and length below the capacity."""
-    total = items.count()
-    groups = max(1, math.ceil(total / PIECES_IN_GROUP))
-    done, now = [], staged(_pack_groups(items, groups, 0, capacity), "packed")
-    for turn in range(1, rounds + 1):
-        gap = now.where("bins > bound")
-        left = gap.where(F.col("fill") < capacity)
-        n, used = left.agg(F.count("*"), F.countDistinct("g", "bin")).first()
-        fewer = max(1, math.ceil(n / PIECES_IN_GROUP))
-        if not n or used < 2 or (groups == 1 and turn > 1):
+        yield pdf.assign(sequence_id=first[bins], offset=offsets, bins=used, bound=bound, fill=fill[bins])
+
+    dealt = items.select("piece_id", "length", "rank", "deal").repartitionByRange(groups, "deal")
+    return dealt.mapInPandas(pack, "piece_id long, length long, rank long, sequence_id long, offset long, bins long, bound long, fill long")
+
+
+def pack_lengths(items: DataFrame, tmp: Scratch, capacity: int = 1024, ordered: bool = False) -> DataFrame:
+    """sequence_id and offset for each piece_id; `items` has piece_id, length below the capacity and rank."""
+    deal = lambda df, turn: df.withColumn("deal", F.col("rank") if ordered else F.xxhash64("piece_id", F.lit(turn)))
+    groups_of = lambda n: max(1, math.ceil(n / PIECES_IN_GROUP))
+    done, turn, now = [], 0, tmp.staged(_pack_groups(deal(items, 0), groups_of(items.count()), capacity), "packed")
+    while True:
+        turn += 1
+        left = now.where((F.col("bins") > F.col("bound")) & (F.col("fill") < capacity))
+        n, used = left.agg(F.count("*"), F.countDistinct("sequence_id")).first()
+        if used < 2:
             break
-        again = staged(_pack_groups(left, fewer, turn, capacity), "packed")
-        if again.agg(F.countDistinct("g", "bin")).first()[0] >= used:
+        again = tmp.staged(_pack_groups(deal(left, turn), groups_of(n), capacity), "packed")
+        if again.agg(F.countDistinct("sequence_id")).first()[0] >= used:
             break
         done.append(now.where((F.col("bins") <= F.col("bound")) | (F.col("fill") == capacity)))
-        now, groups = again, fewer
+        now = again
     for part in done:
         now = now.unionByName(part)
-    return now.select("piece_id", F.shiftleft("g", 32).bitwiseOR(F.col("bin")).alias("sequence_id"), "offset")
+    return now.select("piece_id", "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = False, order: Sequence[str] = ()) -> DataFrame:
     """The pieces of all documents with sequence_id and offset."""
-    pieces = staged(pieces_of(docs, tokenizer, capacity, end_id, key, text, with_ids), "pieces")
-    placed = pack_lengths(pieces.where(F.col("length") < capacity), capacity)
-    full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("piece_id"), "offset": F.lit(0).cast("long")})
-    return pieces.where(F.col("length") < capacity).join(placed, "piece_id").unionByName(full).drop("piece_id")
+    pieces = staged(pieces_of(docs, tokenizer, capacity, end_id, key, text, with_ids, order), "pieces", fresh_dir(docs.sparkSession, "pieces"))
+    with scratch(docs.sparkSession, "packing") as tmp:
+        ranks = pieces.select("piece_id", "length", F.col("piece_id").alias("rank"))
+        if order:
+            by = [*[f"o{i}" for i in range(len(order))], "piece_id"]
+            sorted_ = pieces.select("piece_id", "length", *by[:-1]).repartitionByRange(*by).sortWithinPartitions(*by)
+            ranks = tmp.staged(sorted_.select("piece_id", "length", F.monotonically_increasing_id().alias("rank")), "ranks")
+        full = ranks.where(F.col("length") == capacity).select("piece_id", F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        placed = staged(pack_lengths(ranks.where(F.col("length") < capacity), tmp, capacity, bool(order)).unionByName(full), "placed")
+    return pieces.drop(*[f"o{i}" for i in range(len(order))]).join(placed, "piece_id").drop("piece_id")
 
 
 def certified_bound(pieces: DataFrame, capacity: int = 1024) -> int:

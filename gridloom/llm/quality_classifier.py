@@ -12,11 +12,15 @@ label); every row gives one row. Columns of the input stay; a column of the same
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.work import Shelter, staged
+
 
 FEATURES = ("chars", "upper", "digits", "points", "marks", "bars", "symbols", "lines", "odd", "word_length", "new_words", "new_lines", "new_triples", "long_words")
 _GROUPS = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": "0123456789", "points": ".,;:", "marks": "!?", "bars": "|", "symbols": "#*$%&<>@=_/\\{}[]^~+", "lines": "\n"}
@@ -97,7 +101,7 @@ def train(rows: DataFrame, statistic: str = "x", label: str = "label") -> Discri
     return Discriminant(total[:, 0], total[:, 1 : 1 + k], total[:, 1 + k :].reshape(2, k, k))
 
 
-def with_statistics(docs: DataFrame, text: str = "text", into: str = "_x") -> DataFrame:
+def with_statistics(docs: DataFrame, text: str = "text", into: str = "x") -> DataFrame:
     """`docs` with the array of statistics."""
 
     @F.pandas_udf("array<double>")
@@ -107,21 +111,23 @@ def with_statistics(docs: DataFrame, text: str = "text", into: str = "_x") -> Da
     return docs.withColumn(into, measured(F.col(text)))
 
 
-def scored(docs: DataFrame, model: Discriminant, text: str = "text") -> DataFrame:
-    """`docs` with score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def scored(rows: DataFrame, model: Discriminant, statistic: str = "x") -> DataFrame:
+    """`rows`, which have the statistics, with score."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        x = np.stack([statistics(t) for t in texts]) if len(texts) else np.zeros((0, len(FEATURES)))
-        return pd.Series(held.value.score(x))
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(held.value.score(np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(FEATURES)))))
 
-    return docs.withColumn("score", score(F.col(text)))
+    return rows.withColumn("score", score(F.col(statistic)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """`docs` with score; `labels` (key and label) are what the model may learn from."""
-    taught = labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")).where(F.col("_y").isin(0, 1))
-    rows = with_statistics(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")), "_t").select("_k", "_x")
-    model = train(rows.join(taught, "_k"), "_x", "_y")
-    return scored(docs.drop("score") if text != "score" else docs, model, text)
+def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", columns: Sequence[str] | None = None) -> DataFrame:
+    """`docs` (of these columns, or all) with score; `labels` (key and label) are what the model may learn from. Texts are measured once."""
+    inside = Shelter(docs)
+    k, wanted = inside.name(key), inside.wanted(columns)
+    measured = with_statistics(inside.df, inside.name(text)).select(*dict.fromkeys([*wanted, k]), "x")
+    rows = staged(measured, "statistics")
+    taught = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(F.col("y").isin(0, 1))
+    model = train(rows.select(F.col(k).alias("k"), "x").join(taught, "k"), "x", "y")
+    return inside.restored(scored(rows, model).select(*wanted, "score"), ["score"], ["score"])

@@ -95,7 +95,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior of good quality for every document; rows of the held-out fold teach nothing."""
     held = F.coalesce(_fold("doc_id", 5) == 0, F.lit(False))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
-    out = quality_scores(docs, _table(spark, sf_dir, "labels").where(_fold("doc_id", 5) != 0))
+    out = quality_scores(docs, _table(spark, sf_dir, "labels").where(_fold("doc_id", 5) != 0), columns=["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

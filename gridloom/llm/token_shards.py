@@ -2,10 +2,11 @@
 
 A shard `shard-N.ids` is a 16-byte header (magic, bytes an id) and the ids of its documents in key order;
 `shard-N.len` holds their lengths as unsigned 32-bit integers. The index is dealt into parts by key hash; each part
-is a minimal perfect hash of its keys whose slots store a fingerprint and the place of the key's runs in a list, so
-that a key is found in constant time. A run is the shard, the row, the first id and the number of rows of that key in
-one shard and one block of ROWS_IN_RUN rows: a key whose rows lie in many shards has a run for each of them, and its
-runs are read by as many tasks.
+is a minimal perfect hash of its keys' 64-bit hashes, whose slots store the place of the runs in a list, so that a key is
+found in constant time. A run is the shard, the row, the first id and the number of rows of a key in one shard and one
+block of ROWS_IN_RUN rows, with the key's fingerprint, a second 64-bit hash: keys that share the first hash share a
+slot and are told apart by it, and a key that the shards do not have is found with a probability of 2^-64 a slot. A key
+whose rows lie in many shards has a run for each of them, and its runs are read by as many tasks.
 
 Defined results: a null text is an empty text (its ids are the end id alone); a null key is a key like any other
 and comes first; rows with one key stay side by side and are all found under it; an empty table gives no shards.
@@ -23,7 +24,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, files
@@ -84,7 +85,7 @@ class PerfectHash:
         return out
 
 
-_RUN = {"shard": np.uint32, "row": np.uint64, "at": np.uint64, "rows": np.uint32}
+_RUN = {"shard": np.uint32, "row": np.uint64, "at": np.uint64, "rows": np.uint32, "print": np.int64}
 
 
 @dataclass(frozen=True)
@@ -104,8 +105,12 @@ class TokenShards:
         return totals.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
 
 
-def _fingerprint(h: np.ndarray) -> np.ndarray:
-    return (_mix(h, 63) >> np.uint64(48)).astype(np.uint16)
+def _hash(key: Column | str) -> Column:
+    return F.xxhash64(key)
+
+
+def _fingerprint(key: Column | str) -> Column:
+    return F.xxhash64(F.lit("fingerprint"), key)
 
 
 def write_token_shards(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, width: int = 2, path: str | None = None) -> TokenShards:
@@ -113,7 +118,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, key: str = "doc_id", tex
     spark = docs.sparkSession
     path = path or fresh_dir(spark, "shards")
     kind, most = f"<u{width}", 256**width - 1
-    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("i"))
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"), F.monotonically_increasing_id().alias("i"))
     ordered = own.repartitionByRange(F.asc_nulls_first("key"), "h", "i").sortWithinPartitions(F.asc_nulls_first("key"), "h", "i")
 
     def write(batches):
@@ -143,19 +148,18 @@ def write_token_shards(docs: DataFrame, tokenizer: str, key: str = "doc_id", tex
     entries = staged(ordered.select("key", "text").mapInPandas(write, f"key {kind_of_key}, shard int, row long, at long, n long"), "entries")
     # All rows of a key lie side by side: so there are as many runs as keys, shards and blocks at most.
     runs = entries.groupBy("key", "shard", F.floor(F.col("row") / ROWS_IN_RUN)).agg(F.min("row").alias("row"), F.min("at").alias("at"), F.count("*").alias("rows"))
-    places = runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("shard", "row", "at", "rows"))).alias("runs"))
-    places = staged(places.select(F.xxhash64("key").alias("h"), *[F.col(f"runs.{c}").alias(c) for c in _RUN]), "places")
+    places = runs.select(_hash("key").alias("h"), F.struct("shard", "row", "at", "rows", _fingerprint("key").alias("print")).alias("run"))
+    places = places.groupBy("h").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    places = staged(places.select("h", *[F.col(f"runs.{c}").alias(c) for c in _RUN]), "places")
     parts = max(1, math.ceil(places.count() / KEYS_IN_PART))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         part, h = int(pdf["part"].iloc[0]), pdf["h"].to_numpy().view(np.uint64)
         uniq, first = np.unique(h, return_index=True)
-        if len(uniq) != len(h):
-            raise ValueError("two keys share a 64-bit hash")
         mph = PerfectHash.build(uniq)
         slots, pdf = mph.slots(uniq), pdf.iloc[first]
         many = pdf["shard"].map(len).to_numpy(np.int64)
-        table = {"fingerprint": _fingerprint(uniq), "first": (np.cumsum(many) - many).astype(np.uint64), "runs": many.astype(np.uint32)}
+        table = {"hash": uniq, "first": (np.cumsum(many) - many).astype(np.uint64), "runs": many.astype(np.uint32)}
         columns = {c: np.concatenate(pdf[c].to_list()).astype(kind) for c, kind in _RUN.items()}
         for name, values in table.items():
             columns[name] = np.zeros(len(uniq), values.dtype)
@@ -181,13 +185,13 @@ def _index(path: str, part: int) -> tuple[PerfectHash, dict[str, np.ndarray]]:
         for n in z["sizes"]:
             levels.append(np.unpackbits(bits[k : k + (n + 7) // 8], count=n).astype(bool))
             k += (n + 7) // 8
-        return PerfectHash(levels, z["rest"]), {c: z[c] for c in ("fingerprint", "first", "runs", *_RUN)}
+        return PerfectHash(levels, z["rest"]), {c: z[c] for c in ("hash", "first", "runs", *_RUN)}
 
 
 def locate(spark: SparkSession, shards: TokenShards, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, shard, row, at, rows of every distinct key that the index has: a row for each of its runs."""
     path, parts = shards.path, shards.parts
-    asked = keys.select(F.col(key).alias("key")).distinct().withColumn("h", F.xxhash64("key"))
+    asked = keys.select(F.col(key).alias("key")).distinct().withColumns({"h": _hash("key"), "print": _fingerprint("key")})
     asked = asked.withColumn("part", F.expr(f"cast(pmod(shiftrightunsigned(h, 20), {parts}) as int)"))
 
     def look(batches):
@@ -197,10 +201,11 @@ def locate(spark: SparkSession, shards: TokenShards, keys: DataFrame, key: str =
                 h = own["h"].to_numpy().view(np.uint64)
                 slot = mph.slots(h)
                 ok = slot >= 0
-                ok[ok] = table["fingerprint"][slot[ok]] == _fingerprint(h[ok])
+                ok[ok] = table["hash"][slot[ok]] == h[ok]
                 first, many = table["first"][slot[ok]].astype(np.int64), table["runs"][slot[ok]].astype(np.int64)
                 run = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                yield pd.DataFrame({"key": own["key"][ok].repeat(many)} | {c: table[c][run].astype(np.int64) for c in _RUN})
+                found = pd.DataFrame({"key": own["key"][ok].repeat(many).to_numpy()} | {c: table[c][run].astype(np.int64) for c in _RUN})
+                yield found[found["print"].to_numpy() == np.repeat(own["print"].to_numpy()[ok], many)].drop(columns="print")
 
     kind = keys.schema[key].dataType.simpleString()
     return asked.repartition("part").mapInPandas(look, f"key {kind}, shard long, row long, at long, rows long")

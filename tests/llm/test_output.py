@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridloom.llm import bpe, lm_trie, mixing, packing, token_shards
+from gridloom.llm import bpe, lm_trie, mixing, packing, token_shards, work
 
 from ..conftest import SF
 
@@ -55,7 +55,7 @@ def test_token_shards_round_trip(spark, odd, none):
         order = [r.key for r in sorted(got, key=lambda r: r.base + r["at"])]
         assert order == sorted(order, key=lambda k: (k is not None, k or 0))
     absent = spark.createDataFrame([(10**9 + i,) for i in range(300)], "doc_id long")
-    assert token_shards.locate(spark, shards, absent).count() <= 2
+    assert token_shards.locate(spark, shards, absent).count() == 0
     empty = token_shards.write_token_shards(none, WORD)
     assert empty.entries.count() == 0 and token_shards.locate(spark, empty, none).count() == 0
 
@@ -85,6 +85,15 @@ def test_token_shards_find_all_rows_of_a_key_in_many_shards(spark, monkeypatch):
         token_shards.read_tokens(spark, shards, short).collect()
 
 
+def test_token_shards_tell_keys_apart_that_share_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(token_shards, "_hash", lambda key: F.pmod(F.xxhash64(key), F.lit(7)))
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    shards = token_shards.write_token_shards(docs, WORD)
+    got = token_shards.read_tokens(spark, shards, token_shards.locate(spark, shards, docs)).collect()
+    assert {r.key: r.ids_crc32 for r in got} == {i: crc(ids_of(WORD, f"text {i}")) for i in range(200)} and len(got) == 200
+    assert token_shards.locate(spark, shards, spark.range(1000, 1100).withColumnRenamed("id", "doc_id")).count() == 0
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=500))
 def test_perfect_hash_is_minimal(keys):
@@ -117,19 +126,36 @@ def test_packing(spark, odd, none):
     assert packing.pack(none, BYTE).count() == 0
 
 
-def test_packing_exchange_between_groups(spark, monkeypatch):
+@pytest.mark.parametrize("ordered", [False, True])
+def test_packing_exchange_between_groups(spark, monkeypatch, ordered):
     monkeypatch.setattr(packing, "PIECES_IN_GROUP", 40)
-    items = spark.range(1000).select(F.col("id").alias("piece_id"), (F.pmod(F.xxhash64("id"), F.lit(600)) + 50).alias("length"))
-    out = packing.pack_lengths(items, 1024).join(items, "piece_id").collect()
-    fill = collections.Counter()
+    items = spark.range(1000).select(F.col("id").alias("piece_id"), (F.pmod(F.xxhash64("id"), F.lit(600)) + 50).alias("length"), F.col("id").alias("rank"))
+    with work.scratch(spark, "t") as tmp:
+        out = packing.pack_lengths(items, tmp, 1024, ordered).join(items, "piece_id").collect()
+        first = packing._pack_groups(items.withColumn("deal", F.col("rank") if ordered else F.xxhash64("piece_id", F.lit(0))), 25, 1024).select("sequence_id").distinct().count()
+    fill, least = collections.Counter(), {}
     for r in out:
         fill[r.sequence_id] += r.length
+        least[r.sequence_id] = min(least.get(r.sequence_id, r["rank"]), r["rank"])
     counts = np.bincount([r.length for r in out], minlength=1025)
-    first = packing._pack_groups(items, 25, 0, 1024).select("g", "bin").distinct().count()
-    assert len(out) == 1000 and max(fill.values()) <= 1024
+    assert len(out) == 1000 and max(fill.values()) <= 1024 and all(s == x for s, x in least.items())
     assert packing.lower_bound(counts, 1024) <= len(fill) < first
 
 
+def test_packing_in_order(spark, monkeypatch):
+    """Sequences by number follow the order: each holds documents of one run of neighbours, or few."""
+    monkeypatch.setattr(packing, "PIECES_IN_GROUP", 30)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("turn", F.xxhash64("doc_id"))
+    out = packing.pack(docs, BYTE, order=["turn"], with_ids=True).join(docs.select(F.col("doc_id").alias("key"), "turn"), "key").collect()
+    place = {k: i for i, (_, k) in enumerate(sorted({(r.turn, r.key) for r in out}))}
+    by = collections.defaultdict(list)
+    for r in out:
+        assert crc(r.ids) == r.ids_crc32 and len(r.ids) == r.length
+        by[r.sequence_id].append(place[r.key])
+    starts = [min(by[s]) for s in sorted(by)]
+    assert starts == sorted(starts) and np.mean([max(x) - min(x) for x in by.values()]) < len(place) / 4
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 30), min_size=1, max_size=9))
 def test_lower_bound_never_exceeds_the_best_packing(lengths):
