@@ -12,7 +12,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 from gridloom.llm import bpe, lm_trie, mixing, packing, token_shards, work
 
 from ..conftest import SF
@@ -297,20 +296,3 @@ def test_elias_fano(values, others):
     at = np.searchsorted(v, q)
     hit = (at < len(v)) & (v[np.minimum(at, len(v) - 1)] == q)
     assert (e.find(q.astype(np.uint64)) == np.where(hit, at, -1)).all()
-
-
-def test_pipeline_stages(spark, none):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mix_sources", "pack_sequences"]
-    sizes, now = [docs.count()], docs
-    for _, stage in corpus_pipeline.STAGES[:4]:
-        now = stage(spark, now, SF).cache()
-        assert now.columns == docs.columns
-        sizes.append(now.count())
-    assert sizes == sorted(sizes, reverse=True) and sizes[3] == sizes[4]
-    packed = corpus_pipeline.run(spark, SF)
-    assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in now.collect()}
-    empty = none
-    for _, stage in corpus_pipeline.STAGES:
-        empty = stage(spark, empty, SF)
-    assert empty.count() == 0
