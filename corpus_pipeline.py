@@ -1,13 +1,17 @@
 """A corpus pipeline: quality rules, exact and near duplicates, mixing by source, packing.
 
 Each stage takes what its predecessor kept, with the columns of documents, and returns those columns; the last one
-returns the packed pieces. Null and empty texts fail the quality rules; an empty table passes through all stages.
+returns the packed pieces with their token ids. The mix decides the order of the documents, and packing keeps it: it
+packs runs of neighbours, and sequences by number follow the mix. Null and empty texts fail the quality rules; an empty
+table passes through all stages.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.mixing import mixed
@@ -37,9 +41,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed(docs).orderBy("position").select(*docs.columns)
 
 
+def _with_place(docs: DataFrame) -> DataFrame:
+    """`docs` with part, file and at: the place of each row in the files, which the mix has written in its order."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+    place = {"mix-part": F.coalesce(part.try_cast("long"), F.lit(0)), "mix-file": F.col("_metadata.file_name"), "mix-at": F.col("_metadata.row_index")}
+    try:
+        return docs.withColumns(place)
+    except AnalysisException:  # not read from files: so they are written first
+        return staged(docs, "mixed").withColumns(place)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("key", "doc_id")
+    """The pieces of all documents with their ids, sequences and offsets; sequence numbers follow the order of the documents."""
+    order = ["mix-part", "mix-file", "mix-at"]
+    packed = pack(_with_place(docs), public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, order=order)
+    return packed.withColumnRenamed("key", "doc_id")
 
 
 STAGES = [
@@ -61,4 +77,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-ORACLE_SQL = None  # near duplicates, the schedule and token ids are beyond SQL; tests/llm holds run() against a brute-force version
+ORACLE_SQL = None  # near duplicates, the schedule and token ids are beyond SQL; tests/llm/test_pipeline.py holds run() against a brute-force version
