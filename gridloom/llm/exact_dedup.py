@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import files
-from gridloom.llm.work import Scratch, Shelter, fresh_dir, join_groups, scratch, small_batches, staged
+from gridloom.llm.work import Scratch, Shelter, fresh_dir, join_groups, scratch, staged, writing
 
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 TRIGGERS = 4
@@ -114,10 +114,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     path = path or fresh_dir(spark, "exact")
     k, t, wanted = inside.name(key), inside.name(text), inside.wanted(columns)
     new = inside.df.select(*dict.fromkeys([*wanted, k, t])).withColumns({"digest": digest(F.col(t)), "points": F.length(F.coalesce(F.col(t), F.lit("")))})
-    new.write.mode("append").option("compression", "zstd").parquet(f"{path}/store")
+    with writing(spark):
+        new.write.mode("append").option("compression", "zstd").parquet(f"{path}/store")
     store = spark.read.schema(new.schema).parquet(f"{path}/store")
     located = store.withColumns({"file": F.col("_metadata.file_path"), "at": F.col("_metadata.row_index")})
-    with scratch(spark, "exact") as tmp, small_batches(spark):
+    with scratch(spark, "exact") as tmp, writing(spark):
         groups = staged(_groups(located, _keyed_state(store, path, k), k, t, tmp), "exact-groups")
     out = located.join(groups, ["file", "at"])
     kept = (F.col("best.file") == F.col("file")) & (F.col("best.at") == F.col("at"))

@@ -24,6 +24,7 @@ of the same name as a new one is replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -39,7 +40,7 @@ from gridloom.llm.work import Shelter, fresh_dir, numbered, scratch, staged
 ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 START, STEPS, ABSENT, FLOOR = 1, 65534, 65535, -14.0
 END = xxhash.xxh3_64_intdigest(b"")
-TOKENS_AT_ONCE, TOKENS_IN_SHARD = 500_000, 2_000_000
+TOKENS_AT_ONCE, TOKENS_IN_SHARD = 1_000_000, 2_000_000
 ID_BITS = 40
 DISCOUNT = 0.75
 
@@ -462,14 +463,18 @@ def _score(m: Model, starts: int):
     return score
 
 
-def lm_scores(docs: DataFrame, training: Column, text: str = "text", path: str | None = None) -> DataFrame:
-    """`docs` with n_tokens, n_known, train_tokens, base_score and score; the model learns where `training` holds and stays in `path`."""
-    spark, own = docs.sparkSession, Shelter(docs.withColumn(_TEACHES, F.coalesce(training, F.lit(False))))
-    path = path or fresh_dir(spark, "lm")
-    rows = numbered(own.df, "lm-rows")
-    narrow = rows.select("row", F.col(own.name(text)).alias("text"), F.col(f"in{len(own.names) - 1}").alias("teaches"))
+def lm_scores(docs: DataFrame, training: Column, text: str = "text", path: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """`docs` (of these columns, or all) with n_tokens, n_known, train_tokens, base_score and score; the model learns where `training` holds and stays in `path`."""
+    spark, own = docs.sparkSession, Shelter(docs)
+    path, wanted, t = path or fresh_dir(spark, "lm"), own.wanted(columns), own.name(text)
+    teaches = docs.select("*", F.coalesce(training, F.lit(False)).alias("teaches")).toDF(*own.df.columns, "teaches")
     with scratch(spark, "lm") as tmp:
-        chunks = tmp.staged(_chunks(narrow), "chunks")
+        place = tmp.place("rows")
+        rows = numbered(teaches.select(*dict.fromkeys([*wanted, t]), "teaches"), "lm-rows", None if t in wanted else place)
+        chunks = tmp.staged(_chunks(rows.select("row", F.col(t).alias("text"), "teaches")), "chunks")
+        if t not in wanted:  # the texts are not needed any more
+            rows = staged(rows.select(*wanted, "row"), "lm-rows")
+            files.remove(place)
         size = chunks.agg(F.sum("n")).first()[0] or 0
         shards = max(1, size // TOKENS_IN_SHARD)
         m = Model(path, math.ceil(math.log2(max(1, size // (4 * TOKENS_IN_SHARD)))), shards, max(1, size // shards // 8))
@@ -487,8 +492,5 @@ def lm_scores(docs: DataFrame, training: Column, text: str = "text", path: str |
         answers = words.unionByName(pairs.where("chunk is not null"))
         scored = by.cogroup(answers.groupBy("chunk")).applyInPandas(_score(m, starts), "row long, n_tokens long, n_known long, base_score double, score double")
         scored = staged(scored, "lm-scores")
-    out = rows.drop(f"in{len(own.names) - 1}").join(scored.withColumn("train_tokens", F.lit(m.tokens).cast("long")), "row")
+    out = rows.select(*wanted, "row").join(scored.withColumn("train_tokens", F.lit(m.tokens).cast("long")), "row")
     return own.restored(out, ADDED, ADDED)
-
-
-_TEACHES = "teaches-the-model"

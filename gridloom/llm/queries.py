@@ -52,7 +52,7 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document under the trie model, and under the add-one unigram base."""
     held = F.coalesce(_fold("doc_id", 7) == 2, F.lit(False))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
-    return lm_scores(docs, ~F.col("held_out")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lm_scores(docs, ~F.col("held_out"), columns=["doc_id", "held_out"])
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.work import staged
+from gridloom.llm.work import Shelter, staged
 
 ADDED = ("host", "path", "rule", "verdict", "ratio")
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0/.:-_?=&#%~"  # all digits count as 0
@@ -83,23 +83,41 @@ def _ratios(rows: DataFrame, table, names: Sequence[str]) -> DataFrame:
     return rows.select(*names).mapInPandas(judge, rows.select(*names).schema.add("ratio", "double"))
 
 
+def _ruled(rules: Sequence[tuple[str, str, str]]):
+    """A function of host and path: the longest rule that fits, and its verdict. A host looks its suffixes up, so any number of rules will do."""
+    by: dict[str, list] = {}
+    for verdict, host, path in rules:
+        by.setdefault(host, []).append((len(host + path), host + path, path, verdict))
+    table = {h: sorted(own, reverse=True) for h, own in by.items()}
+
+    def find(host: str, path: str) -> tuple:
+        best, rest = (-1, None, None, None), host
+        while True:
+            for own in table.get(rest, ()):
+                if path.startswith(own[2]):
+                    best = max(best, own, key=lambda x: (x[0], x[1] or ""))
+                    break
+            _, dot, rest = rest.partition(".")
+            if not dot:
+                return best[1], best[3]
+
+    @F.pandas_udf("rule string, verdict string")
+    def judge(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([find(h, p) for h, p in zip(hosts, paths, strict=True)], columns=["rule", "verdict"])
+
+    return judge
+
+
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", terms: Sequence[str] = REJECTED_TERMS, false_rejects: float = 0.01) -> DataFrame:
     """`pages` with host, path, rule, verdict and ratio. rules: (allow or block, host, path)."""
-    spark = pages.sparkSession
-    if len(rules) > 1000:
-        raise ValueError("more rules than a plan should hold")
-    host, path = host_and_path(F.col(url))
-    own = pages.drop(*[c for c in ADDED if c not in (key, url)])
-    names = own.columns
-    rows = own.withColumns({"host": host, "path": path})
-    rule = given = F.lit(None).cast("string")
-    for verdict, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):  # the longest is asked first
-        fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
-        rule, given = F.when(fits, h + p).otherwise(rule), F.when(fits, verdict).otherwise(given)
-    rows = rows.withColumns({"rule": rule, "_given": given})
+    spark, own = pages.sparkSession, Shelter(pages)
+    host, path = host_and_path(F.col(own.name(url)))
+    rows = own.df.withColumns({"host": host, "path": path}).withColumn("ruled", _ruled(rules)("host", "path"))
+    names = own.df.columns
+    rows = rows.select(*names, "host", "path", "ruled.rule", F.col("ruled.verdict").alias("given"))
     bad = F.col("host").rlike(rf"(^|[.\-])({'|'.join(terms)})([.\-]|$)") if terms else F.lit(False)
-    side = F.when(F.coalesce(F.col("_given") == "block", F.lit(False)) | (F.col("_given").isNull() & bad), "bad").otherwise("good")
-    labelled = rows.select("host", "path", side.alias("side"), (F.pmod(F.xxhash64(key, "host", "path"), F.lit(5)) == 0).alias("held"))
+    side = F.when(F.coalesce(F.col("given") == "block", F.lit(False)) | (F.col("given").isNull() & bad), "bad").otherwise("good")
+    labelled = rows.select("host", "path", side.alias("side"), (F.pmod(F.xxhash64(own.name(key), "host", "path"), F.lit(5)) == 0).alias("held"))
 
     def count(batches):
         total: dict[tuple[int, str], list] = {}
@@ -114,9 +132,8 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: str
 
     counts = labelled.where("not held").mapInPandas(count, "k int, cell long, good long, bad long")
     counts = staged(counts.groupBy("k", "cell").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "urls").toPandas()
-    final = rows.select(*names, "host", "path", "rule", "_given")
     if not (len(counts) and counts["good"].sum() and counts["bad"].sum()):
-        return final.select(*names, "host", "path", "rule", F.coalesce("_given", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("ratio"))
+        return own.restored(rows.select("*", F.coalesce("given", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("ratio")), ADDED, ADDED)
     table = spark.sparkContext.broadcast(_tables(counts))
     held = _ratios(labelled.where("held"), table, ["host", "path", "side"])
     spot = F.least(F.greatest(F.floor((F.col("ratio") + 10) * BINS / 20), F.lit(0)), F.lit(BINS - 1))
@@ -124,6 +141,6 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: str
     good = bins[bins["side"] == "good"].set_index("bin")["count"].reindex(range(BINS), fill_value=0).to_numpy()
     below = np.concatenate([[0], np.cumsum(good)])  # accepted examples below each bin's lower edge
     limit = min(0.0, float(np.flatnonzero(below <= false_rejects * good.sum())[-1]) * 20 / BINS - 10)
-    out = _ratios(final, table, [*names, "host", "path", "rule", "_given"])
-    verdict = F.coalesce("_given", F.when(F.col("ratio") >= limit, "allow").otherwise("block"))
-    return out.withColumn("verdict", verdict).select(*names, "host", "path", "rule", "verdict", "ratio")
+    out = _ratios(rows, table, [*names, "host", "path", "rule", "given"])
+    verdict = F.coalesce("given", F.when(F.col("ratio") >= limit, "allow").otherwise("block"))
+    return own.restored(out.withColumn("verdict", verdict), ADDED, ADDED)

@@ -49,21 +49,25 @@ atexit.register(release)
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2048) -> Iterator[None]:
-    """Arrow batches of few rows while a table is written, so that long texts do not add up in a Python worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def writing(spark: SparkSession, rows: int = 2048) -> Iterator[None]:
+    """Settings while a table is written: Arrow batches of few rows, so that long texts do not add up in a Python worker,
+    and shuffle files that go when the table is there, so that disks do not fill up over the steps of an operator."""
+    batch, cleanup = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = {k: spark.conf.get(k) for k in (batch, cleanup)}
+    most = int(before[batch])
+    spark.conf.set(batch, str(min(rows, most) if most > 0 else rows))
+    spark.conf.set(cleanup, "true")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: it cuts lineage and survives lost executors."""
     path = path or fresh_dir(df.sparkSession, name)
-    with small_batches(df.sparkSession):
+    with writing(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -74,9 +78,12 @@ class Scratch:
     def __init__(self, path: str):
         self.path, self.number = path, 0
 
-    def staged(self, df: DataFrame, name: str) -> DataFrame:
+    def place(self, name: str) -> str:
         self.number += 1
-        return staged(df, name, f"{self.path}/{self.number}-{name}")
+        return f"{self.path}/{self.number}-{name}"
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        return staged(df, name, self.place(name))
 
 
 @contextmanager
