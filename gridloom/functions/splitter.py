@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,18 +57,24 @@ def recursive_chunks(df: DataFrame, key: str, text: str = "text", size: int = 80
     return df.select(F.col(key), F.col(text)).mapInPandas(cut, f"{key} {kind}, chunk_index int, chunk string")
 
 
+@lru_cache(maxsize=4)
+def _encoding(ranks_path: str, pattern: str):
+    """The encoder of this Python worker, built once."""
+    import base64
+
+    import tiktoken
+
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def bpe_counts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "tokens") -> DataFrame:
     """`df` with the exact token count of a byte-pair vocabulary (a file of base64 tokens and ranks)."""
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        import base64
-
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return texts.map(lambda t: len(enc.encode_ordinary(t or "")))
+        encode = _encoding(ranks_path, pattern).encode_ordinary
+        return texts.map(lambda t: len(encode(t or "")))
 
     return df.withColumn(into, count(F.col(text)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = r"[ \t\n\r]+"
@@ -107,3 +107,10 @@ def record(command: str, from_bus: Column, to_bus: Column, circuit: Column, r: C
     """A positional branch record: command, ends, circuit, six blanks, R, X and B, seventeen commas, the ratings, a semicolon."""
     fields = F.concat_ws(",", F.lit(command), from_bus.cast("string"), to_bus.cast("string"), circuit.cast("string"), *[F.lit("")] * 6, r.cast("string"), x.cast("string"), b.cast("string"))
     return F.concat(fields, F.lit("," * 17), F.array_join(F.transform(ratings, lambda v: v.cast("string")), ","), F.lit(";"))
+
+
+def with_system_row(rows: DataFrame, group: str, order: str, text: str, last: int) -> DataFrame:
+    """group, order, role, text: a system row (order -1) for each group, then its last rows."""
+    recent = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))).where(F.col("_r") <= last)
+    system = rows.select(group).distinct().select(group, F.lit(-1).cast("long").alias(order), F.lit("system").alias("role"), F.lit(text).alias("text"))
+    return system.unionByName(recent.select(group, order, "role", "text"))

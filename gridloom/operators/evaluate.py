@@ -60,6 +60,18 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.7, se
     return _placed(df, key, label, seed).withColumn("in_train", F.col("_place") < F.floor(F.col("_n") * share)).drop("_place", "_n")
 
 
+def random_split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """`df` with in_train: exactly the floor of the share of all rows, in a seeded order."""
+    return stratified_split(df.withColumn("_all", F.lit(0)), key, "_all", share, seed).drop("_all")
+
+
+def between_dates(df: DataFrame, ts: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Rows from the first to the last moment, both included; pushed into the scan."""
+    for given, fits in ((first, F.col(ts).__ge__), (last, F.col(ts).__le__)):
+        df = df if given is None else df.where(fits(F.lit(given).cast("timestamp_ntz")))
+    return df
+
+
 def group_split(df: DataFrame, group: str, percent: int = 80, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows of about the percentage of groups, and the rest; a group is never parted."""
     bucket = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))), 1, 6), 16, 10).cast("long") % 100
@@ -90,19 +102,37 @@ def class_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return g.select("label", ratio(hit, said).alias("precision"), ratio(hit, n).alias("recall"), ratio(2 * hit, said + n).alias("f1"), "support")
 
 
+def report_averages(report: DataFrame) -> DataFrame:
+    """average (macro, weighted), precision, recall, f1, support of a class report; weighted by support."""
+    n, names = F.sum("support"), ("precision", "recall", "f1")
+    macro = report.agg(F.lit("macro").alias("average"), *[F.avg(c).alias(c) for c in names], n.alias("support"))
+    weighted = report.agg(F.lit("weighted").alias("average"), *[ratio(F.sum(F.col(c) * F.col("support")), n).alias(c) for c in names], n.alias("support"))
+    return macro.unionByName(weighted)
+
+
+def clipped(p: Column, least: float = 1e-6) -> Column:
+    """A probability kept away from 0 and 1."""
+    return F.least(F.greatest(p, F.lit(least)), F.lit(1 - least))
+
+
 def pr_curve(df: DataFrame, truth: str, score: str, group: str) -> DataFrame:
     """group, score, precision, recall, f1 at each distinct score as the threshold."""
     at = df.groupBy(F.col(group), F.col(score).alias("score")).agg(F.count("*").alias("n"), F.count(F.when(F.col(truth) == 1, 1)).alias("pos"))
-    down = Window.partitionBy(group).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("pos").over(Window.partitionBy(group))
-    c = at.select(group, "score", F.sum("n").over(down).alias("said"), F.sum("pos").over(down).alias("hit"), total.alias("pos"))
+    at = at.withColumn("b", F.floor(F.col("score") * 4096))  # running sums within buckets of scores, on top of those of the buckets above
+    sums = at.groupBy(group, "b").agg(F.sum("n").alias("bn"), F.sum("pos").alias("bp"))
+    above = Window.partitionBy(group).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(group, "b", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("bn", "bp")], F.sum("bp").over(Window.partitionBy(group)).alias("total"))
+    down = Window.partitionBy(group, "b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    own = at.select(group, "b", "score", F.sum("n").over(down).alias("n"), F.sum("pos").over(down).alias("pos"))
+    c = own.join(sums, [group, "b"]).select(group, "score", (F.col("n") + F.col("bn")).alias("said"), (F.col("pos") + F.col("bp")).alias("hit"), F.col("total").alias("pos"))
     p, r = ratio(F.col("hit"), F.col("said")), ratio(F.col("hit"), F.col("pos"))
     return c.select(group, "score", p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r + 1e-12)).alias("f1"))
 
 
-def best_threshold(curve: DataFrame, group: str) -> DataFrame:
-    """group, threshold (the smallest score with the highest f1), f1."""
-    return curve.groupBy(group).agg(F.max_by("score", F.struct("f1", -F.col("score"))).alias("threshold"), F.max("f1").alias("f1"))
+def best_threshold(curve: DataFrame, group: str, default: float = 0.5) -> DataFrame:
+    """group, threshold (the smallest score with the highest f1; the default where none has any), f1."""
+    best = F.when(F.max("f1") > 0, F.max_by("score", F.struct("f1", -F.col("score")))).otherwise(default)
+    return curve.groupBy(group).agg(best.alias("threshold"), F.max("f1").alias("f1"))
 
 
 def class_weights(df: DataFrame, label: str, smoothing: float = 1e-6) -> DataFrame:

@@ -15,30 +15,36 @@ from gridloom.functions.text import token_estimate
 def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
     """block, ids, values: the vectors of about `rows` rows side by side, as bytes."""
 
+    width = "<f4" if "float" in df.schema[vector].dataType.simpleString() else "<f8"
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), rows):
                 own = pdf.iloc[a : a + rows]
                 for _, same in own.groupby(own["v"].map(len)):
-                    yield pd.DataFrame({"ids": [same["k"].to_numpy(np.int64).tobytes()], "v": [np.stack(same["v"].to_numpy()).astype("<f8").tobytes()], "dim": [len(same["v"].iloc[0])]})
+                    yield pd.DataFrame({"ids": [same["k"].to_numpy(np.int64).tobytes()], "v": [np.stack(same["v"].to_numpy()).astype(width).tobytes()], "dim": [len(same["v"].iloc[0])], "width": [width]})
 
-    return df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).mapInPandas(pack, "ids binary, v binary, dim int")
+    return df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).mapInPandas(pack, "ids binary, v binary, dim int, width string")
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", block: int = 1024, least: float | None = None, digits: int = 12) -> DataFrame:
     """query, id, score, rank: the k best of all rows for each query; equal scores by id. metric: cosine, inner or l2 (smaller is better).
 
     Queries and rows are packed into blocks; each pair of blocks is one matrix product that leaves its k best, so what
-    is shuffled is k rows a query and block. Vectors of another dimension than the query's do not match.
+    is shuffled is k rows a query and block. The corpus' blocks are dealt over as many lanes as the session has shuffle
+    partitions, and the queries' blocks, the smaller side, go to every lane. Vectors of another dimension than the
+    query's do not match.
     """
-    q = _blocks(queries, key, vector, block).select(F.col("ids").alias("qids"), F.col("v").alias("q"), F.col("dim").alias("qdim"))
-    pairs = q.join(_blocks(corpus, key, vector, block * 4), F.col("dim") == F.col("qdim"))
+    lanes = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = _blocks(queries, key, vector, block).select(F.col("ids").alias("qids"), F.col("v").alias("q"), F.col("dim").alias("qdim"), F.col("width").alias("qwidth"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("qlane"))
+    rows = _blocks(corpus, key, vector, block * 4).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
+    pairs = q.join(rows, (F.col("dim") == F.col("qdim")) & (F.col("lane") == F.col("qlane")))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for qids, q_, ids, v_, dim in pdf[["qids", "q", "ids", "v", "dim"]].itertuples(index=False, name=None):
+            for qids, q_, qwidth, ids, v_, width, dim in pdf[["qids", "q", "qwidth", "ids", "v", "width", "dim"]].itertuples(index=False, name=None):
                 qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                q, v = np.frombuffer(q_, "<f8").reshape(-1, dim), np.frombuffer(v_, "<f8").reshape(-1, dim)
+                q, v = (np.frombuffer(x, w).reshape(-1, dim).astype(float) for x, w in ((q_, qwidth), (v_, width)))
                 if metric == "l2":
                     s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T, 0))
                 else:

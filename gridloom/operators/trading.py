@@ -55,3 +55,8 @@ def position_size(equity: Column, price: Column, fraction: float = 0.1) -> Colum
 def stop_loss(price: Column, share: float = 0.03) -> Column:
     """Rounded half up in decimal arithmetic."""
     return F.round((price * (1 - share)).cast("decimal(18,6)"), 2).cast("double")
+
+
+def with_status(orders: DataFrame, column: str, status: str) -> DataFrame:
+    """Orders of a status but for case; `all` asks for every one."""
+    return orders if status.lower() == "all" else orders.where(F.upper(column) == status.upper())

@@ -373,8 +373,9 @@ def keyed_lookup_first(spark, sf_dir):
 q AS (SELECT p_partkey AS request, lower(split_part(p_name, ' ', 1)) AS s, lower(split_part(p_name, ' ', 2)) AS k, lower(CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END) AS n, p_partkey % 5 = 0 AS b FROM part),
 t1 AS (SELECT request, min(p_partkey) AS r FROM q JOIN c ON label = s || ' ' || k || ' ' || n || CASE WHEN b THEN ' bundled' ELSE '' END GROUP BY ALL),
 t2 AS (SELECT request, min(p_partkey) AS r FROM q JOIN c ON label = s || ' ' || k || ' ' || n GROUP BY ALL),
-t3 AS (SELECT request, min(p_partkey) AS r FROM q JOIN (SELECT DISTINCT ON (label) label, p_partkey, split_part(label, ' ', 1) AS w FROM c ORDER BY label, p_partkey) c ON w = s AND contains(label[length(s) + 1 :], k)
-  AND contains(label[length(s) + instr(label[length(s) + 1 :], k) + length(k) :], n) GROUP BY ALL)
+u AS (SELECT label, min(p_partkey) AS p_partkey FROM c GROUP BY label),
+t3 AS (SELECT request, min(p_partkey) AS r FROM q JOIN u ON contains(label, s) AND contains(label[instr(label, s) + length(s) :], k)
+  AND contains(label[instr(label, s) + length(s) :][instr(label[instr(label, s) + length(s) :], k) + length(k) :], n) GROUP BY ALL)
 SELECT q.request, CASE WHEN t1.r IS NOT NULL THEN 1 WHEN t2.r IS NOT NULL THEN 2 WHEN t3.r IS NOT NULL THEN 3 END::INTEGER AS tier, coalesce(t1.r, t2.r, t3.r) AS p_partkey
 FROM q LEFT JOIN t1 USING (request) LEFT JOIN t2 USING (request) LEFT JOIN t3 USING (request)""")
 def tiered_fuzzy_match(spark, sf_dir):
@@ -596,7 +597,7 @@ h1 AS (SELECT w.scenario, w.dst AS node, sum(w.w * v.load) AS x FROM w JOIN v ON
 h2 AS (SELECT w.scenario, w.dst AS node, sum(w.w * h1.x) AS x FROM w JOIN h1 ON h1.scenario = w.scenario AND h1.node = w.src GROUP BY ALL)
 SELECT scenario, node, round(x, 4) AS load FROM h2""")
 def graph_propagate_2hop(spark, sf_dir):
-    return gr.propagated(_nodes(spark, sf_dir), _edges(spark, sf_dir), "load").withColumn("load", _r("load", 4))
+    return gr.propagated(_nodes(spark, sf_dir), _edges(spark, sf_dir), ["load"]).withColumn("load", _r("load", 4))
 
 
 @query(f"WITH {_NODES} SELECT scenario, node || '__' || k AS node, load FROM v, (SELECT unnest(range(3)) AS k)")
@@ -639,7 +640,7 @@ def sgc_alarm_model(spark, sf_dir):
 
     nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir)
     flag = gr.alarm_flags(_r(1 + F.col("discount") - 0.05), F.col("load"), 0.99, 1.01)
-    x = gr.propagated(nodes, edges, "load").join(gr.propagated(nodes, edges, "discount"), ["scenario", "node"])
+    x = gr.propagated(nodes, edges, ["load", "discount"])
     rows = x.join(nodes.select("scenario", "node", (flag > 0).cast("double").alias("label")), ["scenario", "node"]).cache()
     model = ml.alarm_model(rows.where("scenario <= 5"), ["load", "discount"])
     p = F.element_at(vector_to_array("probability"), 2)
@@ -680,18 +681,18 @@ def token_count_bpe(spark, sf_dir):
     return docs.select(D, "tokens")
 
 
-@query("SELECT quality AS label, count(*) AS n FROM labels WHERE quality NOT IN (SELECT toxic FROM labels WHERE toxic IS NOT NULL) GROUP BY quality")
+@query("SELECT l_returnflag AS label, count(*) AS n FROM lineitem WHERE l_returnflag NOT IN (SELECT l_linestatus FROM lineitem WHERE l_linestatus IS NOT NULL) GROUP BY l_returnflag")
 def unseen_labels(spark, sf_dir):
-    """Truth labels that no prediction has; none means that the labels are a subset."""
-    t = table(spark, sf_dir, "labels")
-    seen = t.select(F.col("toxic").alias("label")).where("label is not null").distinct()
-    return t.select(F.col("quality").alias("label")).join(seen, "label", "left_anti").groupBy("label").agg(F.count("*").alias("n"))
+    """Truth labels that no prediction has; none would mean that the labels are a subset."""
+    t = table(spark, sf_dir, "lineitem")
+    seen = t.select(F.col("l_linestatus").alias("label")).where("label is not null").distinct()
+    return t.select(F.col("l_returnflag").alias("label")).join(seen, "label", "left_anti").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE upper(o_orderstatus) = upper('o')")
 def open_orders(spark, sf_dir):
     """Orders of a status but for case."""
-    return table(spark, sf_dir, "orders").where(F.upper("o_orderstatus") == "O").select("o_orderkey", "o_orderstatus")
+    return trading.with_status(table(spark, sf_dir, "orders"), "o_orderstatus", "o").select("o_orderkey", "o_orderstatus")
 
 
 @query("""WITH m AS (SELECT l_returnflag AS model, avg(l_discount) AS cv FROM lineitem GROUP BY ALL), h AS (SELECT l_returnflag AS model, avg(l_tax) AS held FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)
@@ -702,3 +703,121 @@ def paired_metrics(spark, sf_dir):
     held = li.where("model <> 'N'").groupBy("model").agg(F.avg("l_tax").alias("held"))
     both = li.groupBy("model").agg(F.avg("l_discount").alias("cv")).join(held, "model", "left")
     return both.select("model", _r("cv").alias("cv"), _r(F.coalesce("held", F.lit(0.0))).alias("held"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def all_orders(spark, sf_dir):
+    """Orders of any status: the filter that asks for all."""
+    return trading.with_status(table(spark, sf_dir, "orders"), "o_orderstatus", "all").select("o_orderkey", "o_orderstatus")
+
+
+@query(f"""WITH {_JUDGED}, l AS (SELECT truth AS label FROM j UNION SELECT pred FROM j),
+c AS (SELECT label, (SELECT count(*) FROM j WHERE truth = label AND pred = label) AS hit, (SELECT count(*) FROM j WHERE pred = label) AS said, (SELECT count(*) FROM j WHERE truth = label) AS support FROM l),
+r AS (SELECT coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / nullif(support, 0), 0) AS r, coalesce(2 * hit / nullif(said + support, 0), 0) AS f, support FROM c)
+SELECT 'macro' AS average, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f), 6) AS f1, sum(support)::BIGINT AS support FROM r
+UNION ALL SELECT 'weighted', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6), round(sum(f * support) / sum(support), 6), sum(support)::BIGINT FROM r""")
+def class_report_averages(spark, sf_dir):
+    out = ev.report_averages(ev.class_report(_judged(spark, sf_dir), "truth", "pred"))
+    return out.select("average", *[_r(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("""WITH d AS (SELECT l_returnflag AS g, round(l_discount + l_tax, 2) AS score, CASE WHEN l_quantity > 25 AND l_returnflag <> 'N' THEN 1 ELSE 0 END AS truth FROM lineitem),
+a AS (SELECT g, score, count(*) AS n, sum(truth) AS pos FROM d GROUP BY ALL), c AS (SELECT g, score, sum(n) OVER w AS said, sum(pos) OVER w AS hit, sum(pos) OVER (PARTITION BY g) AS pos FROM a WINDOW w AS (PARTITION BY g ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT g, score, round(2 * (hit / said) * coalesce(hit / nullif(pos, 0), 0) / (hit / said + coalesce(hit / nullif(pos, 0), 0) + 1e-12), 9) AS f1 FROM c)
+SELECT g, CASE WHEN max(f1) > 0 THEN max_by(score, (f1, -score)) ELSE 0.5 END AS threshold, round(max(f1), 6) AS f1 FROM f GROUP BY g""")
+def pr_threshold_default(spark, sf_dir):
+    """The best threshold of each group, 0.5 for the group without a positive row."""
+    truth = F.when((F.col("l_quantity") > 25) & (F.col("l_returnflag") != "N"), 1).otherwise(0)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), _r(F.col("l_discount") + F.col("l_tax"), 2).alias("score"), truth.alias("truth"))
+    return ev.best_threshold(ev.pr_curve(rows, "truth", "score", "g").withColumn("f1", _r("f1", 9)), "g").withColumn("f1", _r("f1"))
+
+
+@query("""SELECT o_orderpriority, count(*) FILTER (o_orderdate <= TIMESTAMP '1995-12-31 23:00:00') AS train, count(*) FILTER (o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate <= TIMESTAMP '1997-06-30 00:00:00') AS test FROM orders GROUP BY ALL""")
+def date_split(spark, sf_dir):
+    """Rows to the last hour of a year, and those between two dates, both included."""
+    orders = table(spark, sf_dir, "orders")
+    train = ev.between_dates(orders, "o_orderdate", last="1995-12-31 23:00:00").select("o_orderpriority", F.lit(1).alias("a"), F.lit(0).alias("b"))
+    test = ev.between_dates(orders, "o_orderdate", "1996-01-01 00:00:00", "1997-06-30 00:00:00").select("o_orderpriority", F.lit(0).alias("a"), F.lit(1).alias("b"))
+    rest = orders.select("o_orderpriority", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    return train.unionByName(test).unionByName(rest).groupBy("o_orderpriority").agg(F.sum("a").alias("train"), F.sum("b").alias("test"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 < floor(count(*) OVER () * 0.8) AS in_train FROM labels")
+def random_split(spark, sf_dir):
+    return ev.random_split(table(spark, sf_dir, "labels"), D).select(D, "in_train")
+
+
+@query("SELECT l_orderkey, l_linenumber, least(greatest(l_discount * 10, 0.05), 0.95) AS p FROM lineitem")
+def clip_scores(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ev.clipped(F.col("l_discount") * 10, 0.05).alias("p"))
+
+
+@query("""SELECT conv_id, -1::BIGINT AS turn, 'system' AS role, md5('You answer from the documents.') AS text FROM (SELECT DISTINCT conv_id FROM conversations)
+UNION ALL SELECT conv_id, turn, role, md5(text) FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6""")
+def chat_history(spark, sf_dir):
+    """The system row and the last six turns of every conversation."""
+    rows = tx.with_system_row(table(spark, sf_dir, "conversations"), "conv_id", "turn", "You answer from the documents.", 6)
+    return rows.select("conv_id", "turn", "role", F.md5("text").alias("text"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(spark, sf_dir):
+    """A table written as CSV and read with its schema."""
+    from gridloom.plans.folders import shared_folder
+    from gridloom.sources import readers, writers
+
+    path = shared_folder(spark, "csv")
+    writers.write_csv(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
+    return readers.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int", ["n_name"])
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, round(sum(value), 4) AS mw FROM events GROUP BY ALL")
+def series_round_trip(spark, sf_dir):
+    """An hourly series written as a two-column CSV and read with its time layout."""
+    from gridloom.plans.folders import shared_folder
+    from gridloom.sources import readers, writers
+
+    path = shared_folder(spark, "series")
+    hours = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(_r(F.sum("value"), 4).alias("MW"))
+    writers.write_csv(hours.select(F.date_format("h", "yyyy-MM-dd HH:mm:ss").alias("Datetime"), "MW"), path)
+    return readers.read_time_series(spark, path)
+
+
+@query("SELECT l_returnflag AS metric, round(avg(l_discount), 6) AS value FROM lineitem GROUP BY ALL")
+def metrics_round_trip(spark, sf_dir):
+    """Measures by name written as a JSON object and read back as rows."""
+    from gridloom.plans.folders import shared_folder
+    from gridloom.sources import readers, writers
+
+    path = shared_folder(spark, "metrics")
+    writers.write_metrics(table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("metric")).agg(_r(F.avg("l_discount")).alias("value")), path)
+    return readers.read_metrics(spark, path)
+
+
+@query()
+def fault_batch_scores(spark, sf_dir):
+    """Code and name of the rows that the model has not seen: a forest of 100 trees with its scaler, saved and loaded."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from gridloom.operators import ml
+    from gridloom.plans.folders import shared_folder
+
+    li = table(spark, sf_dir, "lineitem").withColumns({"key": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "fault": ev.label_of("l_returnflag", "l_linestatus")})
+    coded = ev.random_split(ev.encoded(li, "fault", "label").withColumn("label", F.col("label").cast("double")), "key").cache()
+    features, path = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], shared_folder(spark, "forest")
+    forest = RandomForestClassifier(numTrees=100, seed=42, labelCol="label", featuresCol="scaled")
+    ml.save(ml.scaled_pipeline(features, forest).fit(coded.where("in_train")), path)
+    names = coded.select(F.col("label").cast("int").alias("code"), F.col("fault").alias("name")).distinct()
+    return ml.batch_scores(coded.where("not in_train").select("l_orderkey", "l_linenumber", "fault", *features), ml.load(path), names).drop(*features)
+
+
+@query()
+def balanced_baseline_cv(spark, sf_dir):
+    """The measures of a balanced logistic regression on five stratified folds of nodes; an alarm from load and degree."""
+    from gridloom.operators import ml
+
+    nodes = _nodes(spark, sf_dir)
+    flag = gr.alarm_flags(_r(1 + F.col("discount") - 0.05), F.col("load"), 0.99, 1.01)
+    rows = nodes.withColumn("label", (flag > 0).cast("double")).join(gr.degrees(_edges(spark, sf_dir)), ["scenario", "node"]).withColumn("key", F.concat_ws("-", "scenario", "node"))
+    folds = ev.stratified_folds(rows, "key", "label").cache()
+    return ml.balanced_cv(folds, ["load", "degree"]).select("fold", "n", *[_r(c).alias(c) for c in _NAMES_OF])

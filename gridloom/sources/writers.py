@@ -14,6 +14,12 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_metrics(df: DataFrame, path: str, name: str = "metric", value: str = "value") -> None:
+    """A JSON object of numbers, from rows of names and values; as many rows as there are measures."""
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(name), F.col(value)))))
+    df.agg(F.to_json(pairs).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_vectors(df: DataFrame, path: str) -> None:
     """Chunks and their vectors in the same rows; an older version is replaced."""
     df.write.mode("overwrite").parquet(path)

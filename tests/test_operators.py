@@ -157,7 +157,7 @@ def test_graph(spark):
     at = {(r.scenario, r.src, r.dst): (r.src_x, r.dst_x) for r in gr.indexed_edges(edges, nodes, "x").collect()}
     assert at[(1, "a", "b")] == (1.0, 2.0) and at[(2, "b", "c")] == (12.0, 13.0) and at[(2, "c", "zz")] == (13.0, None)
     assert {(r.scenario, r.node): r.degree for r in gr.degrees(edges).collect()} == {(1, "a"): 1, (1, "b"): 1, (2, "b"): 1, (2, "c"): 2, (2, "zz"): 1}
-    got = {r.node: r.x for r in gr.propagated(nodes.where("scenario = 1"), edges.where("scenario = 1"), "x", 1).collect()}
+    got = {r.node: r.x for r in gr.propagated(nodes.where("scenario = 1"), edges.where("scenario = 1"), ["x"], 1).collect()}
     assert got == pytest.approx({"a": 1.5, "b": 1.5, "c": 3.0})
     flags = spark.createDataFrame([(0.9, 120.0), (1.0, 120.0), (1.1, 50.0), (1.0, 50.0)], "v double, l double").withColumn("f", gr.alarm_flags(F.col("v"), F.col("l")))
     assert [r.f for r in flags.collect()] == [3, 2, 1, 0]
