@@ -97,14 +97,14 @@ def _groups(located: DataFrame, state: DataFrame, key: str, text: str, tmp: Scra
     total = located.count()
     state = tmp.staged(state, "state")
     narrow = located.select("digest", "file", "at")
-    hits = join_groups(narrow, state.where("n > 1").select("digest", "n"), "digest", "n", total, "at")
+    hits = join_groups(narrow, state.where("n > 1").select("digest", "n"), "digest", "n", total)
     norms = _fetch(hits, text, located.rdd.getNumPartitions()).groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
     split = tmp.staged(norms.where("a <> b").select("digest"), "split")
     if split.isEmpty():
-        return join_groups(narrow, state, "digest", "n", total, "at").select("file", "at", "best", "n")
+        return join_groups(narrow, state, "digest", "n", total).select("file", "at", "best", "n")
     own = tmp.staged(located.join(split, "digest", "left_semi").select("digest", normalised(F.col(text)).alias("norm"), "file", "at", "points", key), "texts")  # these by the whole text
     parts = own.groupBy("digest", "norm").agg(F.min(_best(key)).alias("best"), F.count("*").alias("n"))
-    rest = join_groups(narrow.join(split, "digest", "left_anti"), state, "digest", "n", total, "at")
+    rest = join_groups(narrow.join(split, "digest", "left_anti"), state, "digest", "n", total)
     return rest.select("file", "at", "best", "n").unionByName(own.join(parts, ["digest", "norm"]).select("file", "at", "best", "n"))
 
 

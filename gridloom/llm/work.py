@@ -132,22 +132,14 @@ def numbered(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 HOT = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, spread: str, how: str = "inner") -> DataFrame:
-    """`rows` joined with `groups` (one row for each value of `on`; `size`: its number of rows).
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows`, a staged table of `total` rows, joined with `groups` (one row for each value of `on`; `size`: its number of rows).
 
-    Groups with more than a thousandth of all rows, at most HOT of them, are broadcast and their rows are dealt by
-    `spread`, so that no task gets a whole hot group; the others are joined by a shuffle.
+    Groups with more than a thousandth of all rows, at most HOT of them, are broadcast and their rows stay where they
+    are, so that no task gets a whole hot group; the others are joined by a shuffle.
     """
-    value = [c for c in groups.columns if c != on]
-    packed = groups.select(F.col(on).alias("_on"), F.struct(*value).alias("_v"))
-    large = F.col("_v")[size] > max(1, total // HOT)
-    hot = F.broadcast(packed.where(large).select(F.col("_on").alias("_hot"), F.col("_v").alias("_hv")))
-    out = rows.join(hot, F.col(on) == F.col("_hot"), "left")
-    none = F.lit(None).cast(rows.schema[on].dataType)
-    out = out.withColumn("_cold", F.when(F.col("_hot").isNull(), F.col(on)).otherwise(none))
-    out = out.withColumn("_deal", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")))
-    cold = packed.where(~large).withColumnsRenamed({"_on": "_cold", "_v": "_cv"}).withColumn("_deal", F.lit(0))
-    out = out.join(cold, ["_cold", "_deal"], "left").withColumn("_v", F.coalesce("_hv", "_cv"))
-    if how == "inner":
-        out = out.where(F.col("_v").isNotNull())
-    return out.select(*[F.col(c) for c in rows.columns], *[F.col("_v")[c].alias(c) for c in value])
+    large = F.col(size) > max(1, total // HOT)
+    hot = F.broadcast(groups.where(large))
+    cold = rows.join(hot.select(on), on, "left_anti").join(groups.where(~large), on, how)
+    names = [*rows.columns, *[c for c in groups.columns if c != on]]
+    return rows.join(hot, on).select(*names).unionByName(cold.select(*names))

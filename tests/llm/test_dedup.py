@@ -60,15 +60,15 @@ def texts_of(rows):
 
 
 def idf_truth(rows, s=nd.Settings()):
-    """Frequencies by definition: over one text of each family."""
+    """Frequencies by definition: over the heads of families."""
     texts = texts_of(rows)
     digest = {w: hashlib.blake2b(w, digest_size=16).digest() for w in texts}
     buckets = {w: nd._families(k).tolist() for w, (k, _) in texts.items()}
-    size = collections.Counter(b for bs in buckets.values() for b in bs)
-    heads = {}
+    least = {}
     for w in sorted(texts, key=digest.get, reverse=True):
-        heads[max(buckets[w], key=lambda b: (size[b], b))] = w
-    df = collections.Counter(k for w in set(heads.values()) for k in texts[w][0].tolist())
+        least.update(dict.fromkeys(buckets[w], digest[w]))
+    heads = [w for w in texts if all(least[b] == digest[w] for b in buckets[w])]
+    df = collections.Counter(k for w in heads for k in texts[w][0].tolist())
     n = len(heads)
     df = {k: x for k, x in df.items() if x >= max(2, 0.75 * s.rare * n)}
     return nd.idf_of(np.array(list(df), np.uint32), np.array(list(df.values()), np.int64), n, s.rare)
@@ -121,6 +121,7 @@ def test_near_dedup_matches_brute_force(spark):
 def test_near_dedup_of_large_groups(spark, monkeypatch):
     """One group of near copies of a text, some of which are alike only through others, in more than one block."""
     monkeypatch.setattr(nd, "BLOCK", 16)
+    monkeypatch.setattr(nd, "WIDE", 16)
     base = prose(150, 5, [f"w{i}" for i in range(400)]).split()
     rows = []
     for i in range(120):
@@ -136,6 +137,7 @@ def test_near_dedup_of_large_groups(spark, monkeypatch):
 def test_near_dedup_splits_units_of_texts_that_share_a_passage(spark, monkeypatch):
     """Texts that share half of their words collide in many bands, but only some are alike."""
     monkeypatch.setattr(nd, "BLOCK", 8)
+    monkeypatch.setattr(nd, "WIDE", 8)
     shared = prose(60, 1, [f"s{i}" for i in range(300)])
     rows = [(i, shared + " " + prose(40, 50 + i, [f"t{j}" for j in range(2000)])) for i in range(60)]
     rows += [(100 + i, t + f" extra{i}") for i, t in rows[:20]]
@@ -206,7 +208,7 @@ def test_lossy_counts_miss_at_most_their_error(spark, monkeypatch):
     read = nd.numbered(docs.withColumn("f", nd._reader(s)(F.col("text"))), "t")
     with nd.scratch(spark, "t") as tmp:
         keys, df, n = nd.frequencies(read, tmp, s)
-        heads = {r.row for r in nd.family_heads(read, tmp).collect()}
+        heads = {r.row for r in nd.family_heads(read).collect()}
     truth = collections.Counter(k for r in read.collect() if r.row in heads for k in np.frombuffer(r.f.keys, np.uint32).tolist())
     got = dict(zip(keys.tolist(), df.tolist()))
     assert n == len(heads) and all(truth[k] - s.rare / 4 * n <= x <= truth[k] for k, x in got.items())
