@@ -478,19 +478,20 @@ def lm_scores(docs: DataFrame, training: Column, text: str = "text", path: str |
         size = chunks.agg(F.sum("n")).first()[0] or 0
         shards = max(1, size // TOKENS_IN_SHARD)
         m = Model(path, math.ceil(math.log2(max(1, size // (4 * TOKENS_IN_SHARD)))), shards, max(1, size // shards // 8))
-        words = tmp.staged(_deal_words(chunks, m.bits).groupBy("shard").applyInPandas(_word_level(path), ANSWER), "words")
+        many = max(1, size // TOKENS_IN_SHARD)  # tasks grow with the text, not what each of them reads
+        words = tmp.staged(_deal_words(chunks, m.bits).repartition(1 << m.bits, "shard").groupBy("shard").applyInPandas(_word_level(path), ANSWER), "words")
         figures = {r["shard"]: _unpacked(r["counts"]).tolist() for r in words.where("chunk is null").select("shard", "counts").collect()}
         sizes = tuple(figures.get(s, (0, 0, 0))[0] for s in range(1 << m.bits))
         m = replace(m, sizes=sizes, tokens=sum(f[1] for f in figures.values()), docs=sum(f[2] for f in figures.values()))
         words = words.where("chunk is not null")
-        by = chunks.groupBy("chunk")
-        dealt = by.cogroup(words.groupBy("chunk")).applyInPandas(_deal_bigrams(m), "shard long, chunk long, contexts binary, runs binary, totals binary, words binary, n binary")
-        pairs = tmp.staged(dealt.groupBy("shard").applyInPandas(_trie_level(m), ANSWER), "bigrams")
+        by = chunks.repartition(many, "chunk").groupBy("chunk")
+        dealt = by.cogroup(words.repartition(many, "chunk").groupBy("chunk")).applyInPandas(_deal_bigrams(m), "shard long, chunk long, contexts binary, runs binary, totals binary, words binary, n binary")
+        pairs = tmp.staged(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(_trie_level(m), ANSWER), "bigrams")
         types = pairs.where("chunk is null")
         starts = sum(int(_unpacked(r["types"]).sum()) for r in types.where("shard < 0").select("types").collect())
-        words = words.unionByName(types.where("shard >= 0")).groupBy("shard").applyInPandas(_type_level(m), ANSWER)
+        words = words.unionByName(types.where("shard >= 0")).repartition(1 << m.bits, "shard").groupBy("shard").applyInPandas(_type_level(m), ANSWER)
         answers = words.unionByName(pairs.where("chunk is not null"))
-        scored = by.cogroup(answers.groupBy("chunk")).applyInPandas(_score(m, starts), "row long, n_tokens long, n_known long, base_score double, score double")
+        scored = by.cogroup(answers.repartition(many, "chunk").groupBy("chunk")).applyInPandas(_score(m, starts), "row long, n_tokens long, n_known long, base_score double, score double")
         scored = staged(scored, "lm-scores")
     out = rows.select(*wanted, "row").join(scored.withColumn("train_tokens", F.lit(m.tokens).cast("long")), "row")
     return own.restored(out, ADDED, ADDED)
