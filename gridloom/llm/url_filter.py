@@ -57,21 +57,24 @@ def _cells(text: str, order: int) -> np.ndarray:
     return out
 
 
+def _model(counts: pd.DataFrame, side: str) -> np.ndarray:
+    """Probability of each symbol (columns) after each context of the highest order (rows)."""
+    p = np.full((1, SIZE), 1 / SIZE)
+    for k in range(ORDER + 1):
+        own = counts[counts["k"] == k]
+        c = np.zeros(SIZE ** (k + 1))
+        c[own["cell"].to_numpy()] = own[side].to_numpy()
+        c = c.reshape(-1, SIZE)
+        n, t = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
+        below = np.tile(p, (SIZE, 1)) if k else p
+        p = np.where(n > 0, (c + t * below) / np.maximum(n + t, 1), below)
+    return p
+
+
 def _tables(counts: pd.DataFrame) -> np.ndarray:
     """log2 ratio of each cell of the highest order."""
-    models = []
-    for side in ("good", "bad"):
-        p = np.full(SIZE, 1 / SIZE)
-        for k in range(ORDER + 1):
-            own = counts[counts["k"] == k]
-            c = np.zeros(SIZE ** (k + 1))
-            c[own["cell"].to_numpy()] = own[side].to_numpy()
-            c = c.reshape(-1, SIZE)
-            n, t = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            below = np.tile(p.reshape(-1, SIZE), (SIZE if k else 1, 1)) if k else p.reshape(1, SIZE)
-            p = np.where(n > 0, (c + t * below) / np.maximum(n + t, 1), below)
-        models.append(np.log2(p).astype(np.float32).ravel())
-    return models[0] - models[1]
+    good, bad = (np.log2(_model(counts, side)).astype(np.float32).ravel() for side in ("good", "bad"))
+    return good - bad
 
 
 def _ratios(rows: DataFrame, table, names: Sequence[str]) -> DataFrame:

@@ -152,7 +152,7 @@ def test_url_filter_without_examples(spark):
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
 
 
-def test_markov_tables_are_distributions():
+def test_markov_models_are_distributions():
     import pandas as pd
 
     rows = []
@@ -160,10 +160,56 @@ def test_markov_tables_are_distributions():
         for side in ("good", "bad"):
             cells, n = np.unique(np.concatenate([url_filter._cells(t, k) for t in (["abc/de", "abd"] if side == "good" else ["zzz"])]), return_counts=True)
             rows.append(pd.DataFrame({"k": k, "cell": cells, "good": n * (side == "good"), "bad": n * (side == "bad")}))
-    table = url_filter._tables(pd.concat(rows).groupby(["k", "cell"], as_index=False).sum())
+    counts = pd.concat(rows).groupby(["k", "cell"], as_index=False).sum()
+    for side in ("good", "bad"):
+        assert np.allclose(url_filter._model(counts, side).sum(1), 1)
+    table = url_filter._tables(counts)
     assert table[url_filter._cells("abc", 3)].mean() > 0 > table[url_filter._cells("zzz", 3)].mean()
 
 
+def markov(texts):
+    """Interpolated Witten-Bell by definition: a function of context and symbol."""
+    seen = collections.defaultdict(collections.Counter)
+    for t in texts:
+        s = symbols_of(t)
+        for i in range(3, len(s)):
+            for k in range(4):
+                seen[tuple(s[i - k : i])][s[i]] += 1
+
+    def p(context, x):
+        below = p(context[1:], x) if context else 1 / url_filter.SIZE
+        own = seen.get(tuple(context))
+        return (own[x] + len(own) * below) / (sum(own.values()) + len(own)) if own else below
+
+    return p
+
+
+def symbols_of(text):
+    out = []
+    for c in text:
+        c = c.lower() if c.isascii() else "?"
+        out.append(url_filter.SYMBOLS.index("0" if c.isdigit() else c) if ("0" if c.isdigit() else c) in url_filter.SYMBOLS else url_filter.OTHER)
+    return [url_filter.END] * 3 + out + [url_filter.END]
+
+
+def test_url_filter_matches_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    out = url_filter.url_filter(pages, RULES).withColumn("fold", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(5))).collect()
+    given = {r.page_id: rule_of(r.url)[3] for r in out}
+    bad = {r.page_id for r in out if given[r.page_id] == "block" or given[r.page_id] is None and re.search(rf"(^|[.-])({'|'.join(url_filter.REJECTED_TERMS)})([.-]|$)", r.host)}
+    models = [markov([r.host + r.path for r in out if r.fold and (r.page_id in bad) == side]) for side in (False, True)]
+    ratio = {}
+    for r in out:
+        s = symbols_of(r.host + r.path)
+        ratio[r.page_id] = np.mean([math.log2(models[0](s[i - 3 : i], s[i])) - math.log2(models[1](s[i - 3 : i], s[i])) for i in range(3, len(s))])
+        assert abs(ratio[r.page_id] - r.ratio) < 1e-4
+    good = sorted(ratio[r.page_id] for r in out if not r.fold and r.page_id not in bad)
+    free = [r for r in out if given[r.page_id] is None]
+    limit = max((r.ratio for r in free if r.verdict == "block"), default=-99)
+    assert all((r.verdict == "allow") == (r.ratio > limit) for r in free) and limit <= 0
+    assert sum(x <= limit for x in good) <= 0.01 * len(good) + 1
+
+
 def test_quality_classifier_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -173,6 +219,37 @@ def test_quality_classifier_held_out(spark):
     assert (a[:, None] > b).mean() > 0.95 and ((out.score >= 0.3) == (out.quality == 1)).mean() > 0.9
 
 
+def statistics_truth(text):
+    text = text or ""
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    share = lambda x, of: math.log(x / max(1, of) + 0.005)
+    groups = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:", "!?", "|", "#*$%&<>@=_/\\{}[]^~+", "\n")
+    out = [math.log1p(len(text)), *(share(sum(c in g for c in text), len(text)) for g in groups), share(sum(ord(c) > 127 for c in text), len(text))]
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    out += [math.log1p(sum(map(len, words)) / max(1, len(words))), share(len(set(words)), len(words)), share(len(set(lines)), len(lines)), share(len(set(triples)), max(1, len(words) - 2))]
+    return np.array([*out, share(sum(len(w) > 20 for w in words), len(words))])
+
+
+def test_quality_classifier_matches_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    told = {r.doc_id: r.quality for r in labels.collect()}
+    out = quality_classifier.quality_scores(docs, labels).collect()
+    x = {r.doc_id: statistics_truth(r.text) for r in out}
+    own = [np.array([x[k] for k in sorted(x) if told.get(k) == c]) for c in (0, 1)]
+    whole = np.concatenate(own)
+    center, scale = whole.mean(0), whole.std(0) + 1e-6
+    logs = []
+    for rows in own:
+        z = (rows - center) / scale
+        cov = np.cov(z.T, bias=True)
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 0.02 * np.eye(len(cov))
+        logs.append((z.mean(0), np.linalg.inv(cov), math.log(len(rows) / len(whole)) - np.linalg.slogdet(cov)[1] / 2))
+    for r in out:
+        z = (x[r.doc_id] - center) / scale
+        a, b = (c - (z - m) @ inv @ (z - m) / 2 for m, inv, c in logs)
+        assert abs(r.score - 1 / (1 + math.exp(min(500, a - b)))) < 1e-6
+
+
 def test_quality_classifier_defined_cases(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, None), (9, 1), (10, 0), (8, 0), (4, 0), (None, 1)], "doc_id long, quality int")
     out = quality_classifier.quality_scores(odd, labels).collect()
