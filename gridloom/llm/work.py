@@ -133,13 +133,15 @@ HOT = 1000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, how: str = "inner") -> DataFrame:
-    """`rows`, a staged table of `total` rows, joined with `groups` (one row for each value of `on`; `size`: its number of rows).
+    """`rows`, of which there are `total`, joined with `groups` (one row for each value of `on`; `size`: its number of rows). Both are staged tables.
 
-    Groups with more than a thousandth of all rows, at most HOT of them, are broadcast and their rows stay where they
-    are, so that no task gets a whole hot group; the others are joined by a shuffle.
+    The rows of groups with more than a thousandth of all rows, at most HOT groups, stay where they are and get their
+    group by a broadcast, so that no task gets a whole hot group; the others are joined by a shuffle.
     """
-    large = F.col(size) > max(1, total // HOT)
-    hot = F.broadcast(groups.where(large))
-    cold = rows.join(hot.select(on), on, "left_anti").join(groups.where(~large), on, how)
     names = [*rows.columns, *[c for c in groups.columns if c != on]]
-    return rows.join(hot, on).select(*names).unionByName(cold.select(*names))
+    large = F.col(size) > max(1, total // HOT)
+    hot = [r[0] for r in groups.where(large).select(on).collect()]  # total / (total / HOT) at most
+    if not hot:
+        return rows.join(groups, on, how).select(*names)
+    spread = rows.where(F.col(on).isin(hot)).join(F.broadcast(groups.where(large)), on)
+    return spread.select(*names).unionByName(rows.where(~F.col(on).isin(hot)).join(groups.where(~large), on, how).select(*names))
