@@ -7,14 +7,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.hard_negatives import hard_negatives
 from gridloom.llm.language_id import identify
 from gridloom.llm.language_id import train as train_languages
 from gridloom.llm.lm_trie import lm_scores
+from gridloom.llm.max_sketch import build_index, search
 from gridloom.llm.mixing import mixed
 from gridloom.llm.near_dedup import near_dedup
 from gridloom.llm.packing import pack
 from gridloom.llm.quality_classifier import quality_scores
 from gridloom.llm.quality_rules import quality_rules
+from gridloom.llm.secret_ledger import joined_spans, of_kinds, secret_scan
 from gridloom.llm.sql import ORACLES  # noqa: F401
 from gridloom.llm.token_shards import locate, read_tokens, write_token_shards
 from gridloom.llm.url_filter import url_filter
@@ -107,4 +110,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_exact_dedup, op4_lm_scores, op5_token_shards, op6_packing, op7_url_filter, op8_mixing, op9_quality_classifier, op10_language_id)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    index = build_index(_table(spark, sf_dir, "documents"))
+    return search(index, _table(spark, sf_dir, "benchmark")).withColumnRenamed("doc", "doc_id")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector for each of its positives; every seventh vector has the next label."""
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op13_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: each content is read once, its findings go to all documents that have it."""
+    out = secret_scan(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    count = lambda kind: F.size(of_kinds(F.col("spans"), [kind])).cast("long").alias(f"n_{kind}")
+    base = F.sha2(joined_spans(of_kinds(F.col("spans"), ["assign", "access", "hex"])), 256).alias("base_sha256")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), base, joined_spans(F.col("spans")).alias("spans"), "blob")
+
+
+NUMBERED = (
+    op1_quality_rules, op2_near_dedup, op3_exact_dedup, op4_lm_scores, op5_token_shards, op6_packing, op7_url_filter, op8_mixing, op9_quality_classifier,
+    op10_language_id, op11_lexical_search, op12_hard_negatives, op13_secret_ledger,
+)
+QUERIES = {f.__name__: f for f in NUMBERED}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridloom.llm.quality_rules import COMMON, MIN_REFERENCE, Rules
+from gridloom.llm.secret_ledger import RULES as SECRET_RULES
 
 _RULES = Rules()
 _HALF = "(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END) / 2"
@@ -60,4 +61,53 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM g
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op3_exact_dedup": OP3}
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS ts FROM documents),
+c AS (SELECT count(*) AS n, sum(len(ts))::BIGINT AS l FROM d WHERE len(ts) > 0),
+t AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * (SELECT n FROM c) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t GROUP BY term),
+q AS (SELECT DISTINCT r, item_id, term FROM (SELECT r, item_id, unnest(ts) AS term FROM (SELECT row_number() OVER () AS r, item_id, {_TERMS} AS ts FROM benchmark))),
+m AS (SELECT k, doc_id, 10 + (90 * len(ts) * c.n) // c.l AS m FROM d, c WHERE len(ts) > 0),
+s AS (SELECT r, item_id, k, doc_id, sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * m.m)))::BIGINT AS score FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (k) GROUP BY ALL),
+o AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+OP12 = """
+WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, c.r, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM e a JOIN e c ON len(a.v) = len(c.v) AND a.r <> c.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) AS place FROM s WHERE same),
+n AS (SELECT p.ar, p.anchor_id, p.place, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.ar, p.place ORDER BY s.score DESC, s.vec_id, s.r)::INTEGER AS rank
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def _secrets() -> str:
+    """Of every rule the matches and the texts between them, side by side; positions are running sums over them."""
+    own = []
+    for place, r in enumerate(SECRET_RULES):
+        pattern = r.pattern.replace("'", "''")
+        own.append(
+            f"SELECT k, {place} AS place, '{r.kind}' AS kind, sum(gap + len(m)) OVER (PARTITION BY k ORDER BY i) AS stop, len(m) AS size FROM ("
+            f"SELECT k, i, ms[i] AS m, len(gs[i]) AS own, len(gaps[i]) AS gap FROM (SELECT k, ms, gs, gaps, unnest(range(1, len(ms) + 1)) AS i FROM ("
+            f"SELECT k, regexp_extract_all(t, '{pattern}', 0) AS ms, regexp_extract_all(t, '{pattern}', {r.group}) AS gs, string_split_regex(t, '{pattern}') AS gaps FROM d))) "
+            f"QUALIFY own >= {r.least}"
+        )
+    return " UNION ALL ".join(own)
+
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({_secrets()}),
+g AS (SELECT k, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+  string_agg(kind || ':' || (stop - size)::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY stop - size, place) FILTER (place < 3) AS base,
+  string_agg(kind || ':' || (stop - size)::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY stop - size, place) AS spans FROM f GROUP BY k)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob FROM d LEFT JOIN g USING (k)
+"""
+
+ORACLES = {"op1_quality_rules": OP1, "op3_exact_dedup": OP3, "op11_lexical_search": OP11, "op12_hard_negatives": OP12, "op13_secret_ledger": OP13}
