@@ -114,3 +114,13 @@ def with_system_row(rows: DataFrame, group: str, order: str, text: str, last: in
     recent = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))).where(F.col("_r") <= last)
     system = rows.select(group).distinct().select(group, F.lit(-1).cast("long").alias(order), F.lit("system").alias("role"), F.lit(text).alias("text"))
     return system.unionByName(recent.select(group, order, "role", "text"))
+
+
+def key_value_records(text: Column, rule: str = r"\n-{3,}[ \t]*(?:\n|$)") -> Column:
+    """An array of maps, one for each record between lines of dashes: name to value of its `Name: value` lines, up to the first blank line. Records without such a line are none; of a repeated name the last value stays."""
+    head = lambda r: F.get(F.split(F.ltrim(r), r"\n\s*\n"), F.lit(0))
+    lines = lambda r: F.filter(F.split(head(r), "\n"), lambda x: F.rlike(x, F.lit(r"^[^:]+:\s")))
+    pair = lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), strip(F.regexp_extract(x, r"^[^:]+:(.*)$", 1)).alias("value"))
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["key"] == p["key"]))
+    records = F.transform(F.split(F.coalesce(text, F.lit("")), rule), lambda r: F.transform(lines(r), pair))
+    return F.transform(F.filter(records, lambda r: F.size(r) > 0), lambda r: F.map_from_entries(last(r)))

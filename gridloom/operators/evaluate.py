@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,10 +36,18 @@ def _shuffled(key: str, seed: int) -> list[Column]:
     return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
 
 
-def _placed(df: DataFrame, key: str, label: str, seed: int, salts: int = 64) -> DataFrame:
-    """`df` with _place (from 0, in shuffled order) within its label, and _n rows of the label. The order's first digits split a label over many tasks."""
+ROWS_IN_BUCKET = 100_000
+
+
+def _digits(df: DataFrame) -> int:
+    """Leading digits (base 16) of the order that cut `df` into buckets of ROWS_IN_BUCKET rows or fewer."""
+    return max(1, math.ceil(math.log(max(1, df.count() / ROWS_IN_BUCKET), 16)))
+
+
+def _placed(df: DataFrame, key: str, label: str, seed: int, digits: int | None = None) -> DataFrame:
+    """`df` with _place (from 0, in shuffled order) within its label, and _n rows of the label. The order's first digits split a label over as many tasks as its rows ask for."""
     order = _shuffled(key, seed)
-    rows = df.withColumn("_h", order[0]).withColumn("_b", F.substring("_h", 1, 2))
+    rows = df.withColumn("_h", order[0]).withColumn("_b", F.substring("_h", 1, digits or _digits(df)))
     sizes = rows.groupBy(label, "_b").agg(F.count("*").alias("_c"))
     by = Window.partitionBy(label).orderBy("_b")
     before = sizes.select(label, "_b", F.coalesce(F.sum("_c").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(label)).alias("_n"))
@@ -48,13 +57,18 @@ def _placed(df: DataFrame, key: str, label: str, seed: int, salts: int = 64) ->
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, repeats: int = 1, seed: int = 42) -> DataFrame:
     """`df` once for each repeat, with repeat and fold; labels are spread evenly over the folds."""
-    out = None
+    out, digits = None, _digits(df)
     for r in range(repeats):
-        one = _placed(df, key, label, seed + r).withColumns({"repeat": F.lit(r), "fold": (F.col("_place") % folds).cast("int")}).drop("_place", "_n")
+        one = _placed(df, key, label, seed + r, digits).withColumns({"repeat": F.lit(r), "fold": (F.col("_place") % folds).cast("int")}).drop("_place", "_n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def split_count(positives: Column, wanted: int = 5) -> Column:
+    """As many folds as wanted, but no more than there are positive rows, and two at least."""
+    return F.greatest(F.lit(2), F.least(F.lit(wanted), positives)).cast("int")
+
+
 def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.7, seed: int = 42) -> DataFrame:
     """`df` with in_train: exactly the floor of the share of each label."""
     return _placed(df, key, label, seed).withColumn("in_train", F.col("_place") < F.floor(F.col("_n") * share)).drop("_place", "_n")

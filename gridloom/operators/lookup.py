@@ -40,8 +40,8 @@ def tiered_match(requests: DataFrame, table: DataFrame, key: str, size: str, kin
     """key, tier, row_id of the best row for each request, NULLs without any.
 
     Tier 1: the label is `size kind name` but for case; tier 2: without the suffix; tier 3: size, kind and name occur in
-    the label in this order, anywhere. Tiers 1 and 2 are hash joins; only requests that they leave go to tier 3, whose
-    candidates are the labels with the rarest run of three characters of the request. Ties go to the first row.
+    the label in this order, anywhere. Tiers 1 and 2 are hash joins; only requests that they leave go to tier 3, each
+    distinct one once, and its candidates are the labels with its rarest run of three characters. Ties go to the first row.
     """
     full = F.concat_ws(" ", size, kind, name)
     plain = F.trim(F.regexp_replace(full, rf"(?i)\s*\b{suffix}\b", ""))
@@ -51,16 +51,16 @@ def tiered_match(requests: DataFrame, table: DataFrame, key: str, size: str, kin
     one = asked.join(exact.select(F.col("_label").alias("_l1"), F.col("_row").alias("_r1")), "_l1", "left")
     two = one.join(exact.select(F.col("_label").alias("_l2"), F.col("_row").alias("_r2")), "_l2", "left")
     two = two.withColumns({"tier": F.when(F.col("_r1").isNotNull(), 1).when(F.col("_r2").isNotNull(), 2), "_best": F.coalesce("_r1", "_r2")})
-    left = two.where("tier is null").select(key, "_s", "_k", "_n")
+    left = two.where("tier is null").select("_s", "_k", "_n").where("_s is not null and _k is not null and _n is not null").distinct()
     index = exact.withColumn("_gram", F.explode(_grams(F.col("_label"), (1, 2, 3))))
     known = index.groupBy("_gram").agg(F.count("*").alias("_n_gram"))
-    own = left.select(key, F.explode(F.array_distinct(F.concat(*[_grams(F.col(c), (3,)) for c in ("_s", "_k", "_n")]))).alias("_gram")).where("_gram <> ''")
-    rarest = own.join(known, "_gram", "left").groupBy(key).agg(F.min_by("_gram", F.struct(F.coalesce("_n_gram", F.lit(0)), "_gram")).alias("_gram"))
+    own = left.select("_s", "_k", "_n", F.explode(F.array_distinct(F.concat(*[_grams(F.col(c), (3,)) for c in ("_s", "_k", "_n")]))).alias("_gram")).where("_gram <> ''")
+    rarest = own.join(known, "_gram", "left").groupBy("_s", "_k", "_n").agg(F.min_by("_gram", F.struct(F.coalesce("_n_gram", F.lit(0)), "_gram")).alias("_gram"))
     after = "substring({0}, locate({1}, {0}) + length({1}))"
     one_on = after.format("_label", "_s")
     found = F.expr(f"contains(_label, _s) and contains({one_on}, _k) and contains({after.format(one_on, '_k')}, _n)")
-    three = left.join(rarest, key).join(index, "_gram").where(found).groupBy(key).agg(F.min("_row").alias("_r3"))
-    return two.join(three, key, "left").select(key, F.coalesce("tier", F.when(F.col("_r3").isNotNull(), 3)).alias("tier"), F.coalesce("_best", "_r3").alias(row_id))
+    three = rarest.join(index, "_gram").where(found).groupBy("_s", "_k", "_n").agg(F.min("_row").alias("_r3"))
+    return two.join(three, ["_s", "_k", "_n"], "left").select(key, F.coalesce("tier", F.when(F.col("_r3").isNotNull(), 3)).alias("tier"), F.when(F.col("tier").isNull(), F.col("_r3")).otherwise(F.col("_best")).alias(row_id))
 
 
 def mva(kv: Column, amps: Column) -> Column:

@@ -27,7 +27,18 @@ def _blocks(df: DataFrame, key: str, vector: str, rows: int) -> DataFrame:
     return df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).mapInPandas(pack, "ids binary, v binary, dim int, width string")
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", block: int = 1024, least: float | None = None, digits: int = 12) -> DataFrame:
+def scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """queries x vectors, larger is nearer: cosine (0 for a vector of length zero), inner product, or the negative distance."""
+    if metric == "l2":
+        return -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T, 0))
+    s = q @ v.T
+    if metric == "cosine":
+        of = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((v**2).sum(1))[None, :]
+        s = np.where(of > 0, s / np.where(of > 0, of, 1), 0.0)
+    return s
+
+
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", block: int = 1024, least: float | None = None, digits: int = 12, query_key: str | None = None) -> DataFrame:
     """query, id, score, rank: the k best of all rows for each query; equal scores by id. metric: cosine, inner or l2 (smaller is better).
 
     Queries and rows are packed into blocks; each pair of blocks is one matrix product that leaves its k best, so what
@@ -36,7 +47,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     query's do not match.
     """
     lanes = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = _blocks(queries, key, vector, block).select(F.col("ids").alias("qids"), F.col("v").alias("q"), F.col("dim").alias("qdim"), F.col("width").alias("qwidth"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("qlane"))
+    q = _blocks(queries, query_key or key, vector, block).select(F.col("ids").alias("qids"), F.col("v").alias("q"), F.col("dim").alias("qdim"), F.col("width").alias("qwidth"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("qlane"))
     rows = _blocks(corpus, key, vector, block * 4).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
     pairs = q.join(rows, (F.col("dim") == F.col("qdim")) & (F.col("lane") == F.col("qlane")))
 
@@ -45,14 +56,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
             for qids, q_, qwidth, ids, v_, width, dim in pdf[["qids", "q", "qwidth", "ids", "v", "width", "dim"]].itertuples(index=False, name=None):
                 qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
                 q, v = (np.frombuffer(x, w).reshape(-1, dim).astype(float) for x, w in ((q_, qwidth), (v_, width)))
-                if metric == "l2":
-                    s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T, 0))
-                else:
-                    s = q @ v.T
-                if metric == "cosine":
-                    of = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((v**2).sum(1))[None, :]
-                    s = np.where(of > 0, s / np.where(of > 0, of, 1), 0.0)
-                s = np.round(s, digits)
+                s = np.round(scores(q, v, metric), digits)
                 order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
                 rows = np.arange(len(qids))[:, None]
                 yield pd.DataFrame({"query": np.repeat(qids, order.shape[1]), "id": ids[order].ravel(), "score": s[rows, order].ravel()})

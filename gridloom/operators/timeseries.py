@@ -5,8 +5,12 @@ Windows are partitioned by the series; a series is as long as its hours.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +82,12 @@ def tail(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def head(rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows of each series."""
+    w = Window.partitionBy("series").orderBy("ts")
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
 FEATURES = ("hour", "dayofweek", "month", "is_weekend", "lag_1", "lag_24", "lag_168", "rolling_24h_mean", "rolling_168h_mean")
 
 
@@ -87,18 +97,104 @@ def features(rows: DataFrame, inclusive: bool = False) -> DataFrame:
     return with_rolling_means(with_lags(with_calendar(filled)), inclusive=inclusive)
 
 
+@dataclass(frozen=True)
+class FlatTrees:
+    """Fitted regression trees as arrays, trees x nodes; a leaf points to itself. As large as the model's parameters say, whatever the data."""
+
+    column: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    weights: np.ndarray
+    depth: int
+
+    @staticmethod
+    def of(model) -> FlatTrees:
+        """From a boosted regression model over numbers, through its trees' own text."""
+        every = [_parsed(t.toDebugString) for t in model.trees]
+        width = max(len(t) for t in every)
+        table = np.zeros((len(every), width, 5))
+        for i, t in enumerate(every):
+            table[i, : len(t)] = t
+        ints = lambda j: table[:, :, j].astype(np.int32)
+        return FlatTrees(ints(0), table[:, :, 1], ints(2), ints(3), table[:, :, 4], np.array(model.treeWeights), max(t.depth for t in model.trees))
+
+    def predicted(self, x: np.ndarray) -> np.ndarray:
+        """rows x columns to one number a row."""
+        tree, at, rows = np.arange(len(self.column))[None, :], np.zeros((len(x), len(self.column)), np.int32), np.arange(len(x))[:, None]
+        for _ in range(self.depth):
+            low = x[rows, self.column[tree, at]] <= self.cut[tree, at]
+            at = np.where(low, self.left[tree, at], self.right[tree, at])
+        return self.value[tree, at] @ self.weights
+
+
+def _parsed(text: str) -> np.ndarray:
+    """column, cut, left, right, value of each node of a tree's text; lines go down the left side first."""
+    nodes: list[list[float]] = []
+    open_nodes: list[int] = []
+    pending: tuple[int, int] | None = None
+    for line in map(str.strip, text.splitlines()[1:]):
+        if line.startswith("Else"):
+            pending = (open_nodes.pop(), 3)
+            continue
+        i = len(nodes)
+        if line.startswith("Predict:"):
+            nodes.append([0, 0.0, i, i, float(line.split(":")[1])])
+        elif found := re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line):
+            nodes.append([int(found[1]), float(found[2]), i, i, 0.0])
+            open_nodes.append(i)
+        elif line:
+            raise ValueError(f"not a split of a number: {line}")
+        else:
+            continue
+        if pending:
+            nodes[pending[0]][pending[1]] = i
+        pending = (i, 2) if line.startswith("If") else None
+    return np.array(nodes)
+
+
+SERIES_IN_GROUP = 500
+
+
 def forecast(model, rows: DataFrame, steps: int) -> DataFrame:
-    """series, ts, prediction for the next hours of each series: every step is one pass of the model over one row a
-    series, whose lags and means see the steps before it. Each step's rows are written to the frame's lineage only, so
-    `steps` is capped at 48."""
-    if not 1 <= steps <= 48:
-        raise ValueError("steps must be between 1 and 48")
-    state = tail(rows, 168).groupBy("series").agg(F.max("ts").alias("ts"), F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]).alias("h"))
-    at = lambda k: F.coalesce(F.try_element_at("h", F.lit(-k)), F.element_at("h", F.lit(-1)))
-    mean = lambda k: F.aggregate(F.slice("h", -F.least(F.size("h"), F.lit(k)), k), F.lit(0.0), lambda s, v: s + v) / F.least(F.size("h"), F.lit(k))
-    for _ in range(steps):
-        now = with_calendar(state.withColumn("ts", F.expr("ts + interval 1 hour")))
-        now = now.withColumns({f"lag_{k}": at(k) for k in (1, 24, 168)}).withColumns({f"rolling_{k}h_mean": mean(k) for k in (24, 168)})
-        done = model.transform(now)
-        state = done.select("series", "ts", F.concat(F.slice("h", -F.least(F.size("h"), F.lit(167)), 167), F.array("prediction")).alias("h"), *([F.concat("made", F.array(F.struct("ts", "prediction"))).alias("made")] if "made" in state.columns else [F.array(F.struct("ts", "prediction")).alias("made")]))
-    return state.select("series", F.inline("made"))
+    """series, ts, prediction for the next `steps` hours of each series; lags and means of a step see the steps before it.
+
+    The trees go to the tasks as arrays. Some hundred series are one group: their last 168 hours are a matrix, and every
+    step is one prediction for all of them and one more column. Nothing is planned step by step. `model`: a fitted
+    pipeline that ends in boosted trees, or anything with predicted(rows x FEATURES).
+    """
+    if steps < 1:
+        raise ValueError("steps must be at least 1")
+    trees = model if hasattr(model, "predicted") else FlatTrees.of(model.stages[-1])
+    n = rows.select("series").distinct().count()
+    groups = max(1, -(-n // SERIES_IN_GROUP))
+    schema = f"series {rows.schema['series'].dataType.simpleString()}, ts timestamp_ntz, prediction double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["series", "ts"], kind="stable")
+        names, first, size = np.unique(pdf["series"].to_numpy(), return_index=True, return_counts=True)
+        h = np.full((len(names), 168 + steps), np.nan)
+        row = np.repeat(np.arange(len(names)), size)
+        h[row, 168 - size[row] + np.arange(len(pdf)) - first[row]] = pdf["value"].to_numpy(float)
+        last = pdf["ts"].to_numpy()[first + size - 1]
+        every = np.arange(len(names))
+        for s in range(steps):
+            now, have = 168 + s, np.minimum(size + s, 168)
+            ts = pd.DatetimeIndex(last + np.timedelta64(s + 1, "h"))
+            newest = h[:, now - 1]
+            x = np.empty((len(names), len(FEATURES)))
+            x[:, 0], x[:, 1], x[:, 2], x[:, 3] = ts.hour, ts.dayofweek, ts.month, ts.dayofweek >= 5
+            for j, k in enumerate((1, 24, 168)):
+                v = h[:, now - k]
+                x[:, 4 + j] = np.where((have >= k) & ~np.isnan(v), v, newest)
+            for j, k in enumerate((24, 168)):
+                m = np.minimum(have, k)
+                used = np.arange(168)[None, :] >= 168 - m[:, None]
+                x[:, 7 + j] = np.where(used, h[:, now - 168 : now], 0.0).sum(1) / m
+            h[every, now] = trees.predicted(x)
+        hours = (last[:, None] + np.arange(1, steps + 1).astype("timedelta64[h]")[None, :]).ravel()
+        return pd.DataFrame({"series": np.repeat(names, steps), "ts": hours, "prediction": h[:, 168:].ravel()})
+
+    group = F.pmod(F.xxhash64("series"), F.lit(groups)).alias("group")
+    return tail(rows, 168).select("series", "ts", "value", group).groupBy("group").applyInPandas(lambda pdf: run(pdf), schema)

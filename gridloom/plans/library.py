@@ -77,6 +77,18 @@ def vec_threshold_topk(spark, sf_dir):
     return queries.join(found, "query", "left").select("query", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("ids", F.lit("nothing found")).alias("ids"))
 
 
+@query(_COSINE + "SELECT query, id, round(score, 5) AS score, rank::INTEGER AS rank FROM t WHERE rank <= 10")
+def indexed_topk_cosine(spark, sf_dir):
+    """The ten nearest vectors through an index that is written first; what it skips cannot be among them."""
+    from gridloom.operators import vector_index
+    from gridloom.plans.folders import shared_folder
+
+    e, path = table(spark, sf_dir, "embeddings"), shared_folder(spark, "index")
+    vector_index.build_index(e, path)
+    hits, _ = vector_index.search(spark, path, e.where("vec_id % 50 = 0"), 10, digits=9)
+    return hits.select("query", "id", _r("score", 5).alias("score"), "rank")
+
+
 @query(
     "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm, "
     "round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS first FROM embeddings"
@@ -304,6 +316,11 @@ def tail_168(spark, sf_dir):
     return ts.tail(_series(spark, sf_dir), 168).select("series", "ts", _r("value").alias("value"))
 
 
+@query(f"WITH {_HOURS} SELECT series, ts, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) AS r FROM h) WHERE r <= 48")
+def head_48(spark, sf_dir):
+    return ts.head(_series(spark, sf_dir), 48).select("series", "ts", _r("value").alias("value"))
+
+
 @query(f"WITH {_FILLED}, l AS (SELECT series, ts, value, lag(value, 24) OVER (PARTITION BY series ORDER BY ts) AS pred FROM f) SELECT series, round(sqrt(avg((value - pred) ** 2)), 6) AS rmse, count(pred) AS n FROM l WHERE ts >= TIMESTAMP '2024-01-08' GROUP BY series")
 def rmse_naive(spark, sf_dir):
     rows = ts.with_lags(_filled(spark, sf_dir), (24,)).where(F.col("ts") >= F.lit("2024-01-08").cast("timestamp_ntz"))
@@ -600,6 +617,34 @@ def graph_propagate_2hop(spark, sf_dir):
     return gr.propagated(_nodes(spark, sf_dir), _edges(spark, sf_dir), ["load"]).withColumn("load", _r("load", 4))
 
 
+@query(f"WITH {_NODES} SELECT scenario, count(*) FILTER (load > 100) AS positives, greatest(2, least(5, count(*) FILTER (load > 100)))::INTEGER AS splits FROM v GROUP BY scenario")
+def split_counts(spark, sf_dir):
+    """Folds that each scenario's overloaded nodes allow."""
+    positives = F.count(F.when(F.col("load") > 100, 1))
+    return _nodes(spark, sf_dir).groupBy("scenario").agg(positives.alias("positives"), ev.split_count(positives).alias("splits"))
+
+
+@query(f"WITH {_NODES} SELECT scenario, count(*) AS n, round(sum(load), 2) AS load FROM v WHERE scenario = 3 GROUP BY scenario")
+def scenario_partition(spark, sf_dir):
+    """One scenario of a table that is partitioned by scenario: only its folder is read."""
+    from gridloom.plans.folders import shared_folder
+
+    path = shared_folder(spark, "scenarios")
+    _nodes(spark, sf_dir).write.partitionBy("scenario").parquet(path)
+    rows = spark.read.schema("node string, load double, scenario int").parquet(path).where("scenario = 3")
+    return rows.groupBy("scenario").agg(F.count("*").alias("n"), _r(F.sum("load"), 2).alias("load"))
+
+
+@query("SELECT n_name AS entity, s_suppkey AS number, s_name AS acronym, round(s_acctbal, 2)::VARCHAR AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def key_value_records(spark, sf_dir):
+    """Supplier records written as blocks of named lines, a text for each nation, and read again."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    block = F.concat(F.lit("Entity: "), "n_name", F.lit("\nNumber: "), F.col("s_suppkey").cast("string"), F.lit("\nAcronym: "), "s_name", F.lit("\nBalance: "), F.round("s_acctbal", 2).cast("string"), F.lit("\n\nWhat is it? Answer: this.\n-----\n"))
+    texts = s.groupBy("n_nationkey").agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("text"))
+    r = texts.select(F.explode(tx.key_value_records(F.col("text"))).alias("r"))
+    return r.select(F.col("r")["Entity"].alias("entity"), F.col("r")["Number"].cast("long").alias("number"), F.col("r")["Acronym"].alias("acronym"), F.col("r")["Balance"].alias("balance"))
+
+
 @query(f"WITH {_NODES} SELECT scenario, node || '__' || k AS node, load FROM v, (SELECT unnest(range(3)) AS k)")
 def graph_replicate(spark, sf_dir):
     nodes, _ = gr.replicated(_nodes(spark, sf_dir), _edges(spark, sf_dir), 3)
@@ -614,7 +659,9 @@ def gbt_forecast(spark, sf_dir):
     """The next 24 hours of each series by boosted trees on the series' features."""
     from gridloom.operators import ml
 
-    rows = ts.features(_series(spark, sf_dir)).cache()
+    from gridloom.plans.folders import staged
+
+    rows = staged(ts.features(_series(spark, sf_dir)), "features")
     model = ml.load_model(rows)
     return ts.forecast(model, rows, 24).select("series", "ts", _r("prediction").alias("prediction"))
 
@@ -626,9 +673,9 @@ def fault_models_cv(spark, sf_dir):
 
     li = table(spark, sf_dir, "lineitem").withColumns({"key": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "fault": ev.label_of("l_returnflag", "l_linestatus")})
     coded = ev.encoded(li, "fault", "label").withColumn("label", F.col("label").cast("double"))
-    folds = ev.stratified_folds(coded, "key", "label", 5).select("label", "fold", "l_quantity", "l_extendedprice", "l_discount", "l_tax").cache()
-    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    return ml.fold_accuracies(folds, features, ml.classifiers(len(features), 6)).groupBy("model").agg(_r(F.avg("accuracy")).alias("accuracy"), F.count("*").alias("folds"))
+    folds = ev.stratified_folds(coded, "key", "label", 5).select("label", "fold", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    features, classes = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], li.select("fault").where("fault is not null").distinct().count()
+    return ml.fold_accuracies(folds, features, ml.classifiers(len(features), classes)).groupBy("model").agg(_r(F.avg("accuracy")).alias("accuracy"), F.count("*").alias("folds"))
 
 
 @query()
@@ -647,6 +694,132 @@ def sgc_alarm_model(spark, sf_dir):
     return model.transform(rows).select("scenario", "node", F.col("label").cast("int").alias("label"), _r(p).alias("probability"))
 
 
+_NET = {"inputs": 2, "hidden": 3}
+
+
+def _net():
+    """A network of three hidden units with fixed weights."""
+    import numpy as np
+
+    from gridloom.operators import convolution as cv
+
+    net = cv.Network(**_NET)
+    return net, np.round(np.sin(1.0 + np.arange(net.size())), 3)
+
+
+def _gcn_sql() -> str:
+    """Two convolutions and the head over the normalised edges, column by column."""
+    net, weights = _net()
+    w1, b1, w2, b2, w3, b3 = net.parts(weights)
+    lin = lambda w, b, x, j: f"{b[j]} + " + " + ".join(f"{x}{i} * ({w[i, j]})" for i in range(len(w)))
+    hidden = lambda w, b, x: ", ".join(f"greatest({lin(w, b, x, j)}, 0) AS h{j}" for j in range(net.hidden))
+    step = lambda of, cols: f"SELECT w.scenario, w.dst AS node, {', '.join(f'sum(w.w * {of}.{c}) AS {c}' for c in cols)} FROM w JOIN {of} ON {of}.scenario = w.scenario AND {of}.node = w.src GROUP BY ALL"
+    return f"""WITH {_SYM}, l AS (SELECT * FROM y WHERE src <> dst UNION ALL SELECT scenario, node, node FROM v), d AS (SELECT scenario, dst AS node, count(*) AS d FROM l GROUP BY ALL),
+w AS (SELECT l.scenario, l.src, l.dst, 1 / sqrt(a.d * b.d) AS w FROM l JOIN d a ON a.scenario = l.scenario AND a.node = l.src JOIN d b ON b.scenario = l.scenario AND b.node = l.dst),
+x AS (SELECT scenario, node, load / 100 AS x0, discount * 10 AS x1 FROM v), p AS ({step('x', ['x0', 'x1'])}), f AS (SELECT scenario, node, {hidden(w1, b1, 'x')} FROM p),
+q AS ({step('f', [f'h{j}' for j in range(net.hidden)])}), s AS (SELECT scenario, node, {hidden(w2, b2, 'h')} FROM q)
+SELECT scenario, node, {', '.join(f'round({lin(w3, b3, "h", j)}, 5) AS logit_{j}' for j in range(2))} FROM s"""
+
+
+def _gcn_inputs(spark, sf_dir):
+    return _nodes(spark, sf_dir).select("scenario", "node", (F.col("load") / 100).alias("x0"), (F.col("discount") * 10).alias("x1"))
+
+
+@query(_gcn_sql())
+def gcn_forward(spark, sf_dir):
+    """Two convolutions with ReLU and a linear head over every node, with fixed weights."""
+    from gridloom.operators import convolution as cv
+
+    net, weights = _net()
+    nodes = _gcn_inputs(spark, sf_dir)
+    out = cv.forward(net, weights, nodes, gr.normalised(nodes, _edges(spark, sf_dir)), ["x0", "x1"])
+    return out.select("scenario", "node", _r("logit_0", 5).alias("logit_0"), _r("logit_1", 5).alias("logit_1"))
+
+
+def _alarm_graph(spark, sf_dir):
+    """Nodes with standardised features and the combined alarm, and the normalised edges. Scenarios 1 to 5 give the statistics."""
+    from gridloom.plans.folders import staged
+
+    nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir)
+    flag = gr.alarm_flags(_r(1 + F.col("discount") - 0.05), F.col("load"), 0.99, 1.01)
+    rows = nodes.withColumns(gr.classes_of(flag)).withColumn("key", F.concat_ws("-", "scenario", "node"))
+    rows = gr.target_of(rows, "combined")
+    return staged(ev.standardised(rows, ["load", "discount"], rows.where("scenario <= 5")), "nodes"), gr.normalised(nodes, edges)
+
+
+@query()
+def gcn_alarm_model(spark, sf_dir):
+    """Alarm probability and verdict of every node by a trained network (300 epochs, best one kept); scenarios 1 to 5 train and choose the threshold, split 70 to 30 by label."""
+    from gridloom.operators import convolution as cv
+
+    nodes, edges = _alarm_graph(spark, sf_dir)
+    own = nodes.where("scenario <= 5")
+    rows = ev.stratified_split(own, "key", "target").withColumn("fold", F.when(F.col("in_train"), 1).otherwise(0))
+    features = ["z_load", "z_discount"]
+    net = cv.Network(2)
+    blocks, parts = cv.graph_blocks(rows, edges.where("scenario <= 5"), features, "target", ["fold"])
+    fitted = cv.trained(net, blocks, parts, [(0, 0)], 1)
+    p = cv.probabilities(net, fitted.best[0], nodes, edges, features).join(nodes.select("scenario", "node", F.col("target").alias("label")), ["scenario", "node"])
+    judged = rows.where("fold = 0").select("scenario", "node", F.lit(1).alias("g")).join(p, ["scenario", "node"])
+    limit = ev.best_threshold(ev.pr_curve(judged, "label", "probability", "g"), "g").first()
+    threshold = limit["threshold"] if limit else 0.5
+    return p.select("scenario", "node", "label", _r("probability", 4).alias("probability"), (F.col("probability") >= threshold).cast("int").alias("alarm"))
+
+
+@query()
+def gcn_cross_validation(spark, sf_dir):
+    """Measures of every fold of a five-fold cross-validation in three repeats at its best threshold: fifteen networks of 200 epochs, trained in the same passes."""
+    from gridloom.operators import convolution as cv
+
+    nodes, edges = _alarm_graph(spark, sf_dir)
+    return cv.cross_validated(cv.Network(2), nodes, edges, ["z_load", "z_discount"], "target", "key").select(
+        "repeat", "fold", "n", *[_r(c, 4).alias(c) for c in ("threshold", "accuracy", "precision", "recall", "f1", "val_loss")])
+
+
+_FRONTIER = """WITH q AS (SELECT item_id, unnest(range(1, len(ts) + 1)) - 1 AS task_no, unnest(ts) AS task FROM (
+  SELECT item_id, list_filter(list_transform(string_split(replace(coalesce(text, ''), '. ', chr(10)), chr(10)), lambda x: trim(x, '- ')), lambda x: x <> '')[:200] AS ts FROM benchmark)),
+k AS (SELECT item_id * 1000 + task_no AS task_id, item_id, task_no, task, e.embedding::DOUBLE[] AS a FROM q JOIN embeddings e ON e.vec_id = (item_id * 13 + task_no) % 500),
+h AS (SELECT task_id, c.label, row_number() OVER (PARTITION BY task_id ORDER BY round(coalesce(list_cosine_similarity(a, c.embedding::DOUBLE[]), 0), 9) DESC, c.vec_id) AS rank FROM k, embeddings c WHERE c.embedding IS NOT NULL),
+t AS (SELECT task_id, coalesce(min(rank) FILTER (label < 5), 4) AS tries FROM h WHERE rank <= 4 GROUP BY task_id)
+SELECT k.item_id, k.task_no::INTEGER AS task_no, CASE WHEN h.label < 5 THEN 'done' ELSE 'failed' END AS state, t.tries::INTEGER AS tries, 'call_' || h.label AS result, CASE WHEN h.label < 5 THEN '' ELSE h.label::VARCHAR END AS invalid
+FROM k JOIN t USING (task_id) JOIN h ON h.task_id = t.task_id AND h.rank = t.tries"""
+
+
+@query(_FRONTIER)
+def agent_frontier(spark, sf_dir):
+    """Tasks from the sentences of each benchmark item, tried up to four times: try n takes the n-th of the retrieved chunks, and labels below five are the valid names."""
+    from gridloom.operators import agents
+
+    plans = table(spark, sf_dir, "benchmark").select("item_id", F.replace(F.col("text"), F.lit(". "), F.lit("\n")).alias("plan"))
+    tasks = agents.planned_tasks(plans, "item_id").withColumn("task_id", F.col("item_id") * 1000 + F.col("task_no"))
+    e = table(spark, sf_dir, "embeddings")
+    tasks = tasks.withColumn("vec_id", (F.col("item_id") * 13 + F.col("task_no")) % 500).join(e.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    chunks = e.select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("call_"), F.col("label").cast("string")).alias("text"))
+
+    def execute(todo: DataFrame) -> DataFrame:
+        return todo.select("task_id", F.try_element_at(F.split("context", "\n\n---\n\n"), F.col("tries") + 1).alias("result"))
+
+    valid = e.where("label < 5").select(F.col("label").cast("string").alias("name"))
+    done = agents.frontier(tasks, "task_id", lambda t: agents.with_context(t, chunks, "task_id", 4, digits=9), execute, lambda c: agents.names_used(c, r"call_(\w+)"), valid)
+    return done.select("item_id", "task_no", "state", "tries", "result", F.array_join("invalid", ",").alias("invalid"))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total, len(embedding)::INTEGER AS dim FROM embeddings WHERE embedding IS NOT NULL")
+def matrix_round_trip(spark, sf_dir):
+    """The vectors as a matrix file in parts and their ids as the JSON array of chunks beside it, read back row by row."""
+    from gridloom.plans.folders import shared_folder
+    from gridloom.sources import matrix
+
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    path = shared_folder(spark, "matrix")
+    matrix.write_matrix(e, "embedding", "vec_id", f"{path}/vectors", 4)
+    ids = e.agg(F.to_json(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: F.struct(x.cast("string").alias("text")))).alias("value"))  # a JSON array is one row
+    ids.coalesce(1).write.text(f"{path}/chunks")
+    rows = matrix.read_indexed_chunks(spark, f"{path}/vectors", f"{path}/chunks")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("row", F.col("text").cast("long").alias("vec_id"), _r(total, 5).alias("total"), F.size("embedding").alias("dim"))
+
+
 @query("SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_hourly_counts(spark, sf_dir):
     """Hourly counts by a stream over the events file."""
@@ -672,6 +845,18 @@ def embed_search(spark, sf_dir):
     return hits.select(F.col("query").alias("item_id"), F.col("id").alias(D), _r("score", 4).alias("score"), "rank")
 
 
+@query()
+def semantic_search(spark, sf_dir):
+    """The five documents nearest to each benchmark item by learned vectors: 64 leading directions of the TF-IDF table."""
+    from gridloom.operators import semantic
+
+    docs = table(spark, sf_dir, "documents").select(F.col(D).alias("vec_id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"), "text")
+    model = semantic.fit(docs)
+    hits = retrieval.top_k(model.embedded(docs), model.embedded(items), 5, digits=6)
+    return hits.select(F.col("query").alias("item_id"), F.col("id").alias(D), _r("score", 4).alias("score"), "rank")
+
+
 @query()
 def token_count_bpe(spark, sf_dir):
     """Exact token counts of every document under a byte-pair vocabulary."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,21 @@ def read_texts(spark: SparkSession, path: str, suffix: str = ".txt", most_chars:
     return df.select(F.col("_metadata.file_path").alias("path"), text.alias("text"))
 
 
+def latest_text(spark: SparkSession, folder: str, prefix: str = "", suffix: str = ".txt") -> DataFrame:
+    """path, text of the file whose name is the last one with this prefix and suffix; no row without any. The folder is listed by name, and one file is opened."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*{suffix}").load(folder).select("path")  # no content column, so no content is read
+    newest = listed.agg(F.max_by("path", F.regexp_extract("path", "[^/]+$", 0))).first()[0]
+    if newest is None:
+        return spark.createDataFrame([], "path string, text string")
+    return spark.read.text(newest, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def since_days(days: int, now: str | None = None) -> str:
+    """The first day of a look-back of so many trading days: twice as many calendar days before `now` (today in UTC)."""
+    end = dt.datetime.fromisoformat(now) if now else dt.datetime.now(dt.timezone.utc)
+    return (end - dt.timedelta(days=2 * days)).strftime("%Y-%m-%d")
+
+
 def read_bars(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """OHLCV bars from Parquet; the date is pushed into the scan, rows with anything missing are dropped."""
     df = lower_columns(spark.read.parquet(path)).select("symbol", "ts", "open", "high", "low", "close", "volume")

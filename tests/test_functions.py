@@ -23,23 +23,23 @@ def test_word_chunks_cover_every_word(spark, n):
     assert got == [words[i : i + 10] for i in range(0, n, 8)]
 
 
-def paragraphs(text, size, overlap):
-    import re
+PAGES = ["", "  \n \n ", "a", "aaaa bbbb\n\ncccc\n \ndddd", "x" * 50 + "\n\ny\n\nz", "a\n\nb\n\nc\n\nd\n\ne", "p1\n\n" + "q" * 30 + "\n\nr", "\n\n".join(c * n for c, n in zip("abcdefghij", [3, 9, 1, 12, 4, 4, 2, 7, 5, 1]))]
 
-    parts = [p.strip(" \t\n\r") for p in re.split(r"\n\s*\n", text)]
-    done, now = [], ""
-    for p in filter(None, parts):
-        if len(now) + len(p) + 2 <= size:
-            now += p + "\n\n"
-        else:
-            done, now = done + [now], p + "\n\n"
-    done = [c.strip() for c in done + [now] if c.strip()]
-    return [c if i == 0 else (done[i - 1][-overlap:] + "\n" + c).strip() for i, c in enumerate(done)]
 
-
-@pytest.mark.parametrize("text", ["", "  \n \n ", "a", "aaaa bbbb\n\ncccc\n \ndddd", "x" * 50 + "\n\ny\n\nz", "a\n\nb\n\nc\n\nd\n\ne", "p1\n\n" + "q" * 30 + "\n\nr"])
+@pytest.mark.parametrize("text", PAGES)
 def test_paragraph_chunks(spark, text):
-    assert one(spark, tx.paragraph_chunks(F.col("t"), 12, 4), t=text) == paragraphs(text, 12, 4)
+    """Without overlap the chunks hold every paragraph once and in order, none is cut, each is as full as it can be; an overlap puts the end of a chunk before the next one."""
+    size, overlap = 12, 4
+    plain = one(spark, tx.paragraph_chunks(F.col("t"), size, 0), t=text)
+    pieces = [[p for p in c.split("\n\n")] for c in plain]
+    assert [p for c in pieces for p in c] == [p.strip() for p in text.replace("\n \n", "\n\n").split("\n\n") if p.strip()]
+    width = lambda c: sum(len(p) + 2 for p in c)
+    assert all(width(c) <= size or len(c) == 1 for c in pieces)
+    assert all(width([*a, b[0]]) > size for a, b in zip(pieces, pieces[1:], strict=False))
+    led = one(spark, tx.paragraph_chunks(F.col("t"), size, overlap), t=text)
+    assert led[:1] == plain[:1] and len(led) == len(plain)
+    for before, own, got in zip(plain, plain[1:], led[1:], strict=False):
+        assert got == f"{before[-overlap:]}\n{own}".strip()
 
 
 @settings(max_examples=50, deadline=None)

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators import boosting
 from gridloom.operators import evaluate as ev
 from gridloom.operators import graph as gr
 from gridloom.operators import grounding, lookup, ml, retrieval, trading
@@ -82,8 +83,8 @@ def test_grid_calendar_lags_means(spark):
 
 def test_forecast_feeds_on_itself(spark):
     class AddOne:
-        def transform(self, df):
-            return df.withColumn("prediction", F.col("lag_1") + F.col("lag_24") * 0 + 1)
+        def predicted(self, x):
+            return x[:, ts.FEATURES.index("lag_1")] + 1
 
     got = ts.forecast(AddOne(), series(spark, [float(i) for i in range(200)]), 3).orderBy("ts").collect()
     assert [r.prediction for r in got] == [200.0, 201.0, 202.0] and got[0].ts == H(200)
@@ -229,15 +230,14 @@ def test_model_queries_run_the_whole_job(spark, monkeypatch):
             getattr(library, name)(spark, SF)
     assert seen["load"] == (100, 6, 0.1) and seen["folds"] == 5
     m = seen["models"]
-    assert set(m) == {"logistic", "forest", "perceptron", "boosted"}
+    assert set(m) == {"logistic", "forest", "perceptron", "boosted", "kernel"}
     assert m["forest"].getNumTrees() == 100 and m["perceptron"].getMaxIter() == 300 and m["logistic"].getMaxIter() == 500
-    boosted = m["boosted"].getClassifier()
-    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (100, 6, 0.3)
+    assert m["boosted"].settings() == boosting.Settings(rounds=100, depth=6, rate=0.3)
 
 
 def test_all_classifiers_fit(spark):
     rows = [(float(i % 7), float(i % 5), float(i % 7 > 3), i % 2) for i in range(120)]
     folds = spark.createDataFrame(rows, "a double, b double, label double, fold int")
     out = ml.fold_accuracies(folds, ["a", "b"], ml.classifiers(2, 2, trees=2)).collect()
-    assert len(out) == 8 and {r.model for r in out} == {"logistic", "forest", "perceptron", "boosted"}
+    assert len(out) == 10 and {r.model for r in out} == {"logistic", "forest", "perceptron", "boosted", "kernel"}
     assert min(r.accuracy for r in out) > 0.8
