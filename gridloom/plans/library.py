@@ -766,13 +766,29 @@ def gcn_alarm_model(spark, sf_dir):
     return p.select("scenario", "node", "label", _r("probability", 4).alias("probability"), (F.col("probability") >= threshold).cast("int").alias("alarm"))
 
 
+def _customer_graph(spark, sf_dir):
+    """Customers and nations are nodes, a market segment is a scenario, and each customer has an edge to its nation. A node's load is the value of its orders; it is overloaded above its segment's mean for nodes of its kind."""
+    from gridloom.plans.folders import staged
+
+    spent = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.sum("o_totalprice") / 1e6).alias("spent"))
+    own = table(spark, sf_dir, "customer").join(spent, "c_custkey", "left").select(F.col("c_mktsegment").alias("scenario"), F.concat(F.lit("C"), "c_custkey").alias("src"), F.concat(F.lit("N"), "c_nationkey").alias("dst"), F.coalesce("spent", F.lit(0.0)).alias("spent"), "c_acctbal")
+    own = staged(own, "customers")
+    ends = [own.select("scenario", F.col(end).alias("node"), "spent", "c_acctbal") for end in ("src", "dst")]
+    nodes = ends[0].unionByName(ends[1]).groupBy("scenario", "node").agg(F.sum("spent").alias("load"), F.avg("c_acctbal").alias("balance"))
+    kind = F.substring("node", 1, 1).alias("kind")
+    means = nodes.groupBy("scenario", kind).agg(F.avg("load").alias("mean"))
+    rows = nodes.select("*", kind).join(F.broadcast(means), ["scenario", "kind"])  # two rows a segment
+    rows = rows.select("scenario", "node", F.concat_ws("-", "scenario", "node").alias("key"), "load", "balance", (F.col("load") > F.col("mean")).cast("int").alias("alarm_flag"))
+    return staged(ev.standardised(gr.target_of(rows, "thermal_class"), ["load", "balance"]), "nodes"), gr.normalised(nodes, own.select("scenario", "src", "dst"))
+
+
 @query()
 def gcn_cross_validation(spark, sf_dir):
     """Measures of every fold of a five-fold cross-validation in three repeats at its best threshold: fifteen networks of 200 epochs, trained in the same passes."""
     from gridloom.operators import convolution as cv
 
-    nodes, edges = _alarm_graph(spark, sf_dir)
-    return cv.cross_validated(cv.Network(2), nodes, edges, ["z_load", "z_discount"], "target", "key").select(
+    nodes, edges = _customer_graph(spark, sf_dir)
+    return cv.cross_validated(cv.Network(2), nodes, edges, ["z_load", "z_balance"], "target", "key").select(
         "repeat", "fold", "n", *[_r(c, 4).alias(c) for c in ("threshold", "accuracy", "precision", "recall", "f1", "val_loss")])
 
 
