@@ -47,7 +47,7 @@ def bit_planes(vectors: np.ndarray) -> np.ndarray:
     planes, groups = reach.bit_length() + 1, -(-vectors.shape[1] // 8)
     out = np.zeros((planes, groups, len(vectors)), np.uint8)
     for k in range(planes):
-        out[k] = np.packbits(((vectors >> min(k, 63)) & 1).astype(np.uint8), axis=1, bitorder="little").T.reshape(groups, -1)
+        out[k] = np.packbits(((vectors >> min(k, 63)) & 1).astype(np.uint8), axis=1, bitorder="little").T.reshape(groups, len(vectors))
     return out
 
 
@@ -172,8 +172,9 @@ def hard_negatives(
         first = Window.partitionBy("anchor").orderBy(F.desc("score"), "key", "row")
         with work.writing(spark, PAIRS_AT_ONCE):
             found = tmp.staged(found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= positives), "positives")
-        # ceil(low * score / 100) and floor(high * score / 100) in whole numbers
-        window = F.struct("place", F.expr(f"-((-{low} * score - pmod(-{low} * score, 100)) div 100)").alias("low"), F.expr(f"({high} * score - pmod({high} * score, 100)) div 100").alias("high"))
+        # ceil(low * score / 100) and floor(high * score / 100) in whole numbers: score is 100 q + r
+        q = F.expr("(score - pmod(score, 100)) div 100")
+        window = F.struct("place", (q * low + F.expr(f"({low} * pmod(score, 100) + 99) div 100")).alias("low"), (q * high + F.expr(f"({high} * pmod(score, 100)) div 100")).alias("high"))
         per = found.groupBy("anchor").agg(F.sort_array(F.collect_list(window)).alias("w")).select(F.col("anchor").alias("row"), "w")
         filled = lambda name, rest: F.transform(F.sequence(F.lit(1), F.lit(positives)), lambda i: F.coalesce(F.try_element_at(F.col("w")[name], i), F.lit(rest).cast("long")))
         asked = chosen.join(per, "row").select("row", "key", "label", "values", filled("low", 1).alias("low"), filled("high", 0).alias("high"))
