@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from gridloom.operators import agents, boosting, kernel, ml, retrieval, semantic, vector_index
+from gridloom.operators import agents, boosting, kernel, ml, perceptron, retrieval, semantic, vector_index
 from gridloom.operators import convolution as cv
 from gridloom.operators import evaluate as ev
 from gridloom.operators import graph as gr
@@ -120,7 +120,7 @@ def test_missing_numbers_and_null_labels(spark):
     assert all((t.column == -1).all() for t in empty.rounds)
 
 
-@pytest.mark.parametrize("model", [boosting.SoftmaxBoosting(classes=3, rounds=8, depth=4, featuresCol="scaled"), kernel.KernelMachine(classes=3, count=128, steps=40, featuresCol="scaled")])
+@pytest.mark.parametrize("model", [boosting.SoftmaxBoosting(classes=3, rounds=8, depth=4, featuresCol="scaled"), kernel.KernelMachine(classes=3, count=128, steps=40, featuresCol="scaled"), perceptron.Perceptron(layers=[2, 16, 8, 3], steps=80, featuresCol="scaled")])
 def test_models_are_saved_with_their_pipeline(spark, ringed, tmp_path, model):
     fitted = ml.scaled_pipeline(["a", "b"], model).fit(ringed)
     ml.save(fitted, str(tmp_path / "model"))
@@ -131,10 +131,10 @@ def test_models_are_saved_with_their_pipeline(spark, ringed, tmp_path, model):
 
 
 def test_all_folds_in_the_same_passes(spark, ringed):
-    models = {"boosted": boosting.SoftmaxBoosting(classes=3, rounds=10, depth=4), "kernel": kernel.KernelMachine(classes=3, count=128, steps=60), "logistic": ml.classifiers(2, 3)["logistic"]}
+    models = {"boosted": boosting.SoftmaxBoosting(classes=3, rounds=10, depth=4), "kernel": kernel.KernelMachine(classes=3, count=128, steps=60), "perceptron": perceptron.Perceptron(layers=[2, 16, 8, 3], steps=100), "logistic": ml.classifiers(2, 3)["logistic"]}
     got = ml.fold_accuracies(ringed, ["a", "b"], models).groupBy("model").agg(F.avg("accuracy").alias("a"), F.count("*").alias("n")).collect()
     acc = {r.model: r.a for r in got}
-    assert all(r.n == 3 for r in got) and acc["boosted"] > 0.85 and acc["kernel"] > 0.85 > 0.6 > acc["logistic"]
+    assert all(r.n == 3 for r in got) and acc["boosted"] > 0.85 and min(acc["kernel"], acc["perceptron"]) > 0.85 > 0.6 > acc["logistic"]
 
 
 def test_fault_models_train_whole(spark):
@@ -164,6 +164,18 @@ def test_kernel_error():
         assert off.std() < 1 / math.sqrt(count) and (np.abs(off) >= 0.5).mean() <= 2 * math.exp(-count * 0.25 / 8)
 
 
+def test_perceptron_gradient():
+    rng = np.random.default_rng(8)
+    x, y, chosen, widths = rng.normal(size=(30, 3)), rng.integers(0, 4, 30), rng.random(30) < 0.7, [3, 5, 4, 4]
+    w = perceptron.start(widths, 1) + 0.05
+    _, g = perceptron.softmax_loss(x, y, w, widths, chosen)
+    for i in range(len(w)):
+        step = np.zeros_like(w)
+        step[i] = 1e-6
+        up, down = (perceptron.softmax_loss(x, y, w + s, widths, chosen)[0] for s in (step, -step))
+        assert g[i] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-5)
+
+
 def test_hinge_gradient_and_minimum():
     rng = np.random.default_rng(3)
     z, y, w = rng.normal(size=(40, 6)), rng.integers(0, 3, 40), rng.normal(size=(6, 3))

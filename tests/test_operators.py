@@ -231,7 +231,7 @@ def test_model_queries_run_the_whole_job(spark, monkeypatch):
     assert seen["load"] == (100, 6, 0.1) and seen["folds"] == 5
     m = seen["models"]
     assert set(m) == {"logistic", "forest", "perceptron", "boosted", "kernel"}
-    assert m["forest"].getNumTrees() == 100 and m["perceptron"].getMaxIter() == 300 and m["logistic"].getMaxIter() == 500
+    assert m["forest"].getNumTrees() == 100 and m["perceptron"].getOrDefault("steps") == 300 and m["perceptron"].getOrDefault("layers") == [4, 64, 32, 6] and m["logistic"].getMaxIter() == 500
     assert m["boosted"].settings() == boosting.Settings(rounds=100, depth=6, rate=0.3)
 
 
