@@ -3,7 +3,8 @@
 Each stage takes what its predecessor kept, with the columns of documents, and returns those columns; the last one
 returns the packed pieces with their token ids. The mix decides the order of the documents, and packing keeps it: it
 packs runs of neighbours, and sequences by number follow the mix. Null and empty texts fail the quality rules; an empty
-table passes through all stages.
+table passes through all stages. What a stage leaves in the shared folder goes two stages later, when its rows have
+been written and read again.
 """
 
 from __future__ import annotations
@@ -18,24 +19,30 @@ from gridloom.llm.mixing import mixed
 from gridloom.llm.near_dedup import near_dedup
 from gridloom.llm.packing import pack
 from gridloom.llm.quality_rules import quality_rules
-from gridloom.llm.work import staged
+from gridloom.llm.work import Leftovers, staged
 
+LEFTOVERS = Leftovers()
 
+
+@LEFTOVERS.stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules(docs).where("kept").select(*docs.columns)
 
 
+@LEFTOVERS.stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup(docs).where("kept").select(*docs.columns)
 
 
+@LEFTOVERS.stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return near_dedup(docs).where("kept").select(*docs.columns)
 
 
+@LEFTOVERS.stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix: files and the rows in them follow the schedule."""
     return mixed(docs).orderBy("position").select(*docs.columns)
@@ -51,6 +58,7 @@ def _with_place(docs: DataFrame) -> DataFrame:
         return staged(docs, "mixed").withColumns(place)
 
 
+@LEFTOVERS.stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their ids, sequences and offsets; sequence numbers follow the order of the documents."""
     order = ["mix-part", "mix-file", "mix-at"]

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+import weakref
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager, suppress
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +100,41 @@ def scratch(spark: SparkSession, name: str) -> Iterator[Scratch]:
             _KEPT.remove(path)
 
 
+class Leftovers:
+    """What the stages of a pipeline leave in the shared folder. A stage's folders go when a later stage starts, its own
+    frame is gone (so nobody is going to read it), and the later stage's input does not read them."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[weakref.ref, list[str]]] = []
+
+    def sweep(self, docs: DataFrame) -> None:
+        """Removes the folders that nothing reads any more."""
+        reads: list[str] | None = None
+        for item in list(self.held):
+            frame, folders = item
+            if frame() is None:
+                reads = docs.inputFiles() if reads is None else reads
+                if not any(folder.rsplit("/", 1)[1] in file for folder in folders for file in reads):
+                    self.held.remove(item)
+                    for folder in folders:
+                        with suppress(OSError):
+                            files.remove(folder)
+
+    def stage(self, f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        """`f` (spark, docs, ...) with its folders held until they can go."""
+
+        @wraps(f)
+        def run(spark: SparkSession, docs: DataFrame, *more) -> DataFrame:
+            self.sweep(docs)
+            before = {*_KEPT}
+            out = f(spark, docs, *more)
+            if made := [k for k in _KEPT if k not in before and k not in _LOCAL.values()]:
+                self.held.append((weakref.ref(out), made))
+            return out
+
+        return run
+
+
 class Shelter:
     """The input under generated names (in0, in1, ...), so that no name of an operator can clash with its columns."""
 

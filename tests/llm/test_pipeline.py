@@ -88,3 +88,28 @@ def test_stages_on_odd_rows(spark, none):
 def test_stages_are_named():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mix_sources", "pack_sequences"]
     assert np.unique([f.__name__ for _, f in corpus_pipeline.STAGES]).size == 5
+
+
+def test_leftovers_go_when_nothing_reads_them(spark, tmp_path):
+    from gridloom.llm import work
+
+    held = work.Leftovers()
+
+    @held.stage
+    def copied(spark, docs):
+        return work.staged(docs, "copy")
+
+    docs = spark.range(10).withColumnRenamed("id", "doc_id")
+    one = copied(spark, docs)
+    two = copied(spark, one)  # `one` is alive, and read
+    assert one.count() == two.count() == 10 and len(held.held) == 2
+    chained = copied(spark, one).where("doc_id < 5")
+    del one
+    held.sweep(chained)
+    assert chained.count() == 5 and two.count() == 10  # frames that are alive keep what they read
+    path = two.inputFiles()[0].rsplit("/", 1)[0]
+    two.write.parquet(str(tmp_path / "out"))
+    del two
+    copied(spark, spark.read.parquet(str(tmp_path / "out")))
+    store, at = work.files.at(path)
+    assert store.get_file_info(at).type.name == "NotFound"
