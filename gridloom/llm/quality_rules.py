@@ -16,6 +16,7 @@ a new one is replaced.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -117,14 +118,18 @@ def measured(docs: DataFrame, text: str, rules: Rules) -> DataFrame:
 
 @dataclass(frozen=True)
 class References:
-    """Of each language: shares of the character classes, shares of its common words (by place in `vocabulary`), and that of all other words."""
+    """Of each language: shares of the character classes, shares of its common words, and that of all other words."""
 
     langs: list[str]
-    vocabulary: list[str]
     chars: list[list[float]]
-    words: list[list[float]]
+    words: list[dict[str, float]]
     others: list[float]
 
+    def every(self) -> Column:
+        """All of them as one constant, which the optimizer reads once; it grows with the number of languages."""
+        rows = [{"chars": c, "words": w, "other": x} for c, w, x in zip(self.chars, self.words, self.others, strict=True)]
+        return F.from_json(F.lit(json.dumps(rows)), "array<struct<chars:array<double>,words:map<string,double>,other:double>>")
+
 
 def references(rows: DataFrame, text: str, lang: str) -> References:
     """The references of measured rows; bounded by languages times classes and common words."""
@@ -137,10 +142,11 @@ def references(rows: DataFrame, text: str, lang: str) -> References:
         top = [r for r in words.withColumn("r", rank).where(F.col("r") <= COMMON).collect() if r["lang"] in totals]
         sums = clean.groupBy("lang").agg(F.array(*[F.sum(F.get("chars", F.lit(i))) for i in range(len(CLASSES))]).alias("chars")).collect()
     chars, langs = {r["lang"]: r["chars"] for r in sums}, sorted(totals)
-    vocabulary = sorted({r["w"] for r in top})
-    own = {(r["lang"], r["w"]): r["n"] / totals[r["lang"]] for r in top}
-    shares = [[own.get((x, w), 0.0) for w in vocabulary] for x in langs]
-    return References(langs, vocabulary, [[n / sum(chars[x]) for n in chars[x]] for x in langs], shares, [1 - sum(q) for q in shares])
+    own: dict[str, dict[str, float]] = {x: {} for x in langs}
+    for r in sorted(top, key=lambda r: r["w"]):
+        own[r["lang"]][r["w"]] = r["n"] / totals[r["lang"]]
+    shares = [own[x] for x in langs]
+    return References(langs, [[n / sum(chars[x]) for n in chars[x]] for x in langs], shares, [1 - sum(q.values()) for q in shares])
 
 
 def _step(p: Column, q: Column) -> Column:
@@ -148,17 +154,16 @@ def _step(p: Column, q: Column) -> Column:
     return F.when((p > 0) & (q > 0), p * F.log2(2 * p / (p + q)) + q * F.log2(2 * q / (p + q)) - q).when(p > 0, p).otherwise(0.0)
 
 
-def _distance(counts: Column, total: Column, reference: Column, places: Column | None = None, other: Column | None = None) -> Column:
-    """Jensen-Shannon distance of counts to a reference. With `places` the counts are sparse, at these places from 1, and
-    what is neither there nor in the reference is one more cell, whose share in the reference is `other`.
+def _distance(counts: Column, total: Column, reference: Column, words: Column | None = None, other: Column | None = None) -> Column:
+    """Jensen-Shannon distance of counts to a reference. With `words` the counts are those of these words, the reference is
+    a map, and what is not in it is one more cell, whose share in the reference is `other`.
 
     A cell that only the reference has adds half its share to the divergence (in bits): so the sum starts at one half
     and each cell with counts adds what it differs from that.
     """
     rest = F.lit(0.0)
-    if places is None:
-        places = F.sequence(F.lit(1), F.size(counts))
-    cells = F.zip_with(counts, places, lambda n, k: F.struct((n / total).alias("p"), F.get(reference, (k - 1).cast("int")).alias("q")))
+    share = (lambda q: q) if words is None else (lambda w: F.coalesce(F.try_element_at(reference, w), rest))
+    cells = F.zip_with(counts, reference if words is None else words, lambda n, k: F.struct((n / total).alias("p"), share(k).alias("q")))
 
     def of(cells: Column) -> Column:
         if other is None:
@@ -180,12 +185,12 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", l
     refs = references(rows, t, own_lang)
     out = rows.withColumns({"base_failed": F.col("base").isNotNull(), "n_common": F.lit(0).cast("long"), "char_distance": F.lit(0.0), "word_distance": F.lit(0.0), "odd": F.lit(None).cast("string")})
     if refs.langs:
-        vocabulary = F.array(*map(F.lit, refs.vocabulary))
-        places = F.sort_array(F.transform(F.filter(F.col("lw"), lambda w: w.isin(refs.vocabulary)), lambda w: F.array_position(vocabulary, w)))
+        vocabulary = ", ".join(f"'{w}'" for w in sorted(set().union(*refs.words)))  # letters only
+        common_words = F.sort_array(F.expr(f"filter(lw, w -> w IN ({vocabulary}))"))
 
         def starts(s: Column) -> Column:
-            """Where a run of equal values begins in a sorted array."""
-            return F.filter(F.transform(s, lambda x, k: F.when(F.coalesce(F.get(s, k - 1), F.lit(0)) != x, k)), lambda k: k.isNotNull())
+            """Where a run of equal words begins in a sorted array."""
+            return F.filter(F.transform(s, lambda x, k: F.when(F.coalesce(F.get(s, k - 1), F.lit("")) != x, k)), lambda k: k.isNotNull())
 
         def counted(s: Column) -> Column:
             return _let(starts(s), lambda at: F.struct(
@@ -193,12 +198,11 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", l
                 F.transform(at, lambda k, j: F.coalesce(F.get(at, j + 1), F.size(s)) - k).alias("count"),
             ))
 
-        entry = lambda i: F.struct(F.array(*map(F.lit, refs.chars[i])).alias("chars"), F.array(*map(F.lit, refs.words[i])).alias("words"), F.lit(refs.others[i]).alias("other"))
-        every = F.array(*[entry(i) for i in range(len(refs.langs))])
-        at = F.array_position(F.array(*map(F.lit, refs.langs)), F.col(own_lang).cast("string"))
+        every = refs.every()
+        at =F.array_position(F.array(*map(F.lit, refs.langs)), F.col(own_lang).cast("string"))
         mine = F.when(at > 0, F.get(every, (at - 1).cast("int")))
         df = _once(rows, lw=F.array_remove(_letter_words(F.col(t)), ""))
-        df = _once(df, n_letter_words=F.size("lw"), found=_let(places, counted), mine=mine)
+        df = _once(df, n_letter_words=F.size("lw"), found=_let(common_words, counted), mine=mine)
         chars = lambda r: _distance(F.col("chars"), F.col("word_chars"), r["chars"])
         words = lambda r: _distance(F.col("found.count"), F.col("n_letter_words"), r["words"], F.col("found.word"), r["other"])
 

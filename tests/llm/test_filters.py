@@ -87,6 +87,14 @@ def test_quality_rules_match_brute_force(spark, odd):
                 assert abs(r.char_distance - chars) < 1e-9 and abs(r.word_distance - words) < 1e-9
 
 
+def test_quality_references_are_one_constant(spark):
+    """However many languages there are, the plan holds their references as values, not as expressions."""
+    rows = [(i, f"l{i % 60}", " ".join(f"{chr(97 + i % 60 % 26)}{chr(97 + i % 60 // 26)}{chr(97 + (i + k) % 9)}" for k in range(1200 if i < 60 else 150))) for i in range(180)]
+    out = quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.word_distance < 0.2 for r in out.collect() if r.doc_id >= 60)
+
+
 def test_quality_rules_each_arm_decides(spark):
     """Shouting and starred words by their characters, rare words in proper sentences by their words; each language by its own reference."""
     other = "kolo pes dum strom voda ryba hora les pole cesta most reka nebo".split()
