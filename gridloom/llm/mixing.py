@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from fractions import Fraction
 from itertools import count, islice
 
@@ -71,15 +71,26 @@ def phases(halves: Mapping[str, int], weights: Mapping[str, Fraction]) -> Iterat
         left, slot = {s: k for s, k in left.items() if k}, slot + n
 
 
-def segments(halves: Mapping[str, int], weights: Mapping[str, Fraction], size: int) -> Iterator[tuple[int, int, int, dict[str, Fraction], dict[str, int]]]:
-    """first slot, place in its phase, number of slots, weights and halves given before the phase, of each segment.
+def _step(own: Mapping[str, Fraction], size: int) -> int:
+    """Slots of a segment: enough that a share grows by one or more, so that no share, up or down, is less at its end."""
+    return max(size, math.ceil(1 / min(own.values())))
 
-    A segment is long enough that a share grows by one or more: so no share, up or down, is less at its end."""
+
+def segment_count(halves: Mapping[str, int], weights: Mapping[str, Fraction], size: int) -> int:
+    return sum(max(1, n // _step(own, size)) for _, n, own, _ in phases(halves, weights))
+
+
+def segments(halves: Mapping[str, int], weights: Mapping[str, Fraction], size: int, numbers: Sequence[int] | None = None) -> Iterator[tuple[int, int, int, dict[str, Fraction], dict[str, int]]]:
+    """first slot, place in its phase, number of slots, weights and halves given before the phase, of each segment, or of
+    those with these numbers (in ascending order), which are found in their phase without a walk over the others."""
+    base = 0
     for first, n, own, before in phases(halves, weights):
-        step = max(size, math.ceil(1 / min(own.values())))
-        for k in range(max(1, n // step)):
+        step = _step(own, size)
+        total = max(1, n // step)
+        for k in range(total) if numbers is None else (g - base for g in numbers if base <= g < base + total):
             at = k * step
-            yield first + at, at, (n if k + 2 > n // step else at + step) - at, own, before
+            yield first + at, at, (n if k + 1 == total else at + step) - at, own, before
+        base += total
 
 
 def slots_of(at: int, size: int, own: Mapping[str, Fraction], before: Mapping[str, int]) -> Iterator[tuple[str, int]]:
@@ -116,16 +127,15 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: fl
         shares = {s: Fraction(float(n) ** alpha) for s, n in counts.items()}
         if weights is not None:
             shares = {s: Fraction(weights.get(s[1:] if s else None, min(weights.values()))) for s in counts}
-        number = sum(1 for _ in segments(halves, shares, SEGMENT))
+        number = segment_count(halves, shares, SEGMENT)
 
         def planned(batches):
             for pdf in batches:
-                mine = set(pdf["id"].tolist())
-                for g, (first, *part) in enumerate(segments(halves, shares, SEGMENT)):
-                    if g in mine:
-                        slots = enumerate(slots_of(*part), first)
-                        while out := [(g, s, k, t, min(half, counts[s] - k * half)) for t, (s, k) in islice(slots, 10_000)]:
-                            yield pd.DataFrame(out, columns=["g", "s", "k", "slot", "size"])
+                mine = sorted(pdf["id"].tolist())
+                for g, (first, *part) in zip(mine, segments(halves, shares, SEGMENT, mine), strict=True):
+                    slots = enumerate(slots_of(*part), first)
+                    while out := [(g, s, k, t, min(half, counts[s] - k * half)) for t, (s, k) in islice(slots, 10_000)]:
+                        yield pd.DataFrame(out, columns=["g", "s", "k", "slot", "size"])
 
         plan = spark.range(0, number, 1, max(1, number)).mapInPandas(planned, "g long, s string, k long, slot long, size long")
         plan = tmp.staged(plan, "slots")

@@ -196,6 +196,14 @@ def deviation(halves, weights, size):
     return worst
 
 
+def test_mixing_finds_segments_by_number():
+    halves, weights = {"a": 900, "b": 400, "c": 37, "d": 0, "e": 5}, {"a": Fraction(3), "b": Fraction(3), "c": Fraction(1), "d": Fraction(2), "e": Fraction(0)}
+    every = list(mixing.segments(halves, weights, 16))
+    assert mixing.segment_count(halves, weights, 16) == len(every) > 40
+    for numbers in ([0], [len(every) - 1], list(range(3, len(every), 7)), [], list(range(len(every)))):
+        assert list(mixing.segments(halves, weights, 16, numbers)) == [every[g] for g in numbers]
+
+
 def test_mixing_stays_within_a_block_over_a_million_slots():
     counts = {"a": 200_000, "b": 400_000, "c": 600_000}
     assert deviation(counts, {s: Fraction(n**0.5) for s, n in counts.items()}, mixing.SEGMENT) < 2
