@@ -134,15 +134,16 @@ def test_near_dedup_of_large_groups(spark, monkeypatch):
     assert found(nd.near_dedup(docs)) == near_truth(rows)
 
 
-def test_near_dedup_splits_units_of_texts_that_share_a_passage(spark, monkeypatch):
-    """Texts that share half of their words collide in many bands, but only some are alike."""
+@pytest.mark.parametrize("depth", [nd.DEPTH, 1, 0])
+def test_near_dedup_splits_units_of_texts_that_share_a_passage(spark, monkeypatch, depth):
+    """Texts that share half of their words collide in many bands, but only some are alike; without a split, or with one by single bands, no pair of candidates is lost."""
     monkeypatch.setattr(nd, "BLOCK", 8)
     monkeypatch.setattr(nd, "WIDE", 8)
     shared = prose(60, 1, [f"s{i}" for i in range(300)])
     rows = [(i, shared + " " + prose(40, 50 + i, [f"t{j}" for j in range(2000)])) for i in range(60)]
     rows += [(100 + i, t + f" extra{i}") for i, t in rows[:20]]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(nd.near_dedup(docs)) == near_truth(rows)
+    assert found(nd.near_dedup(docs, nd.Settings(depth=depth))) == near_truth(rows)
 
 
 def test_near_dedup_keeps_the_longest_then_the_smallest_key(spark):
