@@ -12,6 +12,7 @@ from gridloom.operators import convolution as cv
 from gridloom.operators import evaluate as ev
 from gridloom.operators import graph as gr
 from gridloom.operators import timeseries as ts
+from gridloom.operators.passes import weighted_sums
 from gridloom.plans import library
 from gridloom.sources import matrix, readers
 
@@ -260,6 +261,23 @@ def test_blocks_and_tables_give_the_same_logits(spark, grid, monkeypatch):
     assert (drop != cv.mask(net, nodes_of, 1, 6)).any() and (drop != cv.mask(net, nodes_of, 2, 5)).any()
 
 
+def test_sums_of_a_block_are_those_of_its_edges(grid):
+    (block,), _, _ = one_block(grid)
+    rng = np.random.default_rng(4)
+    x, back = rng.normal(size=(len(block.source), 3)), rng.normal(size=(len(block.target), 3))
+    target = np.repeat(np.arange(len(block.target)), block.sizes)
+    want, sent = np.zeros_like(back), np.zeros_like(x)
+    np.add.at(want, target, x[block.src] * block.w[:, None])
+    np.add.at(sent, block.src, back[target] * block.w[:, None])
+    some = np.flatnonzero(rng.random(len(want)) < 0.3)
+    assert np.allclose(block.gathered(x), want) and np.allclose(block.gathered(x, some), want[some]) and np.allclose(block.scattered(back), sent)
+    sizes = np.array([70, 33, 32, 5, 1, 1])  # groups beyond WIDE and below
+    at, w, starts = rng.integers(0, len(x), sizes.sum()), rng.random(sizes.sum()), np.cumsum(sizes) - sizes
+    assert np.allclose(weighted_sums(x, at, w, starts, sizes), [(w[a : a + n, None] * x[at[a : a + n]]).sum(0) for a, n in zip(starts, sizes, strict=True)])
+    net = cv.Network(2, hidden=4)
+    assert np.allclose(cv.logits(net, net.start(), block, rows=some)[0], cv.logits(net, net.start(), block)[0][some])
+
+
 def test_loss_falls_on_held_out_scenarios(spark, grid):
     _, blocks, parts = one_block(grid)
     net = cv.Network(2, hidden=16)
