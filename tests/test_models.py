@@ -144,6 +144,24 @@ def test_fault_models_train_whole(spark):
     assert all(0.1 < r.accuracy < 0.3 for r in out.values())  # six classes, and the columns tell nothing of them
 
 
+def test_copies_of_rows_do_not_grow_the_blocks(spark, ringed):
+    """Twice the same rows: no more cells and rows in blocks, and the same sums as from every row by itself."""
+    twice = ringed.union(ringed)
+    fitted = boosting.boosted(twice, ["a", "b"], "label", 3, "fold", 3, boosting.Settings(rounds=1, depth=2))
+    blocks = [fitted.shape.read(r.asDict()) for r in fitted.blocks.collect()]
+    assert sum(bins.shape[1] for bins, _, _ in blocks) <= 900 and sum(counts.sum() for _, counts, _ in blocks) == 1800
+    label = np.array([0, 2, 2, 1])
+    g, h = boosting.gradients(np.tile([[0.3], [0.1], [-2.0]], 4), label)
+    both = boosting.cell_gradients(np.array([[0.3], [0.1], [-2.0]]), np.array([[1], [1], [2]]))
+    assert np.allclose(both[0][:, 0], g.sum(1)) and np.allclose(both[1][:, 0], h.sum(1))
+    rows = [kernel.row_blocks(d, ["a", "b"], "label", "fold", 3) for d in (ringed, twice)]
+    x, y, n = (np.concatenate(v) for v in zip(*[kernel.block_of(r.asDict(), 2) for r in rows[1][0].collect()], strict=True))
+    assert len(x) == 900 and (n.sum(1) == 2).all() and np.allclose(rows[1][2], 2 * rows[0][2]) and np.allclose(rows[1][3], rows[0][3]) and np.allclose(rows[1][4], rows[0][4])
+    w = perceptron.start([2, 5, 3], 1)
+    one, two = (perceptron.softmax_loss(x, y, w, [2, 5, 3], t) for t in (np.ones(900, bool), n.sum(1)))
+    assert two[0] == pytest.approx(2 * one[0]) and np.allclose(two[1], 2 * one[1])
+
+
 # Kernel machine
 
 
