@@ -27,6 +27,7 @@ from gridloom.llm.work import Shelter
 
 ADDED = ("lang_pred", "score", "cross_entropy", "rejected")
 ORDER, DISCOUNT, SPACE = 4, 0.75, 32
+CHARS_AT_ONCE, ENTRIES_AT_ONCE, TEXTS_AT_ONCE = 1 << 18, 1 << 20, 200
 _LETTER: list[np.ndarray] = []
 
 
@@ -154,11 +155,21 @@ class Models:
         return np.log(p)
 
     def entropies(self, texts: list[str | None]) -> np.ndarray:
-        """Cross-entropy a symbol of each text under each language."""
+        """Cross-entropy a symbol of each text under each language. Texts go in runs of about CHARS_AT_ONCE characters, so that memory does not follow a batch's size."""
+        ends = np.cumsum([len(t or "") for t in texts])
+        cuts = np.flatnonzero(np.diff(ends // CHARS_AT_ONCE, append=-1)) + 1
+        out, a = np.zeros((len(texts), len(self.langs))), 0
+        for b in cuts.tolist():
+            out[a:b] = self._entropies(texts[a:b])
+            a = b
+        return out
+
+    def _entropies(self, texts: list[str | None]) -> np.ndarray:
         grams = [keys_of(symbols(t)) for t in texts]
         sizes = np.array([len(g) for g in grams], np.int64)
         keys, text = np.concatenate([np.zeros(0, np.uint64), *grams]), np.repeat(np.arange(len(texts)), sizes)
-        out, width = np.zeros((len(texts), len(self.langs))), max(1024, (1 << 22) // max(1, len(self.langs)))
+        del grams
+        out, width = np.zeros((len(texts), len(self.langs))), max(1024, ENTRIES_AT_ONCE // max(1, len(self.langs)))
         for a in range(0, len(keys), width):
             uniq, back = np.unique(keys[a : a + width], return_inverse=True)
             own = text[a : a + width]
@@ -190,9 +201,9 @@ def train(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "t
         total: dict[str, list] = {}
         for pdf in batches:
             for name, rows in pdf.groupby("lang"):
-                grams = [keys_of(symbols(t)) for t in rows["text"] if has_letter(t)]
-                if grams:
-                    total.setdefault(name, []).append(np.unique(np.concatenate(grams), return_counts=True))
+                own = [t for t in rows["text"] if has_letter(t)]
+                for a in range(0, len(own), TEXTS_AT_ONCE):
+                    total.setdefault(name, []).append(np.unique(np.concatenate([keys_of(symbols(t)) for t in own[a : a + TEXTS_AT_ONCE]]), return_counts=True))
         for name, parts in total.items():
             keys, n = _add(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(float))
             yield pd.DataFrame({"lang": name, "gram": keys.view(np.int64), "n": n.astype(np.int64)})

@@ -332,3 +332,14 @@ def test_language_id_held_out_and_defined_cases(spark, odd, none):
     assert language_id.train(none, F.lit(True)) is None
     assert {r.lang_pred for r in language_id.identify(odd, None).collect()} == {"und"}
     assert language_id.identify(none, model).count() == 0
+
+
+def test_language_entropies_go_in_runs_of_characters(monkeypatch):
+    texts = ["die katze sitzt", None, "", "the cat sits " * 40, "x", "le chat " * 9]
+    counts = {k: language_id._add(language_id.keys_of(language_id.symbols(t)), np.ones(len(language_id.keys_of(language_id.symbols(t))))) for k, t in (("de", texts[0]), ("en", texts[3]), ("fr", texts[5]))}
+    m = language_id.Models.build(counts)
+    whole, sizes = m.entropies(texts), []
+    monkeypatch.setattr(language_id, "CHARS_AT_ONCE", 20)
+    monkeypatch.setattr(m, "_entropies", lambda ts: (sizes.append(len(ts)), language_id.Models._entropies(m, ts))[1])
+    assert np.allclose(m.entropies(texts), whole) and sum(sizes) == len(texts) and len(sizes) >= 3
+    assert m.entropies([]).shape == (0, 3)
