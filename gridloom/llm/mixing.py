@@ -146,4 +146,4 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: fl
         placed = ranked.join(starts, ["part", "s"]).withColumn("j", F.col("i") - F.col("off")).withColumn("k", F.floor(F.col("j") / half))
         at = placed.join(first, ["s", "k"]).select("row", F.floor(F.col("j") / block).alias("block"), "slot", (F.col("first") + F.col("j") % half).alias("position"))
         at = staged(at, "positions")
-    return own.restored(rows.join(at, "row"), ADDED, ADDED)
+    return own.restored(rows.join(at.hint("merge"), "row"), ADDED, ADDED)  # dealt by row at any size: disk grows with the input, not by a step
