@@ -21,7 +21,6 @@ from gridloom.functions.text import words
 from gridloom.operators.passes import kept_blocks, parts_for, summed
 
 ROWS = 2_000
-ENTRIES = 50_000  # of a product at once
 
 
 def _places(text: Column, columns: int) -> Column:
@@ -37,11 +36,11 @@ class Rows:
     count: np.ndarray
 
     @staticmethod
-    def of(lists: list[np.ndarray]) -> Rows:
-        every = [np.unique(x, return_counts=True) for x in lists]
-        sizes = [len(c) for c, _ in every]
-        flat = lambda i, kind: np.concatenate([e[i] for e in every]).astype(kind) if every else np.zeros(0, kind)
-        return Rows(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat(0, np.int32), flat(1, np.int32))
+    def of(flat: np.ndarray, sizes: np.ndarray, columns: int) -> Rows:
+        """Of the columns of all words, row after row, and the words of each row: sorted and counted in one go."""
+        keys, count = np.unique(np.repeat(np.arange(len(sizes), dtype=np.int64) * columns, sizes) + flat, return_counts=True)
+        row, column = np.divmod(keys, columns)
+        return Rows(np.searchsorted(row, np.arange(len(sizes) + 1)).astype(np.int64), column.astype(np.int32), count.astype(np.int32))
 
     @staticmethod
     def read(block: dict) -> Rows:
@@ -54,29 +53,22 @@ class Rows:
         size = np.sqrt(np.bincount(row, v * v, len(self.starts) - 1))
         return v / np.where(size > 0, size, 1)[row]
 
-    def pieces(self) -> Iterator[tuple[int, int]]:
-        """Runs of rows of about ENTRIES entries."""
-        a = 0
-        while a < len(self.starts) - 1:
-            b = max(a + 1, int(np.searchsorted(self.starts, self.starts[a] + ENTRIES, side="right")) - 1)
-            yield a, b
-            a = b
+    def spans(self) -> Iterator[tuple[int, int, int]]:
+        """Row, start and end of the rows that have entries."""
+        at = self.starts.tolist()
+        return ((i, s, e) for i, (s, e) in enumerate(zip(at, at[1:], strict=False)) if e > s)
 
     def times(self, values: np.ndarray, thin: np.ndarray) -> np.ndarray:
-        """rows x vectors: this block times columns x vectors."""
+        """rows x vectors: this block times columns x vectors, a product for each row."""
         out = np.zeros((len(self.starts) - 1, thin.shape[1]))
-        for a, b in self.pieces():
-            s, e = self.starts[a], self.starts[b]
-            row = np.repeat(np.arange(a, b), np.diff(self.starts[a : b + 1]))
-            np.add.at(out, row, thin[self.column[s:e]] * values[s:e, None])
+        for i, s, e in self.spans():
+            out[i] = values[s:e] @ np.take(thin, self.column[s:e], axis=0)
         return out
 
     def back(self, values: np.ndarray, rows: np.ndarray, into: np.ndarray) -> None:
-        """Adds the transpose of this block times rows x vectors."""
-        for a, b in self.pieces():
-            s, e = self.starts[a], self.starts[b]
-            row = np.repeat(np.arange(a, b), np.diff(self.starts[a : b + 1]))
-            np.add.at(into, self.column[s:e], rows[row] * values[s:e, None])
+        """Adds the transpose of this block times rows x vectors; a row has a column once."""
+        for i, s, e in self.spans():
+            into[self.column[s:e]] += values[s:e, None] * rows[i]
 
 
 @dataclass(frozen=True)
@@ -93,7 +85,8 @@ class Model:
 
         @F.pandas_udf("array<float>")
         def embed(places: pd.Series) -> pd.Series:
-            rows = Rows.of([np.asarray(p, np.int32) for p in places])
+            sizes = places.map(len).to_numpy(np.int64)
+            rows = Rows.of(np.concatenate([np.zeros(0, np.int32), *places]), sizes, len(idf))
             v = rows.times(rows.values(idf), vectors)
             size = np.sqrt((v**2).sum(1, keepdims=True))
             return pd.Series(list((v / np.where(size > 0, size, 1)).astype(np.float32)))
@@ -110,9 +103,7 @@ def fit(df: DataFrame, text: str = "text", size: int = 64, columns: int = 8192,
         for batch in batches:
             for a in range(0, len(batch), ROWS):
                 own = batch.column(0).slice(a, ROWS)
-                ends = np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False))])
-                flat = own.flatten().to_numpy(zero_copy_only=False)
-                rows = Rows.of([flat[x:y] for x, y in zip(ends, ends[1:], strict=False)])
+                rows = Rows.of(own.flatten().to_numpy(zero_copy_only=False), own.value_lengths().to_numpy(zero_copy_only=False), columns)
                 yield pa.RecordBatch.from_pydict({n: [getattr(rows, n).tobytes()] for n in ("starts", "column", "count")})
 
     n = df.count()

@@ -1,6 +1,7 @@
 """Boosting, the kernel machine, graph networks, flattened trees, the task frontier and matrix files."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -410,6 +411,28 @@ def test_singular_vectors(spark):
     assert np.mean([h.query % 4 == h.id % 4 for h in hits]) > 0.97
 
 
+def test_sparse_products():
+    rng = np.random.default_rng(2)
+    sizes = np.array([0, 1, 5000, 0, *rng.integers(0, 300, 1500)])
+    flat = rng.integers(0, 1024, sizes.sum()).astype(np.int32)
+    rows = semantic.Rows.of(flat, sizes, 1024)
+    dense = np.zeros((len(sizes), 1024))
+    np.add.at(dense, (np.repeat(np.arange(len(sizes)), sizes), flat), 1)
+    own = np.repeat(np.arange(len(sizes)), np.diff(rows.starts))
+    assert rows.starts[-1] == (dense > 0).sum() and np.array_equal(dense[own, rows.column], rows.count)
+    thin, into, slow = rng.normal(size=(1024, 64)), np.zeros((1024, 64)), np.zeros((1024, 64))
+    v = rows.count.astype(float)
+    start = time.perf_counter()
+    y = rows.times(v, thin)
+    rows.back(v, y, into)
+    took = time.perf_counter() - start
+    np.add.at(slow, rows.column, y[own] * v[:, None])
+    assert took < time.perf_counter() - start - took  # both products are faster than one that adds entry by entry
+    assert np.allclose(y, dense @ thin) and np.allclose(into, dense.T @ y) and np.allclose(into, slow)
+    empty = semantic.Rows.of(np.zeros(0, np.int32), np.zeros(0, np.int64), 8)
+    assert len(empty.starts) == 1 and empty.times(np.zeros(0), np.zeros((8, 2))).shape == (0, 2)
+
+
 # Vector index
 
 
