@@ -519,3 +519,36 @@ def test_latest_file(spark, tmp_path):
     assert got.first().text == "new" and len(got.inputFiles()) == 1
     assert readers.latest_text(spark, str(tmp_path), "none_").count() == 0
     assert readers.since_days(200, "2025-03-01") == "2024-01-26"
+
+
+# Forests on cells
+
+
+def test_forest_depends_on_rows_alone(spark, tmp_path):
+    from gridloom.operators.forest import CellForest, best_splits, grown
+
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float((a > 5) + (a > 5 and b > 3))) for a, b in rng.integers(0, 10, (2000, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, label double")
+    one = grown(df.coalesce(1), ["a", "b"], "label", 3, trees=6)
+    other = grown(df.orderBy("b").repartition(7), ["a", "b"], "label", 3, trees=6)  # Spark's own forest draws by partition
+    assert all(np.array_equal(getattr(one[0], n), getattr(other[0], n)) for n in ("column", "cut")) and np.array_equal(one[1], other[1])
+    assert len({one[1][t].tobytes() for t in range(6)}) == 6  # each tree has a sample of its own
+    fitted = ml.scaled_pipeline(["a", "b"], CellForest(numTrees=20, featuresCol="scaled")).fit(df)
+    ml.save(fitted, f"file://{tmp_path}/forest")
+    said = ml.load(f"file://{tmp_path}/forest").transform(df).select("label", "prediction").collect()
+    assert np.mean([r.label == r.prediction for r in said]) > 0.99
+    counts = np.zeros((1, 2, 3, 2))
+    counts[0, 0] = counts[0, 1] = [[0, 0], [4, 0], [0, 4]]
+    best = best_splits(counts, np.array([[False, True]]))
+    assert (best["column"][0], best["cut"][0]) == (1, 1) and best["left"][0].tolist() == [4, 0] and best["right"][0].tolist() == [0, 4]
+
+
+def test_split_ranks_one_bucket_of_each_label(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("y"))
+    got = ev.stratified_split(df, "id", "y", 0.7)
+    want = ev._placed(df, "id", "y", 42).withColumn("in_train", F.col("_place") < F.floor(F.col("_n") * 0.7)).where("y is not null")
+    assert {tuple(r) for r in got.where("y is not null").select("id", "in_train").collect()} == {tuple(r) for r in want.select("id", "in_train").collect()}
+    assert got.count() == 5000 and got.where("y is null and in_train").count() == 700
+    assert ev.random_split(spark.createDataFrame([("k",)] * 10, "k string"), "k").where("in_train").count() == 8  # equal keys
+    assert ev.random_split(df.where("false"), "id").count() == 0
