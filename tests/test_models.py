@@ -552,3 +552,21 @@ def test_split_ranks_one_bucket_of_each_label(spark):
     assert got.count() == 5000 and got.where("y is null and in_train").count() == 700
     assert ev.random_split(spark.createDataFrame([("k",)] * 10, "k string"), "k").where("in_train").count() == 8  # equal keys
     assert ev.random_split(df.where("false"), "id").count() == 0
+
+
+# Balanced cross-validation
+
+
+def test_balanced_cv_fits_distinct_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i % 5, float(a + b > 9), float(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 8, (600, 2)))] * 4
+    df = spark.createDataFrame(rows, "fold int, label double, a double, b int")
+    want = {}
+    for fold in range(5):
+        said = ml.alarm_model(df.where(F.col("fold") != fold), ["a", "b"]).transform(df.where(F.col("fold") == fold))
+        want[fold] = tuple(said.agg(*ev.binary_measures("label", "prediction")).first())
+    seen, plain = [], ml.balanced_weights
+    monkeypatch.setattr(ml, "balanced_weights", lambda d, *a, **k: seen.append(d.count()) or plain(d, *a, **k))
+    got = {r[0]: tuple(r[1:]) for r in ml.balanced_cv(df, ["a", "b"]).collect()}
+    assert got == want
+    assert len(seen) == 5 and max(seen) <= 4 * 64  # of 1920 rows
