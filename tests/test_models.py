@@ -570,3 +570,37 @@ def test_balanced_cv_fits_distinct_rows(spark, monkeypatch):
     got = {r[0]: tuple(r[1:]) for r in ml.balanced_cv(df, ["a", "b"]).collect()}
     assert got == want
     assert len(seen) == 5 and max(seen) <= 4 * 64  # of 1920 rows
+
+
+# Rounds over pairs
+
+
+def test_rounds_over_pairs(spark, monkeypatch):
+    from gridloom.operators import graph
+
+    nodes = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (1, "c", 4.0), (1, "alone", 7.0), (2, "a", 5.0)], "scenario int, node string, x double")
+    edges = spark.createDataFrame([(1, "b", "a"), (1, "a", "b"), (1, "b", "c"), (1, "c", "c"), (1, "c", "ghost"), (1, "ghost", "mist"), (2, "a", None)], "scenario int, src string, dst string")
+    kept, plain = {}, graph.staged
+    monkeypatch.setattr(graph, "staged", lambda d, name: kept.setdefault(name, plain(d, name)))
+    got = {(r.scenario, r.node): r.x for r in graph.propagated(nodes, edges, ["x"], 2).collect()}
+    assert kept["links"].count() == 4  # a pair once, not both ways, and no self loops
+    names = ["a", "b", "c", "alone", "ghost", "mist"]
+    near = np.zeros((6, 6))
+    for a, b in ((0, 1), (1, 2), (2, 4), (4, 5)):
+        near[a, b] = near[b, a] = 1
+    near += np.diag([1, 1, 1, 1, 0, 0])  # what is no node has no self loop
+    near /= np.sqrt(np.outer(near.sum(0), near.sum(0)))
+    want = near @ near @ np.array([1.0, 2, 4, 7, 0, 0])
+    assert got.pop((2, "a")) == 5
+    assert set(got) == {(1, n) for n in names} and all(np.isclose(got[1, n], v) for n, v in zip(names, want, strict=True))
+
+
+def test_forward_over_pairs_is_forward(spark):
+    rng = np.random.default_rng(4)
+    nodes = spark.createDataFrame([(i % 2, f"n{i}", float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(40, 2)))], "scenario int, node string, x double, z double")
+    edges = spark.createDataFrame([(int(a) % 2, f"n{a}", f"n{b}") for a, b in rng.integers(0, 44, (120, 2))], "scenario int, src string, dst string")
+    net = cv.Network(2, hidden=4)
+    weights = rng.normal(size=net.size())
+    of = lambda d: {(r.scenario, r.node): (r.logit_0, r.logit_1) for r in d.collect()}
+    want, got = of(cv.forward(net, weights, nodes, gr.normalised(nodes, edges), ["x", "z"])), of(cv.forward_over_pairs(net, weights, nodes, gr.links(edges), ["x", "z"]))
+    assert set(want) == set(got) and all(np.allclose(want[k], got[k]) for k in want)
