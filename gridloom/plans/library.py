@@ -686,7 +686,7 @@ def sgc_alarm_model(spark, sf_dir):
     from gridloom.operators import ml
     from gridloom.plans.folders import staged
 
-    nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir)
+    nodes, edges = staged(_nodes(spark, sf_dir), "nodes"), _edges(spark, sf_dir)
     flag = gr.alarm_flags(_r(1 + F.col("discount") - 0.05), F.col("load"), 0.99, 1.01)
     x = gr.propagated(nodes, edges, ["load", "discount"])
     rows = x.join(nodes.select("scenario", "node", (flag > 0).cast("double").alias("label")), ["scenario", "node"])
