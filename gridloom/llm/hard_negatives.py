@@ -6,7 +6,7 @@ the place in it. The inner product is the sum of the looked-up numbers, plane by
 below it and the sign's plane against. No product of two components is ever taken and no score is an estimate.
 
 Anchors and candidates are packed into blocks. Candidates' blocks are dealt over lanes, anchors' blocks, the smaller
-side, go to every lane, and each pair of blocks leaves only the best few of each anchor. A first pass over the pairs
+side, are shuffled to every lane, and each pair of blocks leaves only the best few of each anchor. A first pass over the pairs
 finds each anchor's positives, a second one, which knows their scores, the negatives.
 
 Rows with a null key, label or vector, or with a null or non-finite component, take no part. Rows of another dimension
@@ -102,10 +102,11 @@ def _packed(rows: DataFrame, size: int, planes: bool = False, windows: bool = Fa
 
 
 def _pairs(anchors: DataFrame, candidates: DataFrame, lanes: int) -> DataFrame:
-    """Every block of anchors beside every block of candidates of the same dimension."""
+    """Every block of anchors beside every block of candidates of the same dimension. Both sides are shuffled: the anchors of all lanes together would not fit the driver of a broadcast."""
     each = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("to")
     a = anchors.select(*[F.col(c).alias(f"a_{c}") for c in anchors.columns], each)
-    return a.join(candidates, (F.col("to") == F.col("lane")) & (F.col("a_dim") == F.col("dim")))
+    a, c = a.repartition(lanes, "to", "a_dim"), candidates.repartition(lanes, "lane", "dim")
+    return a.hint("merge").join(c, (F.col("to") == F.col("lane")) & (F.col("a_dim") == F.col("dim")))
 
 
 def _scored(pair: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +167,7 @@ def hard_negatives(
     with work.scratch(spark, "negatives") as tmp:
         base = work.numbered(base, "vectors", tmp.place("vectors")).select("row", "key", "label", "values", "is_anchor")
         packed = _packed(base.drop("is_anchor"), CANDIDATES, planes=True).withColumn("lane", F.pmod(F.xxhash64("row"), F.lit(lanes)).cast("int"))
-        candidates = tmp.staged(packed, "planes").repartition(lanes, "lane")
+        candidates = tmp.staged(packed, "planes")
         chosen = base.where("is_anchor").select("row", "key", "label", "values")
         found = _pairs(tmp.staged(_packed(chosen, ANCHORS), "anchors"), candidates, lanes).mapInArrow(_positives(positives), "anchor long, anchor_id long, row long, key long, score long")
         first = Window.partitionBy("anchor").orderBy(F.desc("score"), "key", "row")
@@ -177,11 +178,11 @@ def hard_negatives(
         window = F.struct("place", (q * low + F.expr(f"({low} * pmod(score, 100) + 99) div 100")).alias("low"), (q * high + F.expr(f"({high} * pmod(score, 100)) div 100")).alias("high"))
         per = found.groupBy("anchor").agg(F.sort_array(F.collect_list(window)).alias("w")).select(F.col("anchor").alias("row"), "w")
         filled = lambda name, rest: F.transform(F.sequence(F.lit(1), F.lit(positives)), lambda i: F.coalesce(F.try_element_at(F.col("w")[name], i), F.lit(rest).cast("long")))
-        asked = chosen.join(per, "row").select("row", "key", "label", "values", filled("low", 1).alias("low"), filled("high", 0).alias("high"))
+        asked = chosen.join(per.hint("merge"), "row").select("row", "key", "label", "values", filled("low", 1).alias("low"), filled("high", 0).alias("high"))
         again = _pairs(tmp.staged(_packed(asked, ANCHORS, windows=True), "asked"), candidates, lanes).mapInArrow(_negatives(negatives), "anchor long, place int, row long, key long, score long")
         first = Window.partitionBy("anchor", "place").orderBy(F.desc("score"), "key", "row")
         again = again.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= negatives).select("anchor", "place", "rank", F.col("key").alias("negative_id"), F.col("score").alias("negative_score"))
         pairs = found.select("anchor", "place", "anchor_id", F.col("key").alias("positive_id"), F.col("score").alias("positive_score"))
-        out = again.join(pairs, ["anchor", "place"])
+        out = again.join(pairs.hint("merge"), ["anchor", "place"])
         with work.writing(spark, PAIRS_AT_ONCE):
             return work.staged(out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "hard-negatives")

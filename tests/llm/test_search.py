@@ -129,6 +129,16 @@ def test_hard_negatives_with_large_numbers(spark):
     assert mined(spark, rows) == mined_by_hand(rows)
 
 
+def test_no_anchors_in_a_broadcast(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i, i % 2, [i, 1]) for i in range(9)], "row long, key long, label long, values array<long>")
+    hn._packed(rows, 4).write.parquet(f"{tmp_path}/anchors")
+    hn._packed(rows, 4, planes=True).withColumn("lane", F.lit(1)).write.parquet(f"{tmp_path}/planes")
+    pairs = hn._pairs(spark.read.parquet(f"{tmp_path}/anchors"), spark.read.parquet(f"{tmp_path}/planes"), 3)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sum(len(p.a_row) * len(p.row) // 64 for p in pairs.collect()) == 81
+
+
 def test_hard_negatives_on_nothing(spark):
     assert mined(spark, []) == []
     assert mined(spark, [(5, [1.0], 1)]) == []
