@@ -229,6 +229,20 @@ def test_lossy_counts_miss_at_most_their_error(spark, monkeypatch):
     assert set(got) >= {k for k, x in truth.items() if x >= s.rare * n and x > 1}
 
 
+def test_frequencies_are_exact_however_texts_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SHINGLES_AT_ONCE", 900)
+    s = nd.Settings(rare=0.2)
+    rows = [(i, prose(30, i, [f"v{j}" for j in range(400)]) + (" one line that many of them share" if i < 100 or i % 40 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    read = nd.numbered(docs.withColumn("f", nd._reader(s)(F.col("text"))), "t")
+    with nd.scratch(spark, "t") as tmp:
+        keys, df, n = nd.frequencies(read, tmp, s)
+        heads = {r.row for r in nd.family_heads(read).collect()}
+    truth = collections.Counter(k for r in read.collect() if r.row in heads for k in np.frombuffer(r.f.keys, np.uint32).tolist())
+    want = {k: x for k, x in truth.items() if x >= max(2, s.rare * n)}
+    assert dict(zip(keys.tolist(), df.tolist())) == want and len(want) >= 3
+
+
 def test_weighted_samples_agree_as_often_as_texts_are_alike():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 2**63, 300).astype(np.uint64)
