@@ -105,6 +105,33 @@ def test_boosting_learns_rings_and_matches_one_machine(spark, ringed):
                 margins[c] += 0.3 * trees.value[f * 3 + c][trees.nodes(f * 3 + c, bins[:, own], 3)]
 
 
+def test_a_task_for_each_fold_grows_the_trees_of_the_passes(spark, monkeypatch):
+    rows = spark.createDataFrame([(a, b, float(i % 4), i % 5 - 1, y) for i, a, b, y in rings(1500, missing=True)], "a double, b double, c double, fold int, label double")
+    settings = boosting.Settings(rounds=2, depth=2, bins=16)
+    alone = boosting.boosted(rows, ["a", "b", "c"], "label", 3, "fold", 4, settings)
+    monkeypatch.setattr(boosting, "_folds_alone", None)
+    monkeypatch.setattr(boosting, "ALONE", 0)
+    passes = boosting.boosted(rows, ["a", "b", "c"], "label", 3, "fold", 4, settings)
+    for one, two in zip(alone.rounds, passes.rounds, strict=True):
+        assert (one.column == two.column).all() and (one.cut == two.cut).all() and (one.missing_left == two.missing_left).all() and np.allclose(one.value, two.value)
+    assert np.allclose(alone.gains, passes.gains)
+    assert alone.fold_accuracies().orderBy("fold").collect() == passes.fold_accuracies().orderBy("fold").collect()
+
+
+def test_few_cells_take_no_job_for_each_level(spark, ringed, monkeypatch):
+    monkeypatch.setattr(boosting, "_splits", None)
+    assert len(boosting.boosted(ringed, ["a", "b"], "label", 3, "fold", 3, boosting.Settings(rounds=2, depth=2)).rounds) == 2
+
+
+def test_logistic_folds_train_together(spark, ringed):
+    together = {r.fold: r.accuracy for r in ml.FoldedLogistic(maxIter=500, labelCol="label").fold_accuracies(ringed, ["a", "b"]).collect()}
+    for fold, accuracy in together.items():
+        one = ml.scaled_pipeline(["a", "b"], ml.FoldedLogistic(maxIter=500, labelCol="label", featuresCol="scaled")).fit(ringed.where(F.col("fold") != fold))
+        said = one.transform(ringed.where(F.col("fold") == fold)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        assert said == pytest.approx(accuracy, abs=0.01)
+    assert sorted(together) == [0, 1, 2]
+
+
 def test_held_out_labels_teach_nothing(spark, ringed):
     settings = boosting.Settings(rounds=2, depth=2)
     other = ringed.withColumn("label", F.when(F.col("fold") == 1, 2 - F.col("label")).otherwise(F.col("label")))
