@@ -13,7 +13,7 @@ from gridloom.operators import convolution as cv
 from gridloom.operators import evaluate as ev
 from gridloom.operators import graph as gr
 from gridloom.operators import timeseries as ts
-from gridloom.operators.passes import weighted_sums
+from gridloom.operators.passes import layered, layered_sums, weighted_sums
 from gridloom.plans import library
 from gridloom.sources import matrix, readers
 
@@ -324,6 +324,31 @@ def test_sums_of_a_block_are_those_of_its_edges(grid):
     assert np.allclose(cv.logits(net, net.start(), block, rows=some)[0], cv.logits(net, net.start(), block)[0][some])
 
 
+def test_layered_sums_and_numbers_of_32_bits(spark, grid):
+    rng = np.random.default_rng(5)
+    for sizes in (np.array([70, 33, 32, 5, 1, 1]), np.array([40, 34]), np.array([3, 3, 1]), np.zeros(0, int)):
+        x, at, w, starts = rng.normal(size=(50, 3)), rng.integers(0, 50, sizes.sum()), rng.random(sizes.sum()), np.cumsum(sizes) - sizes
+        order = layered(sizes).astype(int)
+        assert sorted(order) == list(range(sizes.sum())) and np.allclose(layered_sums(x, at[order], w[order], sizes), weighted_sums(x, at, w, starts, sizes))
+    blocks = one_block(grid)[1].collect()
+    alpha, net = np.array([0.4, 0.6]), cv.Network(2)
+    for kind in (np.float64, np.float32):
+        block = cv.Block.read(blocks[0].asDict(), 2, 1, kind)
+        masks = (cv.mask(net, block.source, 1, 3), cv.mask(net, block.target, 2, 3))
+        assert cv.logits(net, net.start(), block)[1][0].dtype == kind
+        loss, g = cv.gradient(net, net.start(), block, masks, np.ones(len(block.target)), alpha)
+        if kind == np.float64:
+            want = loss, g
+    assert loss == pytest.approx(want[0], rel=1e-5) and np.abs(g - want[1]).max() < 1e-5 * np.abs(want[1]).max()
+
+
+def test_units_drop_out_on_their_own():
+    net = cv.Network(2)
+    drop = np.concatenate([cv.mask(net, np.arange(40_000), 1, e) for e in (1, 2)], axis=1) == 0
+    assert np.abs(drop.mean(0) - 0.4).max() < 0.015
+    assert np.abs(np.corrcoef(drop.T) - np.eye(64)).max() < 0.03 and np.abs((drop[1:] == drop[:-1]).mean() - 0.52) < 0.005
+
+
 def test_loss_falls_on_held_out_scenarios(spark, grid):
     _, blocks, parts = one_block(grid)
     net = cv.Network(2, hidden=16)
